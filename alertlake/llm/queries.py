@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from alertlake.llm.bpe import round_trip
 from alertlake.llm.exact_dedup import exact_dedup
+from alertlake.llm.language_id import identify
 from alertlake.llm.packing import pack
+from alertlake.llm.pii import pseudonymise
 from alertlake.llm.sharding import shard_rows
+from alertlake.llm.url_filter import judge, judge_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -36,11 +51,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
+    "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op9_url_filter": judge_sql(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
