@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from alertlake.llm.bpe import round_trip
 from alertlake.llm.exact_dedup import exact_dedup
 from alertlake.llm.language_id import identify
+from alertlake.llm.line_dedup import dedup_lines, dedup_lines_sql
+from alertlake.llm.near_vectors import near_vectors
 from alertlake.llm.packing import pack
 from alertlake.llm.pii import pseudonymise
 from alertlake.llm.sharding import shard_rows
+from alertlake.llm.simhash import near_duplicates
 from alertlake.llm.url_filter import judge, judge_sql
 
 
@@ -20,10 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
+    "op4_near_vectors": op4_near_vectors,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
@@ -59,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": dedup_lines_sql(),
     "op9_url_filter": judge_sql(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
