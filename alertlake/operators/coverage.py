@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.functions.rules import THREATS, activity_kind, formal_kind, found
+from alertlake.functions.rules import THREATS, found, judged
 from alertlake.functions.text import normalize
 
 
 def flagged(posts: DataFrame) -> DataFrame:
-    """posts with uav_/missile_ formal, activity and reference columns: every rule is evaluated once a post."""
-    columns = {}
+    """posts with uav_/missile_ formal, kind and reference columns."""
+    columns, posts = {}, judged(posts)
+    of = lambda c, t: F.get(F.filter(c, lambda s: s["threat"] == t.name), 0)["kind"]
     for t in THREATS:
-        columns |= {f"{t.name}_formal": formal_kind(F.col("text"), t), f"{t.name}_kind": activity_kind(F.col("text"), t), f"{t.name}_reference": F.coalesce(found(normalize(F.col("text")), t.about), F.lit(False))}
+        columns |= {f"{t.name}_formal": of("formal", t), f"{t.name}_kind": of("activity", t), f"{t.name}_reference": F.coalesce(found(normalize(F.col("text")), t.about), F.lit(False))}
     return posts.withColumns(columns)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.functions.rules import ALL_LOCAL_PHRASES, formal_kind, found, is_retrospective, signals
+from alertlake.functions.rules import ALL_LOCAL_PHRASES, found, judged
 from alertlake.functions.text import normalize, stable_id
 
 
@@ -64,8 +64,8 @@ def tokens_of(posts: DataFrame) -> DataFrame:
     is not open changes nothing.
     """
     n = normalize(F.col("text"))
-    told = posts.where(~is_retrospective(F.col("text"))).withColumn("told", F.explode(signals(F.col("text"), formal_kind)))
-    told = told.select("*", F.col("told.threat").alias("threat"), F.col("told.kind").alias("kind"), found(n, ALL_LOCAL_PHRASES).alias("all_local")).drop("told")
+    told = judged(posts).where("not retrospective").withColumn("told", F.explode("formal"))
+    told = told.select("*", F.col("told.threat").alias("threat"), F.col("told.kind").alias("kind"), found(n, ALL_LOCAL_PHRASES).alias("all_local")).drop("told", "formal", "activity", "retrospective")
     names, kind = F.transform("places", lambda p: p["name"]), F.col("kind")
     neither = ~F.col("region_wide") & (F.size(names) == 0)
     token = lambda place, sub, tag: F.struct(place.alias("place"), F.lit(sub).alias("sub"), F.lit(tag).alias("tag"))
@@ -111,5 +111,5 @@ def unmatched_starts(tokens: DataFrame) -> DataFrame:
 
 def unplaced_starts(posts: DataFrame) -> DataFrame:
     """Starts that name neither the region nor a place."""
-    told = posts.where(~is_retrospective(F.col("text")) & ~F.col("region_wide") & (F.size("places") == 0)).withColumn("told", F.explode(signals(F.col("text"), formal_kind)))
+    told = judged(posts).where(~F.col("retrospective") & ~F.col("region_wide") & (F.size("places") == 0)).withColumn("told", F.explode("formal"))
     return told.where("told.kind = 'start'").select(F.lit("unplaced_start").alias("type"), F.col("told.threat").alias("threat_class"), "source", "region", F.lit(None).cast("string").alias("place"), F.col("published_at").alias("start"), "url", "text")

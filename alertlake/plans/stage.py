@@ -1,0 +1,21 @@
+"""Tables written in the folder that every executor of the cluster can read."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+LOCAL_DEFAULT = "file:///tmp/checkpoints/alertlake"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to spark.checkpoint.dir (a local folder where that is unset, as in tests) and read back.
+
+    What several results need is computed once, and what follows is recomputed from files
+    that outlive any executor; plans stay short.
+    """
+    root = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -83,3 +83,19 @@ def test_inflection():
 
 def test_strip_html(spark):
     assert one(spark, text.strip_html(F.lit("<p>a &amp; <b>b</b><script>x<y</script><!-- c --> d&nbsp;e</p>"))) == "a & b d e"
+
+
+def test_curves(spark):
+    from alertlake.functions import curves
+    from alertlake.operators.geometry import contains_point
+
+    line = F.from_json(F.lit('[{"lon":0,"lat":0},{"lon":0.1,"lat":0},{"lon":1,"lat":0.5},{"lon":2,"lat":0}]'), curves.LINE)
+    assert [(p["lon"], p["lat"]) for p in one(spark, curves.spaced(line, 50.0))] == [(0, 0), (1, 0.5), (2, 0)]
+    curve = [(p["lon"], p["lat"]) for p in one(spark, curves.smoothed(line, 4))]
+    assert len(curve) == 13 and [curve[i] for i in (0, 4, 8, 12)] == [(0, 0), (0.1, 0), (1, 0.5), (2, 0)]
+    assert one(spark, curves.smoothed(F.slice(line, 1, 1)))[0]["lon"] == 0
+    # A U: the centre of its bounds lies outside.
+    ring = '[[{"lon":0,"lat":0},{"lon":6,"lat":0},{"lon":6,"lat":6},{"lon":5.5,"lat":6},{"lon":5.5,"lat":1.5},{"lon":0.5,"lat":1.5},{"lon":0.5,"lat":6},{"lon":0,"lat":6},{"lon":0,"lat":0}]]'
+    polygon, centre = F.from_json(F.lit(ring), "array<array<struct<lon:double,lat:double>>>"), F.struct(F.lit(3.0).alias("lon"), F.lit(3.0).alias("lat"))
+    p = one(spark, curves.interior_point(polygon, centre, contains_point))
+    assert (p["lon"], p["lat"]) == (3, 1)
