@@ -116,8 +116,13 @@ def learn(docs: DataFrame, per_language: int = 300, landmarks_each: int = 32, mo
     """
     own = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     own = own.where((F.length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    narrow = own.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    # Of a language's rows those with the least hashes are ranked only, about 2 * per_language + 100 of them, so that
+    # the ranking gets as many rows whatever the input. The counts that tell how many that is have one row a language.
+    counts = own.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages)
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
+    low = own.select("doc_id", "lang", share.alias("share")).join(F.broadcast(counts), "lang").where(F.col("share") < (2 * per_language + 100) / F.col("rows"))
+    order = Window.partitionBy("lang").orderBy("share", "doc_id")
+    narrow = low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
     # At most per_language x most_languages ids, then their texts.
     chosen = narrow.orderBy("lang", "place").limit(per_language * most_languages).select("doc_id", "lang", "place").collect()
     if not chosen:
