@@ -22,7 +22,16 @@ IP = r"(?<![\d.])(?:\d{1,3}+\.){3}+\d{1,3}+(?![\d]|\.\d)"
 PHONE = r"(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"
+#: Countries by what follows their check digits in an IBAN; the length tells its end from a word in capitals behind it.
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK|FI|FO|GL|NL|FK|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|XK|MN", 17: "CH|CR|HR|LI|LV", 18: "BG|BH|DE|GB|GE|IE|ME|RS|VA|SO",
+    19: "AE|GI|IL|IQ|TL|OM", 20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG|LY", 21: "PT|ST|BI|DJ", 22: "IS|TR", 23: "FR|GR|IT|MC|MR|SM", 24: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV|NI",
+    25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU|YE", 27: "MT|SC", 28: "LC", 29: "RU",
+}
+IBAN_KNOWN = "|".join(rf"(?<=(?:{of})\d\d)(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, of in IBAN_LENGTHS.items())
+#: Other countries and lengths: 11 to 30 characters, the last group of 1 to 4.
+IBAN_OTHER = r"(?:(?: ?[A-Z0-9]{4}){3,6}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){7}(?: ?[A-Z0-9]{1,2})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])"
+IBAN = rf"(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?:{IBAN_KNOWN}|{IBAN_OTHER})"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 HEX_SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"
 PASSWORD = r"(?<=[Pp]assword=|[Pp]asswd=|[Pp]wd=)[^\s\"'&;,]{4,128}+"

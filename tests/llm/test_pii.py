@@ -87,3 +87,19 @@ def test_odd_rows(docs_of):
     assert rows[len(texts) - 1].text == rows[len(texts) - 2].text == rows[len(ODD)].text.split()[0]
     assert all(rows[i].text == t for i, t in enumerate(ODD))
     assert pseudonymise(docs_of([])).collect() == []
+
+
+IBANS = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "IT60 X054 2811 1010 0000 0123 456", "NL91 ABNA 0417 1643 00", "NO93 8601 1117 947", "AT61 1904 3002 3457 3201", "ZZ61 1904 3002 3457 3"]
+
+
+def test_ibans_go_to_their_last_character(docs_of):
+    rows = replaced(docs_of, *(t for i in IBANS for t in (f"to {i}, ok", f"to {i.replace(' ', '')} OK", f"to {i} x")), f"to {IBANS[6]} NOW")
+    for n, iban in enumerate(IBANS):
+        spaced, compact, before_word = (r.text for r in rows[3 * n : 3 * n + 3])
+        given = re.fullmatch(r"to (.*), ok", spaced)[1]
+        assert compact == f"to {given.replace(' ', '')} OK" and before_word == f"to {given} x"
+        assert [len(g) for g in given.split()] == [len(g) for g in iban.split()] and given[:4] == iban[:2] + "00"
+        assert given.replace(" ", "")[4:] != iban.replace(" ", "")[4:]
+    # Replaced to the end: the last characters are drawn, not copied.
+    assert any(rows[3 * n].text[-6:-4] != i[-2:] for n, i in enumerate(IBANS))
+    assert rows[-1].text == rows[18].text.replace(", ok", " NOW")
