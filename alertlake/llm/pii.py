@@ -38,7 +38,7 @@ PASSWORD = r"(?<=[Pp]assword=|[Pp]asswd=|[Pp]wd=)[^\s\"'&;,]{4,128}+"
 NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?"
 ANY = "|".join((EMAIL, IP, PHONE, CARD, SSN, IBAN, ACCESS_KEY, HEX_SECRET, PASSWORD, NAME))
 #: What every text with an entity has: a cheap test before the full pattern.
-GATE = rf"[0-9@]|[Pp](?:assword|asswd|wd)=|(?:{FEMALE}|{MALE})\.? "
+GATE = rf"[0-9@]|AKIA|[a-f]{{40}}|[Pp](?:assword|asswd|wd)=|(?:{FEMALE}|{MALE})\.? "
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуы", "greek": "αεηιου"}
 CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxz", "cyrillic": "бвгджзклмнпрстфхчш", "greek": "βγδζθκλμνξπρστφχ"}
 MOST_ROUNDS = 16
