@@ -52,3 +52,20 @@ def test_odd_rows_and_empty(spark, docs_of, sf):
 
 def test_run(spark, sf):
     assert p.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+UNLEARNED = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+    "qzx vkjw pqgh zzrk xwvt jjqk bvcx mnqz wkzx plqj hgvk xqzr " * 5,
+]
+
+
+def test_languages_not_learned_go(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    strange = spark.createDataFrame([(10**9 + i, t, None, None, len(t)) for i, t in enumerate(UNLEARNED)], docs.schema)
+    kept = {r.doc_id for r in p.language_id(spark, docs.union(strange), sf).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10**9} and len(kept) >= 0.995 * docs.count()
