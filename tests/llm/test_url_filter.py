@@ -80,3 +80,16 @@ def test_empty_and_clashing_columns(pages):
 
     df = pages([("http://x.com/en/", None)] * 3).withColumns({c: F.lit("?") for c in ("host", "path", "rule", "trust", "walk")})
     assert [r.verdict for r in judge(df).collect()] == ["block"] * 3
+
+
+def test_walks_go_on_until_verdicts_stand(pages):
+    link = lambda h: f'<a href="http://{h}/x">'
+    rows = [("http://bad.com/en/1", None), ("http://h1.fr/", link("bad.com")), *((f"http://h{i}.fr/", link(f"h{i - 1}.fr")) for i in range(2, 16))]
+    # Two hosts that link to each other, one of them to the blocked one: the walk never ends by itself.
+    rows += [("http://r1.fr/", link("r2.fr") + link("bad.com")), ("http://r2.fr/", link("r1.fr"))]
+    got = {r.host: r for r in judge(pages(rows)).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    edges = {("bad.com", "h1.fr"): 1, ("bad.com", "r1.fr"): 1, ("r1.fr", "r2.fr"): 1, ("r2.fr", "r1.fr"): 1, **{(f"h{i - 1}.fr", f"h{i}.fr"): 1 for i in range(2, 16)}}
+    want = walk({h: float(h == "bad.com") for h in got}, edges, rounds=300)
+    assert all(got[h].distrust == pytest.approx(want[h], abs=1e-6) for h in got)
+    assert got["h15.fr"].distrust == pytest.approx(0.15 * 0.85**15 / 2)
