@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_DEFAULT = "file:///tmp/checkpoints/alertlake"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or a local folder where it is unset (tests, one machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    """The cluster's spark.checkpoint.dir. Where it is unset: on one machine (master local) a folder there, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (Path(tempfile.gettempdir()) / "alertlake" / spark.sparkContext.applicationId).as_uri()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

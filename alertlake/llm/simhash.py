@@ -1,35 +1,38 @@
 """SimHash near-duplicates through vantage-point trees.
 
-Fingerprints within 4 bits of each other are linked, exactly. A pair differs in 4 of 6
-blocks of bits at most, so two blocks at least are equal: fingerprints are dealt into shards
-by each pair of blocks, and every linked pair meets in a shard. (A vantage-point tree over
-all 64 bits prunes next to nothing at this radius: distances of unrelated fingerprints lie
-at 32 +- 4.) Inside a shard a vantage-point tree splits the fingerprints by Hamming distance
-at the median, and a search leaves out branches by the triangle inequality. A shard that is
-too large for a task is split first: by bands of distance from a vantage point, where a band
-also gets what lies at its boundary in the band before, and by blocks of rows within a band.
-
-Shards return a spanning forest of their links, so a group of n near copies costs n edges.
+Fingerprints within 4 bits of each other are linked, exactly. Over all 64 bits a tree prunes
+little at this radius (unrelated fingerprints lie at 32 +- 4), so there is a tree over each
+third of the bits: two words within 4 bits of each other differ by 1 bit at most in one of
+the first two thirds, or not at all in the last. Distance over a third of the bits obeys the
+triangle inequality as well, and there the ball of radius 1 touches few rings.
+
+In Spark, a shard too large for a task is split in two by Hamming distance from a vantage
+point, one of its own fingerprints; what lies outside but no farther than the radius from
+the boundary is copied inside, so a pair near enough meets in one shard. In a task every
+shard becomes a vantage-point tree, whatever its size; all its fingerprints go down the
+tree together, each into the branches that its ball touches by the triangle inequality.
+
+Trees return a spanning forest of their links, so a group of n near copies costs n edges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlake.llm.components import components
-from alertlake.llm.shared import cut
+from alertlake.llm.shared import cut, remove
 
 SEED = 42
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-LEAF = 64
+ALL_BITS = 2**64 - 1
+THIRDS = ((1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42)
+LEAF = 16  # members of a tree's leaf
 AT_ONCE = 1 << 16
 
 
@@ -61,124 +64,176 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def views(within: int) -> list[tuple[int, int]]:
+    """(bits, radius) of each tree: words within `within` bits are within the radius over the bits of one view at least.
+
+    If a pair differed by more than the radius in every view, it would differ by the radii's
+    sum and 3 more, which is `within` + 1.
+    """
+    over = max(0, within - 2)
+    return [(bits, over // 3 + (i < over % 3)) for i, bits in enumerate(THIRDS)]
+
+
 class VantageTree:
-    """A vantage-point tree over an array of fingerprints; taken points are found no more."""
-
-    def __init__(self, points: np.ndarray):
-        self.points = points
-        self.left = np.ones(len(points), bool)
-        self.root = self._built(np.arange(len(points)))
-
-    def _built(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
-            return rows
-        vantage = self.points[rows[0]]
-        distance = np.bitwise_count(self.points[rows] ^ vantage)
-        radius = int(np.median(distance))
-        inside = distance <= radius
-        if inside.all():
-            inside = distance < radius
-            radius -= 1
-        if not inside.any():
-            return rows
-        return vantage, radius, self._built(rows[inside]), self._built(rows[~inside])
-
-    def take(self, point: np.uint64, within: int) -> np.ndarray:
-        """Rows not yet taken within the distance; takes them."""
-        found, open_ = [], [self.root]
+    """A vantage-point tree over distinct fingerprints, by their distance over `bits`.
+
+    A node whose members are all equal over `bits` is split over all 64 bits with the radius
+    `within`: there they differ, so every node of more than LEAF members is split.
+    """
+
+    def __init__(self, points: np.ndarray, bits: int, radius: int, within: int):
+        self.points, self.bits, self.radius, self.within = points, np.uint64(bits), radius, within
+        # What a search met: nodes, rows asked for from outside a node, rows copied over a boundary, distances taken.
+        self.inner = self.leaves = self.visits = self.boundary = self.compared = 0
+
+    def _split(self, members: np.ndarray):
+        """vantage, bits, ball, ring, and how far members are from the vantage point."""
+        vantage, bits, ball = self.points[members[0]], self.bits, self.radius
+        away = np.bitwise_count((self.points[members] ^ vantage) & bits)
+        if not away.any():
+            bits, ball = np.uint64(ALL_BITS), self.within
+            away = np.bitwise_count(self.points[members] ^ vantage)
+        ring = min(int(np.median(away)), int(away.max()) - 1)
+        return vantage, bits, ball, ring, away
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(a, b): pairs of rows within `within` bits; all that lie within the radius over the view's bits are among them.
+
+        Members go down with their node. A member outside the ring visits the inside too if
+        its ball reaches there; those inside needn't visit the outside, for they are met.
+        """
+        empty, open_ = np.empty(0, np.int64), [(np.arange(len(self.points)), np.empty(0, np.int64))]
         while open_:
-            node = open_.pop()
-            if isinstance(node, np.ndarray):
-                rows = node[self.left[node]]
-                found.append(rows[np.bitwise_count(self.points[rows] ^ point) <= within])
-            else:
-                vantage, radius, inside, outside = node
-                distance = int(point ^ vantage).bit_count()
-                if distance - within <= radius:
-                    open_.append(inside)
-                if distance + within > radius:
-                    open_.append(outside)
-        rows = np.concatenate(found)
-        self.left[rows] = False
-        return rows
-
-
-def forest(points: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of the links among distinct points, as rows (a, b)."""
-    tree = VantageTree(points)
-    for start in range(len(points)):
-        if tree.left[start]:
-            tree.left[start] = False
-            queue = [start]
-            while queue:
-                row = queue.pop()
-                met = tree.take(points[row], within)
-                if len(met):
-                    yield np.full(len(met), row), met
-                    queue += met.tolist()
+            members, visitors = open_.pop()
+            if len(members) <= LEAF:
+                self.leaves += 1
+                asking = np.concatenate([members, visitors])
+                near = np.bitwise_count(self.points[asking][:, None] ^ self.points[members]) <= self.within
+                self.compared += near.size
+                near[: len(members)] &= np.tri(len(members), k=-1, dtype=bool)
+                a, b = np.nonzero(near)
+                if len(a):
+                    yield asking[a], members[b]
+                continue
+            self.inner += 1
+            vantage, bits, ball, ring, away = self._split(members)
+            inside, reaches = away <= ring, (away > ring) & (away <= ring + ball)
+            across = np.bitwise_count((self.points[visitors] ^ vantage) & bits) if len(visitors) else empty
+            self.visits += len(visitors)
+            self.boundary += int(reaches.sum())
+            open_.append((members[inside], np.concatenate([visitors[across <= ring + ball], members[reaches]])))
+            open_.append((members[~inside], visitors[across > ring - ball]))
+
+
+class Forest:
+    """Keeps the edges that join two trees of a forest over n rows."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def _top(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = int(up[i])
+        return i
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        apart, out = self.up[a] != self.up[b], []
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            x, y = self._top(i), self._top(j)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                out.append((i, j))
+        return out
+
+
+def forest(points: np.ndarray, bits: int, radius: int, within: int) -> np.ndarray:
+    """Edges (rows a, b) of a spanning forest of the pairs that the tree over distinct points finds."""
+    joined, edges = Forest(len(points)), []
+    for a, b in VantageTree(points, bits, radius, within).pairs():
+        edges += joined.joining(a, b)
+    return np.array(edges, np.int64).reshape(-1, 2)
 
 
 def shard_links(rows: DataFrame, within: int) -> DataFrame:
-    """(shard, fp) -> (a, b): a spanning forest of the links in each shard."""
+    """(shard, view, fp) -> (a, b): a spanning forest of the links in each shard."""
+    seen = views(within)
 
-    def links(shard: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = []
+    def links(shard: np.ndarray, view: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        sizes = np.diff(bounds)
-        small = np.repeat((sizes <= LEAF) & (sizes > 1), sizes)
-        own, points = shard[small], fp[small]
-        # Small shards side by side: the k-th next row of the same shard, for k = 1, 2, ...
-        ahead, k = np.arange(len(own)), 1
-        while len(ahead := ahead[ahead + k < len(own)]) and len(ahead := ahead[own[ahead] == own[ahead + k]]):
-            near = ahead[np.bitwise_count(points[ahead] ^ points[ahead + k]) <= within]
-            edges.append((points[near], points[near + k]))
-            k += 1
-        for i in np.flatnonzero(sizes > LEAF):
-            points = np.unique(fp[bounds[i] : bounds[i + 1]])
-            edges += [(points[a], points[b]) for a, b in forest(points, within)]
-        if edges:
-            a, b = (np.concatenate(side).view(np.int64) for side in zip(*edges, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            points = np.unique(fp[low:high])
+            found = points[forest(points, *seen[view[low]], within)].view(np.int64)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        shard, view, fp = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint64)
         for batch in batches:
             shard = np.concatenate([shard, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
+            view = np.concatenate([view, batch.column(1).to_numpy()])
+            fp = np.concatenate([fp, batch.column(2).to_numpy().view(np.uint64)])
             done = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0  # the last shard may go on
-            if done >= AT_ONCE:
-                yield from links(shard[:done], fp[:done])
-                shard, fp = shard[done:], fp[done:]
-        if len(shard):
-            yield from links(shard, fp)
-
-    return rows.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long")
-
-
-def links(fps: DataFrame, within: int = 4, most: int = 4096) -> DataFrame:
-    """(a, b) edges that join exactly the components of distinct fingerprints within `within` (up to 4) bits."""
-    if within > 4:
-        raise ValueError("two of six blocks are sure to be equal up to 4 bits only")
-    part = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-    keys = [F.shiftleft(F.shiftleft(part(*a), b[1]).bitwiseOR(part(*b)), 4).bitwiseOR(F.lit(i)) for i, (a, b) in enumerate(combinations(BLOCKS, 2))]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("shard"))
-    large = cut(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > most), "large-shards")
-    if large.isEmpty():
-        return shard_links(dealt, within)
-    # Bands `within` + 1 wide around the vantage point: a linked pair lies in one band or in two adjoining ones.
-    width = within + 1
-    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-    banded = dealt.join(large.drop("n"), "shard").withColumn("band", F.floor(away / width).cast("int"))
-    reach = F.when(away % width > 0, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))
-    banded = cut(banded.select("fp", "shard", F.explode(reach).alias("band")), "bands")
-    sizes = banded.groupBy("shard", "band").agg(F.ceil(F.count("*") / (most // 2)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    paired = banded.join(sizes, ["shard", "band"]).withColumn("part", part).select("fp", "shard", "band", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    paired = paired.select("fp", F.xxhash64("shard", "band", F.least("part", "other"), F.greatest("part", "other")).alias("shard"))
-    return shard_links(dealt.join(large, "shard", "left_anti"), within).union(shard_links(paired, within))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4) -> DataFrame:
+            yield from links(shard[:done], view[:done], fp[:done])
+            shard, view, fp = shard[done:], view[done:], fp[done:]
+        yield from links(shard, view, fp)
+
+    return rows.select("shard", "view", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+
+
+def signed(word: int) -> int:
+    return word - 2**64 if word >= 2**63 else word
+
+
+def of_view(values: list[int]) -> Column:
+    """The value of the row's view."""
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("view") + 1)
+
+
+def shards(fps: DataFrame, within: int = 4, most: int = 1 << 15) -> DataFrame:
+    """(shard, view, fp): distinct fingerprints, split by rings around vantage points until a shard has `most` at most.
+
+    The ring is the one whose larger side is least. Shards that no ring makes smaller by a
+    twentieth stay as they are. A pair within the radius of a view meets in a shard of it.
+    """
+    spark, seen = fps.sparkSession, views(within)
+    balls = of_view([r for _, r in seen]).cast("int")
+    state = fps.select("fp", F.explode(F.array(*[F.lit(v) for v in range(len(seen))])).alias("view")).withColumn("shard", F.col("view").cast("long"))
+    written: list[DataFrame] = []
+    while True:
+        vantage = F.min_by("fp", F.xxhash64("fp", "shard")).alias("vantage")
+        large = cut(state.groupBy("shard").agg(F.count("*").alias("n"), vantage).where(F.col("n") > most), "large-shards")
+        away = F.bit_count((F.col("fp").bitwiseXOR(F.col("vantage"))).bitwiseAND(of_view([signed(b) for b, _ in seen])))
+        rings = state.join(large, "shard").groupBy("shard", "view", "vantage", "n", away.alias("ring")).agg(F.count("*").alias("held"))
+        upto = lambda r: F.sum("held").over(Window.partitionBy("shard").orderBy("ring").rangeBetween(Window.unboundedPreceding, r))  # noqa: E731  # 65 rows a shard
+        sums = {r: upto(r) for r in {r for _, r in seen} | {0}}
+        inside = F.lit(0).cast("long")
+        for v, (_, r) in enumerate(seen):
+            inside = F.when(F.col("view") == v, sums[r]).otherwise(inside)
+        sided = rings.withColumn("larger", F.greatest(inside, F.col("n") - sums[0]))
+        best = sided.groupBy("shard", "vantage", "n").agg(F.min(F.struct("larger", "ring")).alias("b"))
+        split = cut(best.where(F.col("b.larger") <= F.col("n") * 0.95).select("shard", "vantage", "b.ring"), "rings")
+        if split.isEmpty():
+            return state
+        side = lambda outside: F.xxhash64("shard", F.lit(outside))
+        to = F.when(F.col("ring").isNull(), F.array("shard")).when(away <= F.col("ring"), F.array(side(0))).when(away <= F.col("ring") + balls, F.array(side(1), side(0))).otherwise(F.array(side(1)))
+        state = cut(state.join(split, "shard", "left").select("fp", "view", F.explode(to).alias("shard")), "shards")
+        remove(spark, large, split, *written)
+        written = [state]
+
+
+def links(fps: DataFrame, within: int = 4, most: int = 1 << 15) -> DataFrame:
+    """(a, b) edges that join exactly the components of distinct fingerprints within `within` bits."""
+    dealt = shards(fps, within, most)
+    # A shard that rings can't split is dealt by pairs of parts, a tree for each pair.
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    parted = dealt.join(sizes, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    paired = parted.select("fp", "view", "shard", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return shard_links(paired.select("fp", "view", F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("shard")), within)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4, most: int = 1 << 15) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the least doc_id that links reach, its own included. A null text counts
@@ -188,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4) -> DataF
     """
     own = cut(fingerprints(docs, shingle), "fingerprints")
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    labels = components(links(nodes.select("fp"), within))
+    labels = components(links(nodes.select("fp"), within, most))
     rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("root"))
     rooted = cut(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

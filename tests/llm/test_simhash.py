@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from alertlake.llm.simhash import fingerprint, forest, links, near_duplicates
+from alertlake.llm.simhash import VantageTree, fingerprint, forest, links, near_duplicates, shards, views
 
 from .conftest import ODD
 from .test_components import brute as union_find
@@ -50,22 +50,57 @@ def all_links(points):
     return [(int(p[i]), int(p[j])) for i in range(len(p)) for j in np.flatnonzero(np.bitwise_count(p[i + 1 :] ^ p[i]) <= 4) + i + 1]
 
 
-def test_tree_gives_a_spanning_forest():
-    points = near_points(700, random.Random(1))
-    p = np.array(points, np.uint64)
-    got = [(int(p[x]), int(p[y])) for a, b in forest(p, 4) for x, y in zip(a, b, strict=True)]
-    assert union_find(got) == union_find(all_links(points)) and set(got) <= {*all_links(points), *((b, a) for a, b in all_links(points))}
+@pytest.mark.parametrize("within", range(9))
+def test_views_hold_every_pair(within):
+    rng = random.Random(within)
+    for _ in range(300):
+        apart = sum(1 << b for b in rng.sample(range(64), rng.randrange(within + 1)))
+        assert any((apart & bits).bit_count() <= radius for bits, radius in views(within))
+
+
+@pytest.mark.parametrize("within", [0, 1, 4, 7])
+def test_trees_give_what_all_pairs_give(within):
+    points = near_points(700, random.Random(within))
+    p = np.sort(np.array(points, np.uint64))
+    far = np.bitwise_count(p[:, None] ^ p)
+    for bits, radius in views(within):
+        want = {(i, j) for i, j in np.argwhere((far <= within) & (np.bitwise_count((p[:, None] ^ p) & np.uint64(bits)) <= radius)).tolist() if i > j}
+        found = [{x, y} for a, b in VantageTree(p, bits, radius, within).pairs() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        got = {(max(f), min(f)) for f in found}
+        assert want <= got and all(far[f] <= within for f in got) and len(got) == len(found)
+        edges = [(x, y) for x, y in forest(p, bits, radius, within).tolist()]
+        assert union_find(edges) == union_find(sorted(got))
+
+
+def test_a_tree_over_words_equal_in_its_bits():
+    p = np.arange(3000, dtype=np.uint64)
+    far = np.bitwise_count(p[:, None] ^ p)
+    found = sum(len(a) for a, _ in VantageTree(p, ((1 << 22) - 1) << 42, 0, 1).pairs())
+    assert found == (np.triu(far == 1)).sum()
+
+
+def test_trees_prune_and_visit_over_boundaries(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    p = np.unique(np.array([fingerprint(r.text or "") for r in docs.select("text").collect()], np.uint64))
+    for bits, radius in views(4):
+        tree = VantageTree(p, bits, radius, 4)
+        list(tree.pairs())
+        assert tree.inner > 20 and tree.leaves > 20 and tree.compared < len(p) ** 2 / 8
+        assert (tree.visits > 0 and tree.boundary > 0) == (radius > 0)
 
 
-@pytest.mark.parametrize("most", [4096, 40])
+@pytest.mark.parametrize("most", [1 << 15, 300])
 def test_shards_join_what_all_pairs_join(spark, most):
     rng = random.Random(most)
     points = near_points(1500, rng)
     hot = rng.getrandbits(64)
     points = list({*points, *(hot ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400))})
-    signed = [x - 2**64 if x >= 2**63 else x for x in points]
-    got = [(r.a % 2**64, r.b % 2**64) for r in links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most).collect()]
+    fps = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in points], "fp long")
+    got = [(r.a % 2**64, r.b % 2**64) for r in links(fps, most=most).collect()]
     assert union_find(got) == union_find(all_links(points))
+    held = shards(fps, most=most).groupBy("view", "shard").count().collect()
+    copies = sum(r["count"] for r in held) - 3 * len(points)
+    assert (copies == 0 and len(held) == 3) if most > len(points) else (copies > 0 and len(held) > 6)
 
 
 def test_whole_table(spark, sf):
