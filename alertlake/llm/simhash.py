@@ -175,9 +175,11 @@ def shard_links(rows: DataFrame, within: int) -> DataFrame:
             view = np.concatenate([view, batch.column(1).to_numpy()])
             fp = np.concatenate([fp, batch.column(2).to_numpy().view(np.uint64)])
             done = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0  # the last shard may go on
-            yield from links(shard[:done], view[:done], fp[:done])
+            if done:
+                yield from links(shard[:done], view[:done], fp[:done])
             shard, view, fp = shard[done:], view[done:], fp[done:]
-        yield from links(shard, view, fp)
+        if len(shard):
+            yield from links(shard, view, fp)
 
     return rows.select("shard", "view", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
