@@ -1,63 +1,116 @@
 """Exact dedup over an extendible-hash index kept in shared files.
 
-The index has an entry for each distinct 64-bit key of a text. A directory over the leading
-bits of the key says which bucket an entry lies in: a bucket with more than `capacity`
-entries is split on one more bit, which doubles the directory where needed, up to
-`max_depth` bits. Entries are dealt to owner tasks by ranges of (bucket, key) and written,
-those shared by several rows apart from the rest. Only rows whose key is shared have their
-texts read again; equal keys are chained by the bytes of their texts, so two texts whose
-keys collide stay apart.
+The index has a directory and buckets. Slots of the directory are the leading `depth` bits of
+a key's hash; each names a bucket. It starts with one slot and one bucket; while a bucket
+holds more than `capacity` keys, the directory doubles (one more bit) and the overfull
+buckets are split in two, the others being named by two slots each from then on. Doubling
+works on counts of slots, not on the keys.
+
+Buckets are written by owner tasks, each with a range of (bucket, key). An entry is a text:
+its key, the row that stays and the number of rows. Texts of equal keys are chained, each
+with its bytes. Every row is then looked up: slot, bucket, key and, in a chain, bytes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.llm.shared import cut, new_path
+from alertlake.llm.shared import cut, remove
 
+FINER = 4  # bits by which counts are finer than the expected depth, and are refined
 
-def directory(entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
-    """(slot, depth, bucket): for each slot of max_depth leading bits, the bucket it belongs to.
 
-    At most 2**max_depth rows. The depth is the least at which the slot's prefix holds
-    `capacity` entries or fewer, or max_depth.
-    """
-    slots = entries.groupBy("slot").agg(F.count("*").alias("n"))
-    at = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    at = at.withColumn("bucket", F.expr(f"shiftright(slot, {max_depth} - depth)"))
-    full = at.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
-    fits = at.join(full, ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    return fits.groupBy("slot").agg(F.min(F.struct("depth", "bucket")).alias("at")).select("slot", "at.depth", "at.bucket")
+@dataclass
+class Index:
+    depth: int  # bits of a slot
+    directory: DataFrame  # slot, bucket, bucket_depth
+    buckets: DataFrame  # bucket, key, bytes, keep_id, group_size
+    chained: DataFrame  # key: keys of several texts
+
 
+def leading(hash_: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(hash_, 64 - bits) if bits else F.lit(0).cast("long")
 
-def build_index(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = 100_000, max_depth: int = 12) -> str:
-    """Write the index of docs (doc_id, text; null counts as empty); returns its folder.
 
-    Columns: bucket, depth, key, rows, last_id; the folder shared=true has the keys of more than one row.
+def directory(hashes: DataFrame, capacity: int) -> tuple[int, DataFrame]:
+    """From a column `hash` of distinct keys: the depth, and (slot, bucket, bucket_depth).
+
+    A bucket is named by its first slot. Halves without keys have no bucket.
     """
-    keyed = docs.select("doc_id", key(F.coalesce("text", F.lit(""))).alias("key"))
-    entries = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("last_id"))
-    entries = entries.withColumn("slot", F.shiftrightunsigned("key", 64 - max_depth).cast("int"))
-    entries = cut(entries, "entries")
-    path = new_path(docs.sparkSession, "index")
-    # The directory has at most 2**max_depth rows (4,096): its size is bounded whatever the input.
-    owned = entries.join(F.broadcast(directory(entries, capacity, max_depth)), "slot")
-    owned = owned.select("bucket", "depth", "key", "rows", "last_id", (F.col("rows") > 1).alias("shared"))
-    owned.repartitionByRange("bucket", "key").sortWithinPartitions("shared", "bucket", "key").write.partitionBy("shared").parquet(path)
-    return path
-
-
-def shared_keys(docs: DataFrame, index: str) -> DataFrame:
-    spark = docs.sparkSession
-    schema = "bucket int, depth int, key long, rows long, last_id long"
-    found = spark.read.schema(f"{schema}, shared boolean").parquet(index).where("shared")
-    return found.select("key")
-
-
-def exact_dedup(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = 100_000, max_depth: int = 12) -> DataFrame:
+    spark, bits = hashes.sparkSession, 1
+    counted = lambda df, n: cut(df.groupBy(leading(F.col("hash"), n).alias("slot")).agg(F.count("*").alias("n")), "slot-counts")
+    bits = min(64, max(1, math.ceil(math.log2(max(1, hashes.count() / capacity))) + FINER))
+    counts, depth, settled = counted(hashes, bits), 0, []
+    while True:
+        at = F.shiftrightunsigned("slot", bits - depth) if depth else F.lit(0).cast("long")
+        held = cut(counts.groupBy(at.alias("prefix")).agg(F.sum("n").alias("held")), "buckets-held")
+        fits = F.col("held") <= capacity if depth < 64 else F.lit(True)
+        settled.append(held.where(fits).select("prefix", F.lit(depth).alias("bucket_depth")))
+        overfull = held.where(~fits).select("prefix")
+        if overfull.isEmpty():
+            break
+        if depth == bits:  # the counts tell these buckets' halves apart no more: count their keys by more bits
+            bits = min(64, bits + FINER)
+            left = hashes.withColumn("prefix", leading(F.col("hash"), depth)).join(overfull, "prefix", "left_semi")
+            finer = counted(left, bits)
+        else:
+            finer = cut(counts.withColumn("prefix", at).join(overfull, "prefix", "left_semi").select("slot", "n"), "slot-counts")
+        remove(spark, counts)
+        counts, depth = finer, depth + 1
+    buckets = settled[0]
+    for more in settled[1:]:
+        buckets = buckets.union(more)
+    first = F.expr(f"shiftleft(prefix, {depth} - bucket_depth)")
+    slots = F.explode(F.sequence(F.col("bucket"), F.col("bucket") + F.expr(f"shiftleft(1L, {depth} - bucket_depth)") - 1))
+    return depth, cut(buckets.select(first.alias("bucket"), "bucket_depth").select(slots.alias("slot"), "bucket", "bucket_depth"), "directory")
+
+
+def keyed(docs: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, key, hash, body): the key is hashed once more, so that its leading bits are even whatever the key."""
+    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    return body.withColumn("key", key(F.col("body"))).withColumn("hash", F.xxhash64("key"))
+
+
+def build_index(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = 100_000) -> Index:
+    """The index of docs (doc_id, text; null counts as empty), written to the shared folder."""
+    rows = keyed(docs, key)
+    entries = rows.groupBy("key").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    entries = cut(entries.withColumn("hash", F.xxhash64("key")), "entries")
+    depth, slots = directory(entries.select("hash"), capacity)
+    # Only texts whose key several rows have are read again; grouping them by their bytes tells them apart.
+    several = cut(entries.where("group_size > 1").select("key"), "repeated-keys")
+    chains = rows.join(several, "key", "left_semi").groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    chains = cut(chains, "chains")
+    chained = cut(chains.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "chained-keys")
+    no_bytes = F.lit(None).cast("string").alias("bytes")
+    texts = chains.join(chained.withColumn("told", F.lit(True)), "key", "left")
+    linked = texts.select("key", F.when(F.col("told"), F.col("body")).alias("bytes"), "keep_id", "group_size")
+    all_ = entries.where("group_size = 1").select("key", no_bytes, "keep_id", "group_size").union(linked)
+    placed = all_.withColumn("slot", leading(F.xxhash64("key"), depth)).join(slots, "slot").select("bucket", "key", "bytes", "keep_id", "group_size")
+    owned = placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    return Index(depth, slots, cut(owned, "buckets"), chained)
+
+
+def look_up(docs: DataFrame, index: Index, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(doc_id, text_sha256, keep_id, group_size) of every row, through slot, bucket, key and bytes."""
+    rows = keyed(docs, key).withColumn("text_sha256", F.sha2("body", 256))
+    if index.chained.isEmpty():
+        asked = rows.withColumn("bytes", F.lit(None).cast("string"))
+    else:
+        asked = rows.join(index.chained.withColumn("told", F.lit(True)), "key", "left").withColumn("bytes", F.when(F.col("told"), F.col("body")))
+    asked = asked.select("doc_id", "text_sha256", "key", "bytes", leading(F.col("hash"), index.depth).alias("slot"))
+    at = asked.join(index.directory.select("slot", "bucket"), "slot").drop("slot")
+    entry = index.buckets.select(F.col("bucket").alias("of"), F.col("key").alias("entry_key"), F.col("bytes").alias("entry_bytes"), "keep_id", "group_size")
+    same = (F.col("bucket") == F.col("of")) & (F.col("key") == F.col("entry_key")) & F.col("bytes").eqNullSafe(F.col("entry_bytes"))
+    return at.join(entry, same).select("doc_id", "text_sha256", "keep_id", "group_size")
+
+
+def exact_dedup(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = 100_000) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows are equal when their texts have the same bytes; null counts as empty. Of equal
@@ -65,19 +118,6 @@ def exact_dedup(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, c
     the same document: they count in group_size and share its verdict. A null doc_id is
     less than any other. Other columns are ignored; an empty table gives an empty table.
     """
-    index = build_index(docs, key, capacity, max_depth)
-    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    keyed = body.withColumn("key", key(F.col("body")))
-    several = cut(shared_keys(docs, index), "shared-keys")
-    chains = keyed.join(several, "key", "left_semi").groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chains = cut(chains, "chains")
-    per_key = chains.groupBy("key").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    alone = cut(per_key.where("texts = 1").drop("texts"), "single-chains")
-    # Different texts under one key: next to none at 64 bits, told apart by their bytes.
-    collided = chains.join(per_key.where("texts > 1").select("key"), "key", "left_semi")
-    collided = cut(collided.toDF("c_key", "c_body", "c_keep", "c_size"), "collided-chains")
-    rows = keyed.select("doc_id", "key", "body", F.sha2("body", 256).alias("text_sha256"))
-    told = rows.join(collided, (F.col("key") == F.col("c_key")) & (F.col("body") == F.col("c_body")), "left").drop("body", "c_key", "c_body") if not collided.isEmpty() else rows.drop("body").withColumns({"c_keep": F.lit(None).cast("long"), "c_size": F.lit(None).cast("long")})
-    out = told.join(alone, "key", "left")
-    keep, size = F.coalesce("c_keep", "keep_id", "doc_id"), F.coalesce("c_size", "group_size", F.lit(1))
-    return out.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.coalesce(F.col("doc_id").eqNullSafe(keep), F.lit(False)).alias("kept"), "text_sha256")
+    found = look_up(docs, build_index(docs, key, capacity), key)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
