@@ -6,8 +6,8 @@ third of the bits: two words within 4 bits of each other differ by 1 bit at most
 the first two thirds, or not at all in the last. Distance over a third of the bits obeys the
 triangle inequality as well, and there the ball of radius 1 touches few rings.
 
-In Spark, a shard too large for a task is split in two by Hamming distance from a vantage
-point, one of its own fingerprints; what lies outside but no farther than the radius from
+In Spark, a shard too large for a task is split by Hamming distance from vantage points, some
+of its own fingerprints, each in two; what lies outside but no farther than the radius from
 the boundary is copied inside, so a pair near enough meets in one shard. In a task every
 shard becomes a vantage-point tree, whatever its size; all its fingerprints go down the
 tree together, each into the branches that its ball touches by the triangle inequality.
@@ -17,6 +17,7 @@ Trees return a spanning forest of their links, so a group of n near copies costs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALL_BITS = 2**64 - 1
 THIRDS = ((1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42)
 LEAF = 16  # members of a tree's leaf
+#: What a ring leaves of a shard, copies counted; rings that a round draws at most for a shard.
+SHRINKS, MOST_RINGS = 0.585, 12
 AT_ONCE = 1 << 16
 
 
@@ -196,32 +199,44 @@ def of_view(values: list[int]) -> Column:
 def shards(fps: DataFrame, within: int = 4, most: int = 1 << 15) -> DataFrame:
     """(shard, view, fp): distinct fingerprints, split by rings around vantage points until a shard has `most` at most.
 
-    The ring is the one whose larger side is least. Shards that no ring makes smaller by a
-    twentieth stay as they are. A pair within the radius of a view meets in a shard of it.
+    A round splits each shard that is too large by as many vantage points as its size asks
+    for, all in one pass: a fingerprint goes to the shard of the sides on which it lies, and
+    over each boundary within the radius to the inside too. Rings are medians of distances; one
+    that leaves less than a tenth outside is not used, and shards without any stay as they
+    are. A pair within the radius of a view meets in a shard of it.
     """
     spark, seen = fps.sparkSession, views(within)
-    balls = of_view([r for _, r in seen]).cast("int")
     state = fps.select("fp", F.explode(F.array(*[F.lit(v) for v in range(len(seen))])).alias("view")).withColumn("shard", F.col("view").cast("long"))
     written: list[DataFrame] = []
     while True:
-        vantage = F.min_by("fp", F.xxhash64("fp", "shard")).alias("vantage")
-        large = cut(state.groupBy("shard").agg(F.count("*").alias("n"), vantage).where(F.col("n") > most), "large-shards")
-        away = F.bit_count((F.col("fp").bitwiseXOR(F.col("vantage"))).bitwiseAND(of_view([signed(b) for b, _ in seen])))
-        rings = state.join(large, "shard").groupBy("shard", "view", "vantage", "n", away.alias("ring")).agg(F.count("*").alias("held"))
-        upto = lambda r: F.sum("held").over(Window.partitionBy("shard").orderBy("ring").rangeBetween(Window.unboundedPreceding, r))  # noqa: E731  # 65 rows a shard
-        sums = {r: upto(r) for r in {r for _, r in seen} | {0}}
-        inside = F.lit(0).cast("long")
-        for v, (_, r) in enumerate(seen):
-            inside = F.when(F.col("view") == v, sums[r]).otherwise(inside)
-        sided = rings.withColumn("larger", F.greatest(inside, F.col("n") - sums[0]))
-        best = sided.groupBy("shard", "vantage", "n").agg(F.min(F.struct("larger", "ring")).alias("b"))
-        split = cut(best.where(F.col("b.larger") <= F.col("n") * 0.95).select("shard", "vantage", "b.ring"), "rings")
+        sizes = cut(state.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most), "large-shards")
+        largest = sizes.agg(F.max("n")).first()[0]
+        if largest is None:
+            return state
+        asked = lambda n: min(MOST_RINGS, math.ceil(math.log(n / most) / math.log(1 / SHRINKS)))
+        rings = range(max(1, asked(largest)))
+        known = state.join(sizes, "shard").groupBy("shard", "n").agg(*[F.min_by("fp", F.xxhash64("fp", "shard", F.lit(k))).alias(f"v{k}") for k in rings])
+        known = cut(known, "vantage-points")
+        bits, ball = of_view([signed(b) for b, _ in seen]), of_view([r for _, r in seen]).cast("int")
+        away = lambda vantage, bits: F.bit_count(F.col("fp").bitwiseXOR(vantage).bitwiseAND(bits))
+        spread = state.join(known, "shard").groupBy("shard", "view", "n", *[f"v{k}" for k in rings])
+        spread = spread.agg(*[F.percentile_approx(away(F.col(f"v{k}"), bits), [0.5, 0.9], 1000).alias(f"q{k}") for k in rings])
+        wanted = F.ceil(F.log(F.col("n") / most) / math.log(1 / SHRINKS))
+        ring = lambda k: F.when((F.lit(k) < wanted) & (F.col(f"q{k}")[0] + ball < F.col(f"q{k}")[1]), F.struct(F.col(f"v{k}").alias("vantage"), F.col(f"q{k}")[0].alias("ring")))
+        split = spread.select("shard", F.filter(F.array(*[ring(k) for k in rings]), lambda r: r.isNotNull()).alias("rings"))
+        split = cut(split.where(F.size("rings") > 0), "rings")
         if split.isEmpty():
             return state
-        side = lambda outside: F.xxhash64("shard", F.lit(outside))
-        to = F.when(F.col("ring").isNull(), F.array("shard")).when(away <= F.col("ring"), F.array(side(0))).when(away <= F.col("ring") + balls, F.array(side(1), side(0))).otherwise(F.array(side(1)))
-        state = cut(state.join(split, "shard", "left").select("fp", "view", F.explode(to).alias("shard")), "shards")
-        remove(spark, large, split, *written)
+        side = lambda s, r, outside: F.xxhash64(s, r["vantage"], F.lit(outside))
+
+        def sides(paths: Column, r: Column) -> Column:
+            d = away(r["vantage"], F.col("bits"))
+            return F.flatten(F.transform(paths, lambda s: F.when(d <= r["ring"], F.array(side(s, r, 0))).when(d <= r["ring"] + F.col("ball"), F.array(side(s, r, 1), side(s, r, 0))).otherwise(F.array(side(s, r, 1)))))
+
+        met = state.join(split, "shard", "left").withColumns({"bits": bits, "ball": ball})
+        to = F.when(F.col("rings").isNull(), F.array("shard")).otherwise(F.aggregate("rings", F.array("shard"), sides))
+        state = cut(met.select("fp", "view", F.explode(to).alias("shard")), "shards")
+        remove(spark, sizes, known, split, *written)
         written = [state]
 
 
