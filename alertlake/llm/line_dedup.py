@@ -9,10 +9,15 @@ Variants are many, so lines that can have no partner are left out first, at no l
 lines one edit apart either the first or the last half is the same. Only lines that share a
 half with a different line emit variants. In a group of equal variants all lines are
 compared with the earliest, never with each other.
+
+How near two lines are is told in proportion to their length: one edit in n characters is a
+similarity of 1 - 1/n. Where one edit makes two lines less similar than asked, as in short
+lines, equal lines only are similar enough, and those the keys find.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,13 @@ from alertlake.llm.shared import cut
 BLANKS = " \t\r"
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 VARIANTS = "v long, pos int, doc_id long, of long, line_no int"
+SIMILARITY = 0.95
+NO_ID = -(2**63)  # stands for a null doc_id: before any other
+
+
+def least_length(similarity: float) -> int:
+    """The characters of the longer of two lines that one edit leaves as similar as asked."""
+    return math.ceil(1 / (1 - similarity) - 1e-9)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,17 +85,22 @@ def variants(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "of", "line_no", "line").mapInArrow(run, VARIANTS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, text) of texts that aren't null."""
+    return docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("of"), "text")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, of, line_no, line) of lines that aren't blank, trimmed. `of` tells apart rows that share a doc_id."""
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = _keyed(docs).select("doc_id", "of", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     return rows.select("doc_id", "of", "line_no", F.trim("raw", F.lit(BLANKS)).alias("line")).where("line <> ''")
 
 
 def _halves(least: int) -> list:
-    """Hashes of the halves of `line`, as a line of length n and as the longer one of a pair."""
+    """Hashes of the halves of `line`, as a line of length n and as the longer one of a pair; `least` is the longer one's length."""
     n = F.length("line")
     own, other = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    hashed = lambda side, length, text: F.when(n >= least, F.xxhash64(F.lit(side), length, text))
+    hashed = lambda side, length, text: F.when(n >= least - 1, F.xxhash64(F.lit(side), length, text))
     line = F.col("line")
     return [
         hashed(0, n, line.substr(F.lit(1), own)),
@@ -100,7 +117,7 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int) -> DataFrame:
     shared = cut(half.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half"), "shared-halves")
     asked = half.join(shared, "half", "left_semi").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("asked"))
     asked = cut(asked, "candidate-lines")
-    split = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), "text").join(asked, ["doc_id", "of"]).dropDuplicates(["doc_id", "of"])
+    split = _keyed(docs).join(asked, ["doc_id", "of"]).dropDuplicates(["doc_id", "of"])
     texts = split.select("doc_id", "of", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"), "asked").where("array_contains(asked, line_no)")
     texts = cut(texts.select("doc_id", "of", "line_no", F.trim("raw", F.lit(BLANKS)).alias("line")), "candidate-texts")
     emitted = variants(texts)
@@ -113,21 +130,24 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int) -> DataFrame:
     inserted = lacking.join(whole, "v").select(F.greatest("at", "whole").alias("x"), F.least("at", "whole").alias("y")).where("x <> y")
     pairs = same_place.union(inserted).distinct()
     text = lambda c: texts.select(at("").alias(c), F.col("line").alias(f"{c}_line"))
-    verified = pairs.join(text("x"), "x").join(text("y"), "y").where(F.levenshtein("x_line", "y_line", 1) >= 0)
+    longer = F.greatest(F.length("x_line"), F.length("y_line"))
+    verified = pairs.join(text("x"), "x").join(text("y"), "y").where((longer >= least) & (F.levenshtein("x_line", "y_line", 1) >= 0))
     return verified.select("x").distinct().select("x.doc_id", "x.of", "x.line_no")
 
 
-def dedup_lines(docs: DataFrame, least: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with repeated lines taken out of `text`, and columns n_lines and n_dropped.
 
     The order of lines is (doc_id, line number). A line goes if an earlier line is equal to
-    it, or if it and an earlier line have `least` characters or one less and are one edit
-    (a character put in, left out or changed) apart; blanks at its ends don't count. The
-    earlier line need not itself stay. Blank lines always stay. A null text stays null with
-    no lines; a text that loses all lines becomes empty; rows alike in doc_id and text are
-    one document and keep the same lines; a null doc_id is before any other. Other columns
-    pass; an empty table gives none.
+    it, or is one edit (a character put in, left out or changed) from it and as similar as
+    asked: 1 - 1 / (length of the longer line) is `similarity` or more, from 20 characters
+    on at 0.95. Blanks at a line's ends don't count. The earlier line need not itself stay.
+    Blank lines always stay. A null text stays null with no lines; a text that loses all
+    lines becomes empty; rows alike in doc_id and text are one document and keep the same
+    lines; a null doc_id is before any other. Other columns pass, whatever their names, but
+    that columns named n_lines and n_dropped are replaced; an empty table gives none.
     """
+    least = least_length(similarity)
     own = docs.select("doc_id", "text")
     lines = _lines(own)
     keys = {"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")}
@@ -138,32 +158,37 @@ def dedup_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     first = cut(per_key.select("k1", "k2", "n", "at.doc_id", "at.line_no", "at.of", *(f"h{i}" for i in range(4))), "first-lines")
     repeated = cut(first.where("n > 1").select("k1", "k2", F.struct("doc_id", "line_no", "of").alias("first")), "repeated-lines")
     later = narrow.select("k1", "k2", "doc_id", "of", "line_no").join(repeated, ["k1", "k2"]).where(at != F.col("first")).select("doc_id", "of", "line_no")
-    drops = later.union(near_lines(own, first, least)).groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line_no")).alias("__drops"))
-    drops = cut(drops.withColumnsRenamed({"doc_id": "__doc_id", "of": "__of"}), "drops")
-    found = docs.withColumns({"__text": F.xxhash64("text")}).join(drops, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__text") == F.col("__of")), "left")
-    found = found.withColumn("__lines", F.split("text", "\n"))
+    drops = later.union(near_lines(own, first, least)).groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line_no")).alias("drops"))
+    drops = cut(drops, "drops")
+    # The caller's columns travel in one struct, so none can clash with those of this work.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row")["text"]
+    found = rows.withColumns({"doc_id": F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NO_ID)), "of": F.xxhash64(text)}).join(drops, ["doc_id", "of"], "left")
+    found = found.withColumn("lines", F.split(text, "\n"))
     # Runs of lines between the dropped ones.
-    cuts = F.expr("concat(array(-1), __drops, array(size(__lines)))")
-    found = found.withColumn("__cuts", F.when(F.col("__drops").isNotNull(), cuts))
-    kept = F.expr("array_join(flatten(transform(sequence(0, size(__cuts) - 2), i -> slice(__lines, __cuts[i] + 2, __cuts[i + 1] - __cuts[i] - 1))), '\\n')")
-    out = found.withColumns({"text": F.when(F.col("__drops").isNotNull(), kept).otherwise(F.col("text")), "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)), "n_dropped": F.coalesce(F.when(F.col("__drops").isNotNull(), F.size("__drops")), F.lit(0))})
-    return out.drop("__text", "__drops", "__doc_id", "__of", "__lines", "__cuts")
+    found = found.withColumn("cuts", F.when(F.col("drops").isNotNull(), F.expr("concat(array(-1), drops, array(size(lines)))")))
+    kept = F.expr("array_join(flatten(transform(sequence(0, size(cuts) - 2), i -> slice(lines, cuts[i] + 2, cuts[i + 1] - cuts[i] - 1))), '\\n')")
+    new = {"text": F.when(F.col("drops").isNotNull(), kept).otherwise(text), "n_lines": F.coalesce(F.when(text.isNotNull(), F.size("lines")), F.lit(0)), "n_dropped": F.coalesce(F.when(F.col("drops").isNotNull(), F.size("drops")), F.lit(0))}
+    out = found.select("row", F.struct(*[v.alias(c) for c, v in new.items()]).alias("new"))
+    passing = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*[F.col("new" if c in new else "row").getField(c).alias(c) for c in [*passing, "n_lines", "n_dropped"]])
 
 
-def dedup_lines_sql(least: int = 20) -> str:
+def dedup_lines_sql(similarity: float = SIMILARITY) -> str:
     """The digest of dedup_lines() in DuckDB's SQL, with each variant written out."""
+    least = least_length(similarity)
     return f"""
         WITH raw AS (SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS raw
                      FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i) WHERE text IS NOT NULL),
         lines AS (SELECT doc_id, line_no, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM raw),
         firsts AS (SELECT line, min((doc_id, line_no)) AS place, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
-        halves AS (SELECT line, place, n, n AS l, 0 AS side, substring(line, 1, n // 2) AS half FROM firsts WHERE n >= {least}
-             UNION ALL SELECT line, place, n, n, 1, substring(line, n // 2 + 1) FROM firsts WHERE n >= {least}
-             UNION ALL SELECT line, place, n, n - 1, 0, substring(line, 1, (n - 1) // 2) FROM firsts WHERE n >= {least}
-             UNION ALL SELECT line, place, n, n - 1, 1, substring(line, (n - 1) // 2 + 2) FROM firsts WHERE n >= {least}),
+        halves AS (SELECT line, place, n, n AS l, 0 AS side, substring(line, 1, n // 2) AS half FROM firsts WHERE n >= {least - 1}
+             UNION ALL SELECT line, place, n, n, 1, substring(line, n // 2 + 1) FROM firsts WHERE n >= {least - 1}
+             UNION ALL SELECT line, place, n, n - 1, 0, substring(line, 1, (n - 1) // 2) FROM firsts WHERE n >= {least - 1}
+             UNION ALL SELECT line, place, n, n - 1, 1, substring(line, (n - 1) // 2 + 2) FROM firsts WHERE n >= {least - 1}),
         shared AS (SELECT l, side, half FROM halves GROUP BY ALL HAVING count(DISTINCT line) > 1),
         candidates AS MATERIALIZED (SELECT DISTINCT line, place, n FROM halves JOIN shared USING (l, side, half)),
-        lacking AS MATERIALIZED (SELECT line, place, p, md5(substring(line, 1, p - 1) || substring(line, p + 1)) AS v FROM candidates, unnest(range(1, n + 1)) AS t(p)),
+        lacking AS MATERIALIZED (SELECT line, place, p, md5(substring(line, 1, p - 1) || substring(line, p + 1)) AS v FROM candidates, unnest(range(1, n + 1)) AS t(p) WHERE n >= {least}),
         near AS (SELECT a.place AS x FROM lacking a JOIN (SELECT v, p, min(place) AS m FROM lacking GROUP BY ALL) b ON a.v = b.v AND a.p = b.p WHERE m < a.place
              UNION SELECT greatest(a.place, c.place) FROM lacking a JOIN candidates c ON a.v = md5(c.line)),
         marked AS (SELECT l.doc_id, l.line_no, l.raw, l.line <> '' AND ((l.doc_id, l.line_no) <> f.place OR (l.doc_id, l.line_no) IN (SELECT x FROM near)) AS dropped

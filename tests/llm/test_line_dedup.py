@@ -33,7 +33,7 @@ def brute(rows, least):
             if not line:
                 kept.append(raw)
                 continue
-            old = any(line == s or (min(len(line), len(s)) >= least - 1 and max(len(line), len(s)) >= least and len(line) >= least - 1 and within_one(line, s)) for s in seen) if line else False
+            old = any(line == s or (max(len(line), len(s)) >= least and within_one(line, s)) for s in seen)
             if not old:
                 kept.append(raw)
             seen.append(line)
@@ -62,9 +62,7 @@ def test_against_all_pairs(docs_of, seed):
     texts = ["\n".join(rng.choice(["  ", "", "\t"]) + edited(edited(rng.choice(base), rng), rng) + rng.choice(["", " \r"]) for _ in range(rng.randrange(1, 8))) for _ in range(40)]
     got = {r.doc_id: r for r in dedup_lines(docs_of(texts)).collect()}
     want = brute(list(enumerate(texts)), 20)
-    # Lines just under the least length are near only to a longer one.
-    wrong = [i for i in want if got[i].text != want[i] and not any(len(x.strip()) == 19 for x in texts[i].split("\n"))]
-    assert not wrong
+    assert {i: got[i].text for i in want} == want
     assert all(got[i].n_lines == len(t.split("\n")) and got[i].n_lines - got[i].n_dropped >= 0 for i, t in enumerate(texts))
 
 
@@ -77,7 +75,7 @@ def test_a_large_group_at_one_place_keeps_the_earliest(docs_of):
 def test_odd_texts_and_repeated_rows(docs_of):
     texts = [*ODD, "y" * 3000, "y" * 2999, "same line of some length here", "same line of some length here"]
     ids = [*range(len(texts) - 1), len(texts) - 2]
-    df = docs_of(texts, ids=ids).withColumns({c: F.lit(1) for c in ("line", "k1", "of", "drops", "at", "v")})
+    df = docs_of(texts, ids=ids).withColumns({c: F.lit(1) for c in ("line", "k1", "of", "drops", "at", "v", "__doc_id", "__text", "__lines", "row", "lines", "cuts", "a.b")})
     out = dedup_lines(df)
     assert set(df.columns) | {"n_lines", "n_dropped"} == set(out.columns)
     got = [(r.doc_id, r.text) for r in out.collect()]
@@ -97,3 +95,23 @@ def test_same_id_with_other_text(docs_of):
 def test_empty(docs_of):
     assert dedup_lines(docs_of([])).collect() == []
     assert np.array(_powers(3)).dtype == np.uint64
+
+
+def test_null_ids_come_first(docs_of):
+    texts = ["this line here is long enough a", "this line here is long enough b", "this line here is long enough b\nx"]
+    got = {(r.doc_id, r.text) for r in dedup_lines(docs_of(texts, ids=[0, None, 3])).collect()}
+    assert got == {(None, texts[1]), (0, ""), (3, "x")}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.75, 0.9, 0.95, 0.98])
+def test_lines_of_every_length_near_or_not_by_their_similarity(docs_of, similarity):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abc") for _ in range(n)) for n in range(1, 60)]
+    texts = [t for b in base for t in (b, edited(b, rng))]
+    got = {r.doc_id: r.text for r in dedup_lines(docs_of(texts), similarity).collect()}
+    assert got == brute(list(enumerate(texts)), round(1 / (1 - similarity)))
+
+
+def test_rows_that_share_an_id_count_as_documents_by_their_text(docs_of):
+    rows = dedup_lines(docs_of(["a", "a", "b\na"], ids=[None, None, 1]).withColumn("n_lines", F.lit("mine"))).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in rows) == [("1", "b", 2, 1), ("None", "a", 1, 0), ("None", "a", 1, 0)]
