@@ -35,6 +35,30 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def unknown_here() -> str:
+    """The code points that Python's Unicode tables don't know yet."""
+    return "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+
+
+def newer_lower_case(unknown: str) -> dict[int, str]:
+    """Lower case, as the tokenizers library has it, of letters that Python's tables don't know yet."""
+    from tokenizers.normalizers import Lowercase
+
+    lowered = Lowercase().normalize_str(unknown)
+    if len(lowered) == len(unknown):
+        return {ord(c): low for c, low in zip(unknown, lowered, strict=True) if c != low}
+    return {ord(c): low for c in unknown if (low := Lowercase().normalize_str(c)) != c}
+
+
+def stand_ins(unknown: str, path: str) -> dict[int, str]:
+    """For code points whose class the regex module may see otherwise than the library: a letter, a digit or a sign that both see alike."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    kind = lambda c: "ж" if len(split(f"a{c}")) == 1 else "0" if len(split(f"!{c}")) == 2 else "!"
+    return {ord(c): kind(c) for c in regex.findall(r"[\p{L}\p{N}]", unknown)}
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -52,12 +76,23 @@ class Bpe:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = regex.compile(WORDS)
         self.known: dict[str, tuple[int, ...]] = {}
+        unknown = unknown_here()
+        self.newer, self.stand_ins = newer_lower_case(unknown), stand_ins(unknown, path)
+        any_of = lambda points: regex.compile("[" + "".join(map(chr, points)) + "]" if points else r"(?!)")
+        self.has_newer, self.has_doubtful = any_of(self.newer), any_of(self.stand_ins)
 
     def normalised(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and self.has_newer.search(text):
+            text = text.translate(self.newer)
         # Lower case goes character by character: a final sigma has no form of its own.
         return text.lower() if "Σ" not in text else "σ".join(part.lower() for part in text.split("Σ"))
 
+    def words_of(self, text: str) -> list[str]:
+        if text.isascii() or not self.has_doubtful.search(text):
+            return self.words.findall(text)
+        return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.stand_ins))]
+
     def word(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8")
         symbol = [self.inner[b] for b in data[:-1]]
@@ -99,7 +134,7 @@ class Bpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            for word in self.words.findall(self.normalised(part)):
+            for word in self.words_of(self.normalised(part)):
                 ids = known.get(word)
                 if ids is None:
                     ids = self.word(word)
