@@ -16,6 +16,7 @@ blocks of rows, pair by pair of blocks. Equal vectors are one, with a number of
 from __future__ import annotations
 
 import math
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -47,18 +48,25 @@ def count_asked(lines: int = LINES, spread: float = SPREAD, recall: float = RECA
     return 0
 
 
-def directions(dim: int, lines: int = LINES) -> np.ndarray:
-    found = np.random.default_rng([dim, lines]).standard_normal((dim, lines))
+@cache
+def directions(dim: int, turn: int = 0, lines: int = LINES) -> np.ndarray:
+    found = np.random.default_rng([dim, lines, turn]).standard_normal((dim, lines))
     return found / np.linalg.norm(found, axis=0)
 
 
-def projected(vectors: pd.Series) -> pd.Series:
-    out = []
-    for v in vectors:
-        v = np.asarray(v, float)
-        v = v / np.abs(v).max()
-        out.append((v / np.linalg.norm(v) @ directions(len(v))).astype(np.float32))
-    return pd.Series(out)
+def projections(vector: Column, turn: int = 0) -> Column:
+    """Where a vector of length one in its direction lies on each line; each turn has lines of its own."""
+
+    @F.pandas_udf("array<float>")
+    def on_lines(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            v = np.asarray(v, float)
+            v = v / np.abs(v).max()
+            out.append((v / np.linalg.norm(v) @ directions(len(v), turn)).astype(np.float32))
+        return pd.Series(out)
+
+    return on_lines(vector)
 
 
 def usable(vector: Column) -> Column:
@@ -105,10 +113,19 @@ def linked_in_cell(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def cells(points: DataFrame, threshold: float, most: int) -> DataFrame:
-    """(node, cell, made): points split along lines until cells hold `most` rows or no line splits them."""
+    """(node, cell, made): points split along lines until cells hold `most` rows or no line splits them.
+
+    After LINES lines new ones are drawn. It ends when LINES lines one after another split no
+    cell, or when `made` has no bit left (62 splits of a cell).
+    """
     state = points.select("node", "dim", "p", F.xxhash64("label", "dim").alias("cell"), F.lit(0).cast("long").alias("made"))
-    for level in range(LINES):
-        at = F.get("p", F.lit(level))
+    idle = 0
+    for level in range(62):
+        turn, line = divmod(level, LINES)
+        if turn and not line:
+            fresh = cut(points.select("node", projections(F.col("v"), turn).alias("p")), "projections")
+            state = cut(state.drop("p").join(fresh, "node"), "cells")
+        at = F.get("p", F.lit(line))
         stats = state.groupBy("cell", "dim").agg(F.count("*").alias("n"), F.percentile_approx(at, [0.5, 0.75], 1000).alias("q"))
         half = F.lit(window_of(threshold, 1)) / F.sqrt("dim")
         stats = stats.where(F.col("n") > most).select("cell", "n", F.col("q")[0].cast("double").alias("median"), (F.col("q")[0] + half).alias("edge"), F.col("q")[1].alias("upper"))
@@ -117,7 +134,11 @@ def cells(points: DataFrame, threshold: float, most: int) -> DataFrame:
             break
         split = stats.where("upper > edge").select("cell", "median", "edge")
         if split.isEmpty():
+            idle += 1
+            if idle == LINES:
+                break
             continue
+        idle = 0
         child = lambda above: F.struct(F.xxhash64("cell", F.lit(level), F.lit(above)).alias("cell"), F.col("made"))
         copied = F.struct(F.xxhash64("cell", F.lit(level), F.lit(0)).alias("cell"), F.col("made").bitwiseOR(F.lit(1 << level)).alias("made"))
         to = F.when(F.col("median").isNull(), F.array(F.struct("cell", "made"))).when(at <= F.col("median"), F.array(child(0))).when(at <= F.col("edge"), F.array(child(1), copied)).otherwise(F.array(child(1)))
@@ -132,13 +153,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, most: int = 204
     A vector that is null, empty, all zeros or holds a null or a non-finite component links
     with nothing and is kept. Every link found has a cosine of `threshold` or more; about
     RECALL of those at the threshold are found, and nearly all that are closer. Equal
-    vectors are all found. vec_id is taken to name one vector. Other columns are ignored;
-    an empty table gives none.
+    vectors are all found. Rows that repeat a vec_id are vectors of their own, linked and
+    counted each; component_id is the least vec_id that links reach, and all rows with that
+    id are kept. A null vec_id is after all others. Other columns are ignored; an empty table
+    gives none. Labels and vectors are told apart by 128 bits of hash.
     """
     rows = embeddings.select("vec_id", "label", F.col("embedding").alias("v")).withColumn("usable", usable(F.col("v")) & F.col("label").isNotNull())
     keyed = rows.where("usable").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
-    distinct = keyed.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    points = cut(distinct.withColumn("dim", F.size("v")).withColumn("p", F.pandas_udf(projected, "array<float>")("v")), "points")
+    distinct = keyed.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    points = distinct.withColumns({"node": F.xxhash64("label", "k1", "k2"), "dim": F.size("v")})
+    points = cut(points.withColumn("p", projections(F.col("v"))), "points")
     placed = cells(points, threshold, most)
     placed = cut(placed, "placed")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / most).cast("int").alias("parts"))
@@ -148,9 +172,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, most: int = 204
     found = cut(dealt.groupBy("cell", "lo", "hi").applyInPandas(lambda frame: linked_in_cell(frame, threshold), "node long, links long, root long"), "links")
     tally = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    rooted = cut(points.select("label", "k1", "k2", "node", "copies").join(tally, "node", "left").join(labels.withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
+    rooted = cut(points.select("label", "k1", "k2", "node", "first", "copies").join(tally, "node", "left").join(labels.withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     told = rooted.join(least, "root").select("label", "k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     joined = keyed.select("vec_id", "label", "k1", "k2").join(cut(told, "told"), ["label", "k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

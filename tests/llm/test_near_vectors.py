@@ -77,3 +77,31 @@ def test_odd_vectors(spark):
 def test_count_and_window():
     assert 0 < count_asked() <= 16 and count_asked(recall=0.5) >= count_asked(recall=0.999)
     assert window_of(0.98, 64) == pytest.approx(2.5 * 0.025)
+
+
+def test_rows_that_repeat_an_id(spark):
+    one = np.eye(8, dtype=np.float32).tolist()
+    rows = [(7, one[0], 1), (7, one[1], 1), (3, one[0], 1), (9, one[1], 1), (None, one[1], 1), (7, None, 1), (None, one[2], 1)]
+    got = sorted(map(str, map(tuple, near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())))
+    want = [(7, 1, 3, False), (3, 1, 3, True), (7, 2, 7, True), (9, 2, 7, False), (None, 2, 7, False), (7, 0, 7, True), (None, 0, None, True)]
+    assert got == sorted(map(str, want))
+
+
+def test_cells_split_on_after_the_first_lines(spark, monkeypatch):
+    """With two lines a turn, cells need lines of later turns; few pairs are lost."""
+    from alertlake.llm import near_vectors as module
+
+    rows = made(900, np.random.default_rng(11))
+    turns = []
+    monkeypatch.setattr(module, "LINES", 2)
+    plain = module.projections
+    monkeypatch.setattr(module, "projections", lambda v, turn=0: turns.append(turn) or plain(v, turn))
+    points = spark.createDataFrame(rows, SCHEMA).select("vec_id", F.col("vec_id").alias("node"), "label", F.col("embedding").alias("v"))
+    points = points.withColumns({"dim": F.size("v"), "p": plain(F.col("v"))}).cache()
+    placed = module.cells(points, 0.98, 60).collect()
+    assert max(turns) >= 1 and {r.node for r in placed} == set(range(900))
+    of = {}
+    for r in placed:
+        of.setdefault(r.node, set()).add(r.cell)
+    met = [bool(of[a] & of[b]) for a, b in all_links(rows)]
+    assert np.mean(met) >= 0.97 and len(placed) > 900
