@@ -133,6 +133,6 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", window: int = 2048,
     """
     pieces = cut(tokenised(docs, vocabulary, window), "pieces")
     packs = max(1, -(-pieces.count() // pack_pieces))
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start"), F.lit(packs)).cast("int"))
+    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32"), F.lit(packs)).cast("int"))
     schema = PACKED
     return dealt.groupBy("pack").applyInPandas(lambda frame: pack_pieces_of(frame.astype({"doc_id": "Int64"}), window)[[c.split()[0] for c in schema.split(", ")]], schema)
