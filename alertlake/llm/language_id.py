@@ -21,9 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LETTERS = 64
-CODES = LETTERS + LETTERS**2 + LETTERS**3
+from alertlake.llm.shared import cut
+
 UNKNOWN = "und"
+NO_LETTER = np.int64((1 << 21) - 1)  # above all code points
+CELLS = 1 << 24  # of a batch's matrix of presences
 
 
 @cache
@@ -35,69 +37,57 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@dataclass
-class Alphabet:
-    """The letters of the fitted sample by frequency: code 0 for what is no letter, 1 to 62 for the first, 63 for the rest."""
-
-    letters: np.ndarray
-
-    def table(self) -> np.ndarray:
-        table = np.where(is_letter(), LETTERS - 1, 0).astype(np.int32)
-        table[self.letters] = np.arange(1, len(self.letters) + 1)
-        return table
+def grams(text: str) -> np.ndarray:
+    """The distinct n-grams of orders 1 to 3 of a text, in order; what is no letter counts as one symbol.
 
-
-def mark(codes: np.ndarray, present: np.ndarray) -> None:
-    """Set in `present` the n-grams of orders 1 to 3 of a coded text."""
-    present[codes] = True
-    if len(codes) > 1:
-        pairs = codes[:-1] * LETTERS + codes[1:]
-        present[LETTERS + pairs] = True
-        if len(codes) > 2:
-            present[LETTERS + LETTERS**2 + pairs[:-1] * LETTERS + codes[2:]] = True
+    A code point takes 21 bits, so three of them in a 63-bit code are told apart whatever the script.
+    """
+    codes = points(text)
+    codes = np.where(is_letter()[codes], codes, NO_LETTER).astype(np.int64)
+    pairs = (codes[:-1] << 21) | codes[1:]
+    return np.unique(np.concatenate([codes, pairs, (pairs[:-1] << 21) | codes[2:]]))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: Alphabet
-    grams: np.ndarray  # codes of the landmarks' n-grams
+    grams: np.ndarray  # the landmarks' n-grams, in order
     landmarks: np.ndarray  # n-gram x landmark, each column over the root of its sum
     weights: np.ndarray  # landmark x language, the Nystroem map folded in
 
-    def kernels(self, texts: list[str], table: np.ndarray) -> np.ndarray:
-        present, rows, sizes = np.zeros(CODES, bool), np.empty((len(texts), len(self.grams)), np.float32), np.empty(len(texts))
-        for i, text in enumerate(texts):
-            present[:] = False
-            mark(table[points(text)], present)
-            rows[i], sizes[i] = present[self.grams], present.sum()
-        return (rows @ self.landmarks) / np.sqrt(np.maximum(sizes, 1))[:, None]
-
-    def scores(self, texts: list[str], table: np.ndarray) -> np.ndarray:
-        return self.kernels(texts, table) @ self.weights
-
-
-def fit(texts: list[str], languages: list[str], landmarks_each: int, ridge: float = 1e-2) -> Model:
-    names = sorted(set(languages))
-    seen, counts = np.unique(np.concatenate([points(t) for t in texts]), return_counts=True)
-    seen, counts = seen[is_letter()[seen]], counts[is_letter()[seen]]
-    alphabet = Alphabet(seen[np.lexsort((seen, -counts))][: LETTERS - 2].astype(np.int64))
-    table, chosen, taken = alphabet.table(), [], dict.fromkeys(names, 0)
-    for i, name in enumerate(languages):
-        if taken[name] < landmarks_each:
-            taken[name] += 1
-            chosen.append(i)
-    held = np.zeros((len(chosen), CODES), bool)
-    for row, i in zip(held, chosen, strict=True):
-        mark(table[points(texts[i])], row)
-    grams = np.flatnonzero(held.any(axis=0))
-    landmarks = (held[:, grams] / np.sqrt(np.maximum(held.sum(axis=1), 1))[:, None]).T.astype(np.float32)
-    model = Model(names, alphabet, grams, landmarks, np.eye(len(chosen)))
+    def kernels(self, texts: list[str]) -> np.ndarray:
+        out, batch = np.empty((len(texts), self.landmarks.shape[1]), np.float32), max(1, CELLS // max(1, len(self.grams)))
+        for at in range(0, len(texts), batch):
+            some = texts[at : at + batch]
+            rows, sizes = np.zeros((len(some), len(self.grams)), np.float32), np.empty(len(some), np.float32)
+            for i, text in enumerate(some):
+                own = grams(text)
+                place = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+                rows[i, place[self.grams[place] == own]], sizes[i] = 1, max(1, len(own))
+            out[at : at + batch] = (rows @ self.landmarks) / np.sqrt(sizes)[:, None]
+        return out
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self.kernels(texts) @ self.weights
+
+
+def fit(texts: list[str], languages: list[str], landmarks_each: int, ridge: float = 1e-2, landmark_chars: int = 2000) -> Model:
+    """Landmarks are the first texts of a language of at most `landmark_chars` characters, then its shortest others."""
+    names, chosen = sorted(set(languages)), []
+    for name in names:
+        own = sorted((max(0, len(texts[i]) - landmark_chars), i) for i, of in enumerate(languages) if of == name)
+        chosen += [i for _, i in own[:landmarks_each]]
+    held = [grams(texts[i]) for i in chosen]
+    all_ = np.unique(np.concatenate(held))
+    landmarks = np.zeros((len(all_), len(chosen)), np.float32)
+    for k, own in enumerate(held):
+        landmarks[np.searchsorted(all_, own), k] = 1 / np.sqrt(max(1, len(own)))
+    model = Model(names, all_, landmarks, np.eye(len(chosen)))
     among = landmarks.T.astype(float) @ landmarks
     values, vectors = np.linalg.eigh(among)
     kept = values > 1e-6 * values[-1]
     to_features = vectors[:, kept] / np.sqrt(values[kept])
-    features = np.concatenate([model.kernels(texts[i : i + 256], table) for i in range(0, len(texts), 256)]) @ to_features
+    features = model.kernels(texts) @ to_features
     signs = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
     # A language with many rows weighs no more than one with few.
     weight = 1 / np.array([languages.count(n) for n in names])[np.searchsorted(names, languages)]
@@ -107,26 +97,30 @@ def fit(texts: list[str], languages: list[str], landmarks_each: int, ridge: floa
     return model
 
 
-def learn(docs: DataFrame, per_language: int = 300, landmarks_each: int = 32, most_chars: int = 20_000, most_languages: int = 200) -> Model | None:
+def learn(docs: DataFrame, per_language: int = 300, landmarks_each: int = 32, most_chars: int = 20_000, most_rows: int = 6_000, least_each: int = 8) -> Model | None:
     """Fit on `per_language` rows of each language at most, chosen by a hash of their doc_id.
 
     Learns from rows with a language, a text with a letter of at most `most_chars`
-    characters, and crc32(doc_id as text) mod 3 other than 1; None where there is none. These bounds
-    hold the sample that reaches the driver to per_language x most_languages rows.
+    characters, and crc32(doc_id as text) mod 3 other than 1; None where there is none. All
+    languages are learned. With so many that the sample would pass `most_rows` rows, each has
+    fewer rows, `least_each` at least: the sample that reaches the driver has most_rows rows,
+    or least_each for each language where that is more.
     """
     own = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     own = own.where((F.length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
     # Of a language's rows those with the least hashes are ranked only, about 2 * per_language + 100 of them, so that
     # the ranking gets as many rows whatever the input. The counts that tell how many that is have one row a language.
-    counts = own.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages)
+    counts = cut(own.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    languages = counts.count()
+    if not languages:
+        return None
+    per_language = min(per_language, max(least_each, most_rows // languages))
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
-    low = own.select("doc_id", "lang", share.alias("share")).join(F.broadcast(counts), "lang").where(F.col("share") < (2 * per_language + 100) / F.col("rows"))
+    low = own.select("doc_id", "lang", share.alias("share")).join(counts, "lang").where(F.col("share") < (2 * per_language + 100) / F.col("rows"))
     order = Window.partitionBy("lang").orderBy("share", "doc_id")
     narrow = low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    # At most per_language x most_languages ids, then their texts.
-    chosen = narrow.orderBy("lang", "place").limit(per_language * most_languages).select("doc_id", "lang", "place").collect()
-    if not chosen:
-        return None
+    # The sample's ids, then their texts.
+    chosen = narrow.orderBy("lang", "place").select("doc_id", "lang", "place").collect()
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"], r["place"]) for r in chosen], "doc_id long, lang string, place int")
     rows = own.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "place").agg(F.min("text").alias("text")).orderBy("lang", "place").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks_each)
@@ -138,18 +132,17 @@ def scorer(spark: SparkSession, model: Model | None):
     `und` with score 0 where the text is null or has no letter, or nothing could be learned.
     The score is the winner's, (1 + s) / 2 held to 0..1. Ties go to the first name.
     """
-    sent = spark.sparkContext.broadcast(model)  # n-grams x landmarks of the bounded sample
+    sent = spark.sparkContext.broadcast(model)  # n-grams x landmarks of a bounded number of bounded texts
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, letter = sent.value, is_letter()
-        table = model.alphabet.table() if model else None
         for batch in batches:
             names, scores = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
             known = np.array([i for i, t in enumerate(batch) if model and t and letter[points(t)].any()], int)
             for at in range(0, len(known), 256):
                 rows = known[at : at + 256]
-                found = model.scores(batch.iloc[rows].tolist(), table)
+                found = model.scores(batch.iloc[rows].tolist())
                 names[rows] = np.array(model.languages, object)[found.argmax(axis=1)]
                 scores[rows] = np.clip((1 + found.max(axis=1)) / 2, 0, 1)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
@@ -158,7 +151,7 @@ def scorer(spark: SparkSession, model: Model | None):
 
 
 def identified(docs: DataFrame, **bounds: int) -> DataFrame:
-    """docs with a column `language`: struct(lang_pred, score)."""
+    """docs with a column `language`: struct(lang_pred, score); one of that name is replaced, other columns pass."""
     return docs.withColumn("language", scorer(docs.sparkSession, learn(docs, **bounds))("text"))
 
 

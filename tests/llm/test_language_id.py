@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -41,7 +42,67 @@ def test_kernel_is_the_share_of_common_ngrams():
     texts, langs = ["abcab", "bcd", "xyz xyz"], ["u", "v", "w"]
     model = fit(texts, langs, landmarks_each=1)
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    got = model.kernels(["abd", "xyz"], model.alphabet.table())
+    got = model.kernels(["abd", "xyz"])
     for row, text in zip(got, ["abd", "xyz"], strict=True):
         want = [len(grams(text) & grams(t)) / np.sqrt(len(grams(text)) * len(grams(t))) for t in texts]
         np.testing.assert_allclose(row, want, rtol=1e-5)
+
+
+def words_in(script, rng, kinds=30):
+    return ["".join(chr(rng.choice(script)) for _ in range(rng.randrange(2, 5))) for _ in range(kinds)]
+
+
+def test_scripts_with_thousands_of_letters(docs_of):
+    """Two languages over disjoint alphabets of 1,000 letters, and three scripts at once."""
+    rng = random.Random(1)
+    alphabets = {"x1": range(0x4E00, 0x51E8), "x2": range(0x51E8, 0x55D0), "ko": range(0xAC00, 0xAE00), "ja": range(0x3041, 0x3097), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3C9), "fr": [*range(97, 123), *range(0xE0, 0xFD)]}
+    own = {k: words_in(v, rng, 400) for k, v in alphabets.items()}
+    langs = [k for k in own for _ in range(60)]
+    texts = [" ".join(rng.choices(own[k], k=40)) for k in langs]
+    rows = identify(docs_of(texts, langs)).collect()
+    held = [r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]
+    assert len(held) > 100 and np.mean(held) >= 0.99
+
+
+def test_every_language_is_learned(docs_of):
+    """More languages than the sample has rows for at 300 each."""
+    rng = random.Random(2)
+    own = {f"l{i}": words_in(range(97, 123), rng) for i in range(230)}
+    langs = [k for k in own for _ in range(12)]
+    texts = [" ".join(rng.choices(own[k], k=60)) for k in langs]
+    rows = identify(docs_of(texts, langs), most_rows=1000, landmarks_each=4).collect()
+    held = [r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]
+    assert np.mean(held) >= 0.95 and len({r.lang_pred for r in rows}) == 230
+
+
+def test_against_a_plain_fit_and_score(docs_of):
+    """The dual form over all n-grams as sets: kernel, Nystroem features by the inverse root, ridge by least squares."""
+    rng = random.Random(3)
+    own = {k: words_in(range(97, 123), rng) for k in ("aa", "bb", "cc")}
+    langs = [k for k in own for _ in range(20)]
+    texts = [" ".join(rng.choices(own[k], k=8)) for k in langs]
+    model = fit(texts, langs, landmarks_each=5)
+
+    def kernel(s, t):
+        a, b = ({"".join(c if c.isalpha() else "\0" for c in x[i : i + n]) for n in (1, 2, 3) for i in range(len(x) - n + 1)} for x in (s, t))
+        return len(a & b) / np.sqrt(len(a) * len(b))
+
+    marks = [t for k in own for t in [x for x, y in zip(texts, langs, strict=True) if y == k][:5]]
+    among = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(among)
+    root = vectors @ np.diag(values**-0.5) @ vectors.T
+    phi = np.array([[kernel(t, m) for m in marks] for t in texts]) @ root / np.sqrt(20)
+    lam = 1e-2 * np.trace(phi.T @ phi) / len(marks)
+    target = np.array([[1.0 if y == k else -1.0 for k in own] for y in langs]) / np.sqrt(20)
+    stacked = np.linalg.lstsq(np.vstack([phi, np.sqrt(lam) * np.eye(len(marks))]), np.vstack([target, np.zeros((len(marks), 3))]), rcond=None)[0]
+    asked = [" ".join(rng.choices(own[k], k=6)) for k in own] + ["zzz qqq"]
+    want = np.array([[kernel(t, m) for m in marks] for t in asked]) @ root @ stacked
+    np.testing.assert_allclose(model.scores(asked), want, atol=1e-3)
+
+
+def test_ties_and_null_ids(docs_of):
+    """Two languages with the same texts score alike; the first name is taken."""
+    texts = ["one two three", "one two three"] * 20
+    rows = identify(docs_of(texts, ["b", "a"] * 20, ids=[*range(39), None])).collect()
+    assert len(rows) == 40 and [r.held_out for r in rows if r.doc_id is None] == [False]
+    assert len({(r.lang_pred, r.score) for r in rows}) == 1
