@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.llm.shared import cut
@@ -19,7 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-MOST_RULES = 1000
 #: Steps between two sums of what was brought; below TINY a double has no room for more.
 FOLDED, TINY = 8, 1e-15
 
@@ -32,15 +31,27 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
-    """struct(verdict, rule) of the longest rule that fits, else null. The list is part of the plan, so it is kept short."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    first = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
-    listed = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(h + p).alias("rule")) for v, h, p in first])
-    fits = lambda r: ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"])
-    found = F.get(F.filter(listed, fits), 0)
-    return F.when(found.isNotNull(), F.struct(found["verdict"].alias("verdict"), found["rule"].alias("rule")))
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(verdict, rule_host, rule_path) of rules given as a list."""
+    return spark.createDataFrame(list(rules), "verdict string, rule_host string, rule_path string")
+
+
+def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, rules): the rules of each host and of the domains that it is under, the longest first; of equally long ones the first by name.
+
+    A host is joined by its name and by what follows each of its dots, so any number of rules
+    meets any number of hosts by an equi-join. Hosts without rules have no row.
+    """
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("host", "[.]"))), lambda i: F.array_join(F.slice(F.split("host", "[.]"), i, 1 << 16), "."))
+    of = F.struct((-F.length("rule_host") - F.length("rule_path")).alias("n"), "verdict", "rule_host", "rule_path")
+    met = hosts.select("host", F.explode(above).alias("rule_host")).join(rules, "rule_host")
+    return met.groupBy("host").agg(F.sort_array(F.collect_set(of)).alias("rules"))
+
+
+def rule_of(rules: Column, path: Column) -> Column:
+    """struct(verdict, rule) of the first of a host's rules that fits the path, else null."""
+    found = F.get(F.filter(rules, lambda r: F.startswith(path, r["rule_path"])), 0)
+    return F.when(found.isNotNull(), F.struct(found["verdict"].alias("verdict"), F.concat(found["rule_host"], found["rule_path"]).alias("rule")))
 
 
 def host_edges(judged: DataFrame) -> DataFrame:
@@ -82,19 +93,24 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, least: float)
     return scores.groupBy("host").agg(by("trust"), by("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
-    A url that is null or has no :// has neither host nor path, fits no rule and is
-    allowed; null html has no links; repeated rows are judged each; an empty table gives
-    none. Hosts without links keep what their own rules gave them. A host is blocked whose
-    distrust is above its trust by more than `least`.
+    rules: (verdict, host, path) each, as a list or, where there are very many, as a table
+    (verdict, rule_host, rule_path). A url that is null or has no :// has neither host nor
+    path, fits no rule and is allowed; null html has no links; repeated rows are judged
+    each; an empty table gives none. Hosts without links keep what their own rules gave
+    them. A host is blocked whose distrust is above its trust by more than `least`. Other
+    columns are ignored.
     """
+    spark = pages.sparkSession
+    table = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    judged = url.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = cut(rules_of_hosts(url.select("host").distinct(), table), "rules-of-hosts")
+    judged = url.join(ruled, "host", "left").withColumn("found", rule_of(F.col("rules"), F.col("path"))).drop("rules")
     share = lambda verdict: F.avg(F.when(F.col("found.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = cut(judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "seeds")
-    ranks = cut(propagate(seeds, host_edges(judged), damping, least), "host-ranks")
+    ranks = cut(propagate(seeds, host_edges(url), damping, least), "host-ranks")
     told = judged.drop("html").join(ranks, "host", "left")
     suspect = (F.col("host") != "") & (F.col("distrust") - F.col("trust") > least)
     verdict = F.coalesce(F.col("found.verdict"), F.when(suspect, "block").otherwise("allow"))

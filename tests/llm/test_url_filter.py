@@ -1,6 +1,7 @@
 import pytest
 
-from alertlake.llm.url_filter import judge
+from alertlake.llm.queries import table
+from alertlake.llm.url_filter import RULES, judge, judge_sql, rule_table
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -93,3 +94,33 @@ def test_walks_go_on_until_verdicts_stand(pages):
     want = walk({h: float(h == "bad.com") for h in got}, edges, rounds=300)
     assert all(got[h].distrust == pytest.approx(want[h], abs=1e-6) for h in got)
     assert got["h15.fr"].distrust == pytest.approx(0.15 * 0.85**15 / 2)
+
+
+def test_thousands_of_rules(pages, spark):
+    """More rules than a plan could list; each page falls under the longest of its own."""
+    rules = [("block", f"h{i}.com", "/a/") for i in range(3000)] + [("allow", f"h{i}.com", f"/a/{i % 7}") for i in range(3000)] + [("block", "com", "/z")]
+    urls = [(f"http://w.h{i}.com/a/{j}", None) for i in range(0, 3000, 100) for j in (i % 7, 8)] + [("http://x.com/zz", None), ("http://com", None)]
+    for given in (rules, rule_table(spark, rules)):
+        got = {r.page_id: (r.rule, r.verdict) for r in judge(pages(urls), given).collect()}
+        for k, i in enumerate(range(0, 3000, 100)):
+            assert got[2 * k] == (f"h{i}.com/a/{i % 7}", "allow") and got[2 * k + 1] == (f"h{i}.com/a/", "block")
+        assert got[len(urls) - 2] == ("com/z", "block") and got[len(urls) - 1][0] is None
+
+
+def test_the_tables_pages_with_links_put_in(spark, sf):
+    """The test tables' pages have relative links only: with links between their hosts, verdicts follow the SQL's walk."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    own = table(spark, sf, "pages").orderBy("page_id").toPandas()
+    hosts = own["url"].str.extract(r"://([^/?#]*)")[0].str.lower().dropna().unique()
+    rank = {h: i for i, h in enumerate(hosts)}
+    # A tree of hosts: no link leads farther than the ten steps that the SQL takes.
+    own["html"] = [f'<a href="https://{hosts[(rank[h] - 1) // 2]}/p">' if (h := (u or "").split("://")[-1].split("/")[0].lower()) in rank and rank[h] else None for u in own["url"]]
+    con = duckdb.connect()
+    con.register("pages", own)
+    want = sorted(con.execute(judge_sql()).fetchall(), key=lambda r: r[0])
+    got = judge(spark.createDataFrame(own)).select("page_id", "host", "path", "rule", "verdict").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == want
+    plain = judge(spark.createDataFrame(own).withColumn("html", F.lit(None).cast("string"))).select("page_id", "verdict").orderBy("page_id").collect()
+    assert [r.verdict for r in got] != [r.verdict for r in plain] and len(RULES) == 5
