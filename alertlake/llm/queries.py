@@ -13,7 +13,7 @@ from alertlake.llm.language_id import identify
 from alertlake.llm.line_dedup import dedup_lines, dedup_lines_sql
 from alertlake.llm.near_vectors import near_vectors
 from alertlake.llm.packing import pack
-from alertlake.llm.pii import pseudonymise
+from alertlake.llm.pii import key_of, pseudonymise
 from alertlake.llm.sharding import shard_rows
 from alertlake.llm.simhash import near_duplicates
 from alertlake.llm.url_filter import judge, judge_sql
@@ -53,7 +53,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pseudonymise(table(spark, sf_dir, "documents"), key_of(spark)).select("doc_id", "text", "n_entities")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from alertlake.llm.pii import ANY, GATE, pseudonymise, surrogates
+from alertlake.llm.pii import ANY, GATE, hmac, pseudonymise, surrogates
 
 from .conftest import ODD
 
@@ -13,7 +14,7 @@ def luhn(digits):
 
 
 def replaced(docs_of, *texts):
-    rows = {r.doc_id: r for r in pseudonymise(docs_of(list(texts))).collect()}
+    rows = {r.doc_id: r for r in pseudonymise(docs_of(list(texts)), "k").collect()}
     return [rows[i] for i in range(len(texts))]
 
 
@@ -29,10 +30,22 @@ TYPES = [
     ('secret = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"', r'secret = "[0-9a-f]{40}"'),
     ("password=b7db7aa4a5fcc78305 x", r"password=[a-z0-9]{18} x"),
     ("Dear Mrs. Anna Lee, hello", r"Dear Mrs\. [A-Z][a-z]{2}a [A-Z][a-z]{2}, hello"),
-    ("Herr Müller kam", r"Herr [A-Z][a-z]{4}n kam"),
+    ("Herr Müller kam", r"Herr [A-Z][a-z]{5} kam"),
+    ("Herr Jan Müller kam", r"Herr [A-Z][a-z]n [A-Z][a-z]{5} kam"),
+    ("Dr. Ann Lee is in", r"Dr\. [A-Z][a-z]{2} [A-Z][a-z]{2} is in"),
+    ("token ghp_abcdefghij0123456789ABCDEFGHIJ012345.", r"token ghp_[a-z]{10}\d{10}[A-Z]{10}\d{6}\."),
+    ("use sk-proj-abcDEF0123456789abcdef here", r"use sk-proj-[a-z]{3}[A-Z]{3}\d{10}[a-z]{6} here"),
+    ("at 2001:0db8:85a3:0:0:8a2e:0370:7334 and", r"at 2001:db8(?::[0-9a-f]{4}){6} and"),
+    ("at fe80::1ff:fe23:4567:890a and", r"at 2001:db8(?::[0-9a-f]{4}){6} and"),
+    ("password: hunter22!", r"password: [a-z]{6}\d\d!"),
+    ("API_KEY = 'abcd1234efgh5678'", r"API_KEY = '[a-z]{4}\d{4}[a-z]{4}\d{4}'"),
+    ("lives at 221 Baker Street now", r"lives at \d{3} [A-Z][a-z]{4} Street now"),
+    ("wohnt Lindenstraße 12b dort", r"wohnt [A-Z][a-z]{5}straße \d\d[a-z] dort"),
+    ("au 12 rue de la Paix ici", r"au \d\d rue de la [A-Z][a-z]{3} ici"),
+    ("en Calle Mayor 5 ya", r"en Calle [A-Z][a-z]{4} \d ya"),
     ("Госпожа Иванова тут", r"Госпожа [А-Я][а-я]{5}а тут"),
 ]
-CLEAN = ["version 4.0.1 of 12.5.2024", "number 1234567890123456", "300.300.300.300", "a@b", "5 @ 3", "555-2485 only", "12345", "Mr fox", *[t for t in ODD if t is not None]]
+CLEAN = ["version 4.0.1 of 12.5.2024", "number 1234567890123456", "300.300.300.300", "a@b", "5 @ 3", "555-2485 only", "12345", "Mr fox", "std::vector and a::b at 12:30:45", "the secret: never give up", "a token of thanks", "sk-ip", "5 Street", "Main Street", *[t for t in ODD if t is not None]]
 
 
 @pytest.fixture(scope="module")
@@ -66,10 +79,13 @@ def test_coreference_and_distinctness(docs_of):
 
 
 def test_crowded_format_draws_anew_until_all_differ(spark):
-    names = [(t, a + b) for t in ("female", "male") for a in "bcdfgh" for b in "aeiou"] + [("email", f"{c}@x.y") for c in "abcdefghijklmnopqrstuvwxyz"]
-    got = surrogates(spark.createDataFrame(names, "type string, canonical string"), "k").collect()
-    assert len(got) == len(names) == len({(r.type, r.surrogate) for r in got})
-    assert not {(r.type, r.surrogate) for r in got} & set(names)
+    names = [(t, a + b) for t in ("female", "male", "name") for a in "bcdfgh" for b in "aeiou"] + [("email", f"{c}@x.y") for c in "abcdefghijklmnopqrstuvwxyz"]
+    # Of 16 bits of two hex digits and of passwords of one letter there are fewer than are asked for: they get longer.
+    names += [("hex", f"{i:x}") for i in range(40)] + [("password", c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("token", f"ghp_{i}") for i in range(10)]
+    got = surrogates(spark.createDataFrame([(*n, None) for n in names], "type string, canonical string, hint string"), "k").collect()
+    space = lambda t: "name" if t in ("female", "male", "name") else t
+    assert len(got) == len(names) == len({(space(r.type), r.surrogate) for r in got})
+    assert not {(space(r.type), r.surrogate) for r in got} & {(space(t), c) for t, c in names}
 
 
 def test_key_decides(docs_of):
@@ -81,12 +97,12 @@ def test_key_decides(docs_of):
 def test_odd_rows(docs_of):
     texts = [*ODD, "x@y.com " * 2000, "1" * 20000, "a." * 5000 + "@", "x@y.com", "x@y.com"]
     df = docs_of(texts).withColumns({c: F.lit("k") for c in ("mention", "canonical", "type", "stream")})
-    rows = {r.doc_id: r for r in pseudonymise(df).collect()}
-    assert len(rows) == len(texts) and set(df.columns) < set(pseudonymise(df).columns)
+    rows = {r.doc_id: r for r in pseudonymise(df, "k").collect()}
+    assert len(rows) == len(texts) and set(df.columns) < set(pseudonymise(df, "k").columns)
     assert rows[len(ODD)].n_entities == 2000 and "x@y.com" not in rows[len(ODD)].text
     assert rows[len(texts) - 1].text == rows[len(texts) - 2].text == rows[len(ODD)].text.split()[0]
     assert all(rows[i].text == t for i, t in enumerate(ODD))
-    assert pseudonymise(docs_of([])).collect() == []
+    assert pseudonymise(docs_of([]), "k").collect() == []
 
 
 IBANS = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "IT60 X054 2811 1010 0000 0123 456", "NL91 ABNA 0417 1643 00", "NO93 8601 1117 947", "AT61 1904 3002 3457 3201", "ZZ61 1904 3002 3457 3"]
@@ -112,3 +128,45 @@ def test_the_gate_lets_through_whatever_has_an_entity(spark, docs_of):
     texts = [*(t for t, _ in TYPES), *(f"my key is {s} thanks" for s in secrets), *(re.sub(r"\d", "", t) for t, _ in TYPES), *IBANS, "pwd=abcd", "Passwd=secret", "Mme Curie", "Mr. Fox"]
     found = spark.createDataFrame([(t,) for t in texts], "text string").select(F.col("text").rlike(ANY).alias("any"), F.col("text").rlike(GATE).alias("gate")).collect()
     assert sum(r["any"] for r in found) >= len(TYPES) + len(secrets) and not any(r["any"] and not r["gate"] for r in found)
+
+
+def test_one_person_stays_one(docs_of):
+    """Full name, title and last name, untitled names and the address of one person, beside another of the same last name."""
+    text = "Mr. John Smith met Mr Smith and John Smith; JOHN Smith? Smith wrote from john.smith@x.com. Mrs. Mary Smith did not. Smithson stays, john too."
+    new = replaced(docs_of, text, "John Smith alone, Smith")
+    given, last = re.match(r"Mr\. (\w+) (\w+) met", new[0].text).groups()
+    mary = re.search(r"Mrs\. (\w+) ", new[0].text)[1]
+    mail = re.search(r"from (\S+)@", new[0].text)[1]
+    want = f"Mr. {given} {last} met Mr {last} and {given} {last}; JOHN {last}? {last} wrote from {mail}@"
+    assert new[0].text.startswith(want) and f"Mrs. {mary} {last} did not. Smithson stays, john too." in new[0].text
+    assert mail == f"{given}.{last}".lower() and given.endswith("n") and mary.endswith("a") and len({given, last, mary}) == 3
+    assert new[0].n_entities == 7 and new[1].text == "John Smith alone, Smith"
+
+
+def test_against_plain_replacement(docs_of):
+    """What a text becomes is what putting the surrogate of each entity in its place gives; other texts' entities don't matter."""
+    rng = random.Random(4)
+    kinds = [lambda i: f"u{i}@mail.com", lambda i: f"10.1.{i}.7", lambda i: f"123-45-{6000 + i}", lambda i: f"+1 (988) 555-{i:04d}", lambda i: f"AKIA{i:016d}"]
+    entities = [k(i) for k in kinds for i in range(12)]
+    alone = dict(zip(entities, (r.text for r in replaced(docs_of, *entities)), strict=True))
+    assert len(set(alone.values())) == len(entities) and not set(alone.values()) & set(entities)
+    texts = ["".join(f"{rng.choice(['so', 'and', 'é,'])} {rng.choice(entities)} ;\n" for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    for text, row in zip(texts, replaced(docs_of, *texts), strict=True):
+        want = re.sub(r"(?<= )(\S+@\S+|10\.\S+|123-45-\d+|\+1 \S+ \S+|AKIA\d+)(?= )", lambda m: alone[m[1]], text)
+        assert row.text == want and row.n_entities == text.count(";")
+
+
+def test_hmac_is_that_of_the_standard(spark):
+    import hashlib
+    import hmac as standard
+
+    for key in ("k", "ключ", b"\x00" * 64, "long" * 40):
+        raw = key.encode() if isinstance(key, str) else key
+        assert spark.range(1).select(F.expr(hmac("'so ä'", key))).first()[0] == standard.new(raw, "so ä".encode(), hashlib.sha256).hexdigest()
+
+
+def test_null_and_repeated_ids_and_odd_names_of_columns(docs_of):
+    df = docs_of(["x@y.com", "a", "x@y.com"], ids=[None, None, 1]).withColumns({c: F.lit("mine") for c in ("found", "row", "map", "names", "n_entities", "a.b")})
+    rows = pseudonymise(df, "k").collect()
+    assert sorted((str(r.doc_id), r.n_entities, r["map"], r["a.b"]) for r in rows) == [("1", 1, "mine", "mine"), ("None", 0, "mine", "mine"), ("None", 1, "mine", "mine")]
+    assert len({r.text for r in rows}) == 2

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline as p
+from pyspark.sql import functions as F
 
 from alertlake.llm.line_dedup import dedup_lines
 from alertlake.llm.packing import encoder
@@ -69,3 +70,21 @@ def test_languages_not_learned_go(spark, sf):
     strange = spark.createDataFrame([(10**9 + i, t, None, None, len(t)) for i, t in enumerate(UNLEARNED)], docs.schema)
     kept = {r.doc_id for r in p.language_id(spark, docs.union(strange), sf).select("doc_id").collect()}
     assert not {i for i in kept if i >= 10**9} and len(kept) >= 0.995 * docs.count()
+
+
+def test_callers_columns_and_null_ids(spark, docs_of, sf):
+    """Columns named like those that operators make come out as they went in."""
+    clash = ("language", "n_lines", "n_dropped", "n_entities", "row", "text_key", "found", "drops", "component_id")
+    base = "this is some text of the language that all documents here are in, number "
+    texts = [f"{base}{i} and more of it x{i}@y.com" for i in range(30)] + [f"{base}3 and more of it x3@y.com", None]
+    docs = docs_of(texts, ids=[*range(30), None, 31]).withColumns({c: F.lit("mine") for c in clash})
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns[5:] == list(clash) and {r[c] for r in docs.collect() for c in clash} == {"mine"}, name
+    assert docs.count() > 0
+
+
+def test_rows_that_share_an_id_are_told_apart_by_their_text(spark, docs_of, sf):
+    texts = ["one two three four five six seven", "one two three four five six seven", "other words that are not near to them"]
+    kept = p.simhash(spark, docs_of(texts, ids=[3, 5, 5]), sf).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, texts[0]), (5, texts[2])]
