@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What counts as punctuation in a message.
@@ -23,7 +23,7 @@ def normalize(text: Column) -> Column:
 def sentences(text: Column, ends: str = ".!?", newlines: bool = True) -> Column:
     """The trimmed sentences of a text; one without any is a sentence itself."""
     pattern = rf"(?U)(?<=[{ends}])\s+" + (r"|\n+" if newlines else "")
-    parts = F.filter(F.transform(F.split(text, pattern), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, pattern), lambda s: F.trim(s)), lambda s: s != "")
     return bound(parts, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(text)))
 
 
@@ -38,10 +38,23 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *texts)), 1, 16)
 
 
-def fold_name(name: Column, drop: tuple[str, ...] = ()) -> Column:
-    """A name for comparison: normalised, without the words of `drop`."""
-    words = F.filter(F.split(normalize(name), " "), lambda w: ~w.isin(list(drop))) if drop else F.split(normalize(name), " ")
-    return F.array_join(words, " ")
+# The words of a region's name that tell its kind.
+ADMIN_WORDS = (
+    "the", "federal city", "autonomous oblast", "autonomous okrug", "autonomous district", "republic of", "republic", "oblast", "krai", "region",
+    "республика", "область", "край", "автономная область", "автономный округ", "город федерального значения",
+)
+
+
+def strict_name(name: Column) -> Column:
+    """A region's name for comparison with its kind: Latin and Russian letters and digits, single spaces; null counts as empty."""
+    folded = F.translate(F.lower(F.coalesce(name, F.lit(""))), "ё", "е")
+    return F.trim(F.regexp_replace(folded, "[^a-zа-я0-9]+", " "))
+
+
+def loose_name(name: Column) -> Column:
+    """A region's name without the words that tell its kind."""
+    bare = F.regexp_replace(strict_name(name), rf"(?U)\b(?:{'|'.join(sorted(ADMIN_WORDS, key=len, reverse=True))})\b", " ")
+    return F.trim(F.regexp_replace(bare, " +", " "))
 
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -58,7 +71,7 @@ def strip_html(html: Column) -> Column:
 
 def channel_of(url: Column) -> Column:
     """The channel in the address of a post on a public page, else null."""
-    found = F.regexp_extract(url, r"://t\.me/(?:s/)?([A-Za-z0-9_]+)", 1)
+    found = F.regexp_extract(url, r"t\.me/(?:s/)?([^/?#]+)", 1)
     return F.when(found != "", found)
 
 
@@ -70,13 +83,23 @@ def fnv1a(text: Column) -> Column:
     return F.when(text == "", F.lit(2166136261)).otherwise(F.aggregate(units, F.lit(2166136261).cast("long"), step))
 
 
-def token_ngrams(text: Column, longest: int) -> Column:
-    """struct(phrase, at) of every run of 1 to `longest` words of a normalised text; `at` counts words from 0."""
-    def runs(words: Column, n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("phrase"), i.alias("at")))
-
-    return bound(F.filter(F.split(text, " "), lambda w: w != ""), lambda words: F.concat(*[runs(words, n) for n in range(1, longest + 1)]))
+def phrase_hits(texts: DataFrame, keys: list[str], n: str, phrases: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Where phrases stand as whole words: the columns of `keys`, of `phrases` (its text in `phrase`), and `at`, the word it begins at.
+
+    texts: keys and the normalised text `n`; rows whose columns `on` differ don't meet. Words
+    are exploded once and met with the first words of the phrases (far fewer than phrases, so
+    this join is the planner's to broadcast); longer runs are made only at those places, and
+    meet the phrases themselves.
+    """
+    on = on or []
+    words = lambda c: F.split(c, " ")
+    heads = phrases.select(*on, F.substring_index("phrase", " ", 1).alias("__word"), F.size(words("phrase")).alias("__size")).distinct()
+    keyed = list(dict.fromkeys([*keys, *on]))
+    each = texts.select(*keyed, words(n).alias("__words")).select(*keyed, "__words", F.posexplode("__words").alias("at", "__word"))
+    starts = each.join(heads, [*on, "__word"])
+    run = F.when(F.col("__size") == 1, F.col("__word")).otherwise(F.array_join(F.slice("__words", F.col("at") + 1, F.col("__size")), " "))
+    runs = starts.where(F.col("at") + F.col("__size") <= F.size("__words")).select(*keyed, "at", run.alias("phrase"))
+    return runs.join(phrases, [*on, "phrase"])
 
 
 def count_label(count: Column, qualifier: Column) -> Column:

@@ -54,3 +54,33 @@ def at_share(start: Column, end: Column, share: Column) -> Column:
 
 def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_millis(end) - F.unix_millis(start)) / HOUR_MS
+
+
+def local_day(instant: Column, hours: int) -> Column:
+    """The calendar day at a fixed offset from UTC."""
+    return F.to_date(instant + F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def file_stamp(instant: Column, zone: str) -> Column:
+    """An instant in a zone for the name of a file: 20260131_0930."""
+    return clock_text(instant, zone, "yyyyMMdd_HHmm")
+
+
+def playback_grid(start: Column, end: Column, minutes_per_second: float, frame_seconds: float = 0.35) -> Column:
+    """The instants that a playback shows: a frame goes on by its share of the speed (a frame counts 0.35 s at most), the last one is the end."""
+    step = max(1, round(minutes_per_second * 60_000 * min(0.35, frame_seconds)))
+    a, b = F.unix_millis(start), F.unix_millis(end)
+    grid = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((b - a) / step).cast("long")), lambda i: F.timestamp_millis(a + i * step))
+    last = F.timestamp_millis(b)
+    return F.when(F.element_at(grid, -1) < last, F.concat(grid, F.array(last))).otherwise(grid)
+
+
+def ticks(start: Column, end: Column, narrow: bool = False, zone: str = "Europe/Moscow") -> Column:
+    """array<struct<share, at, label>>: 9, 8 or 7 evenly spaced marks by the length of a range (5 where it is narrow), clock times up to 1.5 days."""
+    a, b = F.unix_millis(start), F.unix_millis(end)
+    days = (b - a) / 86_400_000
+    n = F.lit(5) if narrow else F.when(days <= 2, 9).when(days <= 7, 8).otherwise(7)
+    share = lambda i: i / (n - 1)
+    at = lambda i: F.timestamp_millis((a + (b - a) * share(i)).cast("long"))
+    label = lambda i: F.when(days <= 1.5, clock_text(at(i), zone, "HH:mm")).otherwise(clock_text(at(i), zone, "MM/dd HH"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(share(i).alias("share"), at(i).alias("at"), label(i).alias("label")))

@@ -69,6 +69,64 @@ def coverage(status: DataFrame, events: DataFrame, reports: DataFrame) -> DataFr
     return of.join(totals, F.expr("true"))
 
 
+LOCAL_SCOPES = ("city", "municipality")
+
+
+def archive_counts(events: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row: what the archive holds after all that changes it. A report that names places is local, whatever its scope."""
+    local = F.col("scope").isin(*LOCAL_SCOPES)
+    places = (F.size("mentioned_places") > 0) if "mentioned_places" in reports.columns else F.lit(False)
+    rows = events.select("region", local.alias("local"), F.lit(1).alias("e")).unionByName(reports.select("region", (local | places).alias("local"), F.lit(0).alias("e")))
+    named = F.when(F.col("region") != "", F.col("region"))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(
+        count(1 - F.col("e")).alias("archive_reports_total"), count(F.col("e")).alias("archive_events_total"),
+        F.count_distinct(named).alias("archive_regions_with_records"), F.count_distinct(F.when(F.col("local"), named)).alias("archive_regions_with_local_records"),
+    )
+
+
+def header_metrics(stored: DataFrame, status: DataFrame, events: DataFrame, reports: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """(metric, value) of a header: what the archive stored (one row, any columns), else counted anew."""
+    is_ = lambda c, v: F.col(c).eqNullSafe(F.lit(v))
+    high = is_("source_type", "telegram")
+    regions = lambda c: F.count_distinct(F.when(c, F.col("region")))
+    of_status = status.agg(
+        F.count_if(is_("source_type", "mchs_rss") & F.col("transport_ok")).alias("region_feeds_http_ok"), F.count_if(high & is_("health", "healthy")).alias("high_resolution_sources_healthy"),
+        regions(high).alias("high_resolution_regions_configured"), regions(high & F.col("transport_ok")).alias("high_resolution_regions_transport_ok"),
+        F.count_if(high & is_("health", "failed")).alias("high_resolution_sources_failed"), F.count_if(high & (F.coalesce("alert_posts", F.lit(0)) > 0)).alias("high_resolution_sources_with_alert_posts"),
+        F.count_if(high & (F.coalesce("activity_posts", F.lit(0)) > 0)).alias("high_resolution_sources_with_activity_posts"),
+        F.count_if(high & is_("transport", "mtproto") & F.col("transport_ok")).alias("telegram_mtproto_sources_used"), F.count_if(high & F.col("window_complete")).alias("high_resolution_sources_window_complete"),
+    )
+    paired = events.agg(F.count_distinct("region").alias("regions_with_paired_alerts"), F.count("*").alias("paired"))
+    waiting = unmatched.agg(F.count_if(is_("type", "unmatched_start")).alias("unmatched_starts"))
+    # All are single rows.
+    counted = of_status.join(paired, F.expr("true")).join(waiting, F.expr("true")).join(archive_counts(events, reports), F.expr("true"))
+    both = counted.select(*(F.col(c).alias(f"c_{c}") for c in counted.columns)).join(stored, F.expr("true"), "left")
+    value = lambda c: F.coalesce(F.col(c).cast("long"), F.col(f"c_{c}")) if c in stored.columns else F.col(f"c_{c}")
+    return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), value(c).cast("long").alias("value")) for c in counted.columns])).alias("m")).select("m.*")
+
+
+def in_status_order(status: DataFrame) -> DataFrame:
+    """Sources by region, then by type; sources alike in both by name."""
+    kind = ["source_type"] if "source_type" in status.columns else []
+    return status.orderBy("region", *kind, "source")
+
+
+def missing(wanted: DataFrame, had: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of `wanted` whose key `had` lacks."""
+    return wanted.join(had.select(*key).distinct(), key, "left_anti")
+
+
+def rolled_up(rows: DataFrame, levels: list[str], aggregates: list[Column]) -> DataFrame:
+    """Aggregates at every level of a hierarchy, from the total (all levels null) to the finest."""
+    return rows.rollup(*levels).agg(*aggregates)
+
+
+def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each group with their `rank`; Spark keeps k a group and task only before the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def failed_regions(status: DataFrame) -> DataFrame:
     """Configured regions that no source reached."""
     return status.select("region").distinct().join(status.where("transport_ok").select("region").distinct(), "region", "left_anti")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.functions.geo import haversine_km
+from alertlake.functions.geo import KM_LAT, RADIUS_KM, haversine_km, km_per_lon
+from alertlake.operators.stage import staged
 
 POLYGON = "array<array<struct<lon:double,lat:double>>>"
 
@@ -100,25 +103,51 @@ def seat(points: DataFrame, by: list[str], population: str) -> DataFrame:
     return best.select(*by, "s.name", "s.lon", "s.lat")
 
 
-def nearest(points: DataFrame, sites: DataFrame, k: int = 1, cell_deg: float | None = None) -> DataFrame:
-    """The k nearest sites (site_id, lon, lat) to each point (point_id, lon, lat): (point_id, site_id, km, rank).
+def on_sphere(lon: Column, lat: Column) -> list[Column]:
+    """x, y, z of a point on the sphere of radius 1: no date line, and degrees of one size everywhere."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def nearest(points: DataFrame, sites: DataFrame, k: int = 1) -> DataFrame:
+    """The k nearest sites (site_id, lon, lat) to each point (point_id, lon, lat): (point_id, site_id, km, rank); ties go to the least site_id.
 
-    Without a cell width the sites are one small table and meet every point. With it only
-    sites in the point's cell and the eight around it are looked at.
+    Points and sites meet by an equi-join on cubes around the sphere, a point with the 27
+    cubes about its own. What lies outside them is farther than a cube's side, so a point
+    whose k-th site is nearer than that is done; the others go on with cubes four times as
+    wide, until one holds the sphere. Cubes begin finer than sites lie on average, so places
+    with many sites are settled while cubes there hold few. Points without coordinates have
+    no row; point_id is taken to name one point.
     """
-    s = sites.select("site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
-    p = points.select("point_id", "lon", "lat")
-    if cell_deg is None:
-        met = p.join(s, F.expr("true"))
-    else:
-        cell = lambda c: F.floor(F.col(c) / cell_deg)
-        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-        met = p.withColumn("cx", cell("lon")).withColumn("cy", cell("lat")).join(s.withColumn("cx", around("s_lon")).withColumn("cy", around("s_lat")), ["cx", "cy"])
-    km = met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
-    if k == 1:
-        return km.groupBy("point_id").agg(F.min(F.struct("km", "site_id")).alias("m")).select("point_id", "m.site_id", "m.km", F.lit(1).alias("rank"))
-    ranked = km.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("km", "site_id")))
-    return ranked.where(F.col("rank") <= k).select("point_id", "site_id", "km", "rank")
+    cube = lambda side: [F.floor(F.col(f"__{c}") / side).cast("int").alias(f"__c{c}") for c in "xyz"]
+    placed = lambda df, *cols: df.where("lon is not null and lat is not null").select(*cols, *(v.alias(f"__{c}") for c, v in zip("xyz", on_sphere(F.col("lon"), F.col("lat")), strict=True)))
+    s = staged(placed(sites, "site_id", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")), "sites")
+    side = math.sqrt(math.pi * k / max(1, s.count())) / 4
+    left, done = placed(points, "point_id", "lon", "lat"), []
+    around = F.expr("explode(flatten(transform(sequence(-1, 1), x -> flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), z -> struct(x, y, z)))))))")
+    while True:
+        spread = s.select("site_id", "s_lon", "s_lat", *cube(side)).withColumn("__d", around)
+        spread = spread.select("site_id", "s_lon", "s_lat", *((F.col(f"__c{c}") + F.col(f"__d.{c}")).alias(f"__c{c}") for c in "xyz"))
+        met = left.withColumns({f"__c{c}": v for c, v in zip("xyz", cube(side), strict=True)}).join(spread, [f"__c{c}" for c in "xyz"])
+        km = met.select("point_id", "site_id", haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")).alias("km"))
+        best = F.struct("km", "site_id")
+        if k == 1:
+            found = km.groupBy("point_id").agg(F.array(F.min(best)).alias("best"))
+        else:
+            ranked = km.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("km", "site_id"))).where(F.col("rank") <= k)
+            found = ranked.groupBy("point_id").agg(F.sort_array(F.collect_list(best)).alias("best"))
+        whole = side >= 2  # 27 cubes hold the sphere
+        sure = F.lit(whole) | ((F.size("best") == k) & (F.element_at("best", -1)["km"] < 2 * RADIUS_KM * math.asin(min(1.0, side / 2))))
+        done.append(staged(found.where(sure), "nearest"))
+        if whole:
+            break
+        left = staged(left.join(done[-1].select("point_id"), "point_id", "left_anti"), "points-left")
+        if left.isEmpty():
+            break
+        side *= 4
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("point_id", F.posexplode("best").alias("at", "b")).select("point_id", "b.site_id", "b.km", (F.col("at") + 1).alias("rank"))
 
 
 def crossings(lines: DataFrame, most: int = 4) -> DataFrame:
@@ -139,8 +168,62 @@ def crossings(lines: DataFrame, most: int = 4) -> DataFrame:
     return met.groupBy(F.col("a_line_id").alias("line_id"), F.col("b_line_id").alias("other_id")).agg(F.least(F.lit(most), F.count("*")).cast("int").alias("n"))
 
 
-def length_km(points: DataFrame, by: list[str], order: str) -> DataFrame:
-    """(by..., km): the length of each line of points in order."""
-    within = Window.partitionBy(*by).orderBy(order)
+def length_km(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by..., km, points): the length and the number of points of each line in order."""
+    within = Window.partitionBy(*by).orderBy(*order)
     step = haversine_km(F.lag("lat").over(within), F.lag("lon").over(within), F.col("lat"), F.col("lon"))
-    return points.withColumn("__km", F.coalesce(step, F.lit(0.0))).groupBy(*by).agg(F.sum("__km").alias("km"))
+    return points.withColumn("__km", F.coalesce(step, F.lit(0.0))).groupBy(*by).agg(F.sum("__km").alias("km"), F.count("*").alias("points"))
+
+
+def legs_of(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by..., leg, km, lon, lat): each leg between two points of a line, numbered from 1, at its middle."""
+    within = Window.partitionBy(*by).orderBy(*order)
+    before = lambda c: F.lag(c).over(within)
+    legs = points.select(*by, (F.row_number().over(within) - 1).alias("leg"), haversine_km(before("lat"), before("lon"), F.col("lat"), F.col("lon")).alias("km"), ((before("lon") + F.col("lon")) / 2).alias("lon"), ((before("lat") + F.col("lat")) / 2).alias("lat"))
+    return legs.where("leg > 0")
+
+
+def route_regions(legs: DataFrame, by: list[str], lit: DataFrame) -> DataFrame:
+    """One row per route: what its legs (by..., leg, km, region or null) pass through, given the regions that are lit.
+
+    lit_km, unlit_km, outside_km, lit_regions, unlit_regions, and of the regions in the order
+    passed, between the first and the last lit one: bridge_regions, the distinct unlit ones,
+    and bridge_runs, how many times the way leaves the light.
+    """
+    told = legs.join(lit.select("region").distinct().withColumn("__lit", F.lit(True)), "region", "left")
+    inside, is_lit = F.col("region").isNotNull(), F.coalesce(F.col("__lit"), F.lit(False))
+    sums = told.groupBy(*by).agg(
+        F.sum(F.when(inside & is_lit, F.col("km")).otherwise(0.0)).alias("lit_km"), F.sum(F.when(inside & ~is_lit, F.col("km")).otherwise(0.0)).alias("unlit_km"), F.sum(F.when(~inside, F.col("km")).otherwise(0.0)).alias("outside_km"),
+        F.count_distinct(F.when(is_lit, F.col("region"))).alias("lit_regions"), F.count_distinct(F.when(inside & ~is_lit, F.col("region"))).alias("unlit_regions"),
+    )
+    # A route is one line; its legs are as many as its points.
+    within = Window.partitionBy(*by).orderBy("leg")
+    passed = told.where(inside).select(*by, "leg", "region", is_lit.alias("lit"))
+    ends = passed.where("lit").groupBy(*by).agg(F.min("leg").alias("__first"), F.max("leg").alias("__last"))
+    dark = passed.withColumn("__after", F.coalesce(F.lag("lit").over(within), F.lit(False))).join(ends, by).where("not lit and leg > __first and leg < __last")
+    bridges = dark.groupBy(*by).agg(F.count_distinct("region").alias("bridge_regions"), F.count_if("__after").alias("bridge_runs"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return sums.join(bridges, by, "left").select(*by, "lit_km", "unlit_km", "outside_km", "lit_regions", "unlit_regions", zero("bridge_regions"), zero("bridge_runs"))
+
+
+def nearest_progress(lines: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """points (by..., point_id, lon, lat) with `progress` from 0 to 1 along their line, lines being (by..., seq, lon, lat, km, progress).
+
+    lines as progress_along() gives them. Distance is taken on the plane at the point; of
+    equally near places the first counts.
+    """
+    within = Window.partitionBy(*by).orderBy("seq")
+    before = lambda c: F.lag(c).over(within)
+    legs = lines.select(*by, F.col("seq").alias("__seq"), before("lon").alias("__lon0"), before("lat").alias("__lat0"), F.col("lon").alias("__lon1"), F.col("lat").alias("__lat1"), before("progress").alias("__p0"), F.col("progress").alias("__p1")).where("__lon0 is not null")
+    met = points.join(legs, by)
+    x = km_per_lon(F.col("lat"))
+    vx, vy = (F.col("__lon1") - F.col("__lon0")) * x, (F.col("__lat1") - F.col("__lat0")) * KM_LAT
+    ux, uy = (F.col("lon") - F.col("__lon0")) * x, (F.col("lat") - F.col("__lat0")) * KM_LAT
+    met = met.withColumns({"__vx": vx, "__vy": vy, "__ux": ux, "__uy": uy})
+    size = F.col("__vx") * F.col("__vx") + F.col("__vy") * F.col("__vy")
+    share = F.coalesce(F.try_divide(F.col("__ux") * F.col("__vx") + F.col("__uy") * F.col("__vy"), size), F.lit(0.0))
+    met = met.withColumn("__t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    off = F.pow(F.col("__ux") - F.col("__vx") * F.col("__t"), 2) + F.pow(F.col("__uy") - F.col("__vy") * F.col("__t"), 2)
+    at = F.col("__p0") + (F.col("__p1") - F.col("__p0")) * F.col("__t")
+    best = met.groupBy(*by, "point_id").agg(F.min(F.struct(off.alias("off"), "__seq", at.alias("progress"), "lon", "lat")).alias("b"))
+    return best.select(*by, "point_id", "b.lon", "b.lat", "b.progress")

@@ -8,27 +8,12 @@ lies before a bucket from one row per bucket, so no key passes through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.functions.rules import ALL_LOCAL_PHRASES, found, judged
 from alertlake.functions.text import normalize, stable_id
-
-
-def previous(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: Column | None = None) -> DataFrame:
-    """rows with a column `name`: `value` of the row before, by `order` within `keys`; null for the first.
-
-    bucket: a column that rises with `order`. Without it a key is sorted by one task.
-    """
-    if bucket is None:
-        return rows.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    dealt = rows.withColumns({"__bucket": bucket, "__value": value})
-    last = dealt.groupBy(*keys, "__bucket").agg(F.max_by(F.struct("__value"), F.struct(*order)).alias("__last"))
-    last = last.withColumn("__carried", F.lag(F.col("__last")["__value"]).over(Window.partitionBy(*keys).orderBy("__bucket"))).drop("__last")
-    within = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    first = F.row_number().over(within) == 1
-    out = dealt.withColumns({"__before": F.lag("__value").over(within), "__first": first}).join(last, [*keys, "__bucket"])
-    return out.withColumn(name, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__before"))).drop("__bucket", "__value", "__before", "__first", "__carried")
+from alertlake.operators.sequences import previous
 
 
 def kept_tokens(tokens: DataFrame, keys: list[str], order: list[str], kind: str = "kind", bucket: Column | None = None) -> DataFrame:
@@ -44,9 +29,9 @@ def pair(tokens: DataFrame, keys: list[str], order: list[str], carry: list[str],
     return opened.select(*keys, *(F.col(f"__start.{c}").alias(f"start_{c}") for c in carry), *(F.col(c).alias(f"end_{c}") for c in carry))
 
 
-def still_open(tokens: DataFrame, keys: list[str], order: list[str], carry: list[str], kind: str = "kind") -> DataFrame:
+def still_open(tokens: DataFrame, keys: list[str], order: list[str], carry: list[str], kind: str = "kind", bucket: Column | None = None) -> DataFrame:
     """A row per key that ends open: keys and the columns of `carry` of the start that opened it."""
-    kept = kept_tokens(tokens, keys, order, kind)
+    kept = kept_tokens(tokens, keys, order, kind, bucket)
     # Kept tokens take turns, so the last one tells: combined before the shuffle.
     last = kept.groupBy(*keys).agg(F.max_by(F.struct(F.col(kind).alias("__kind"), *carry), F.struct(*order)).alias("last"))
     return last.where("last.__kind = 'start'").select(*keys, *(F.col(f"last.{c}").alias(c) for c in carry))
@@ -88,10 +73,15 @@ def tokens_of(posts: DataFrame) -> DataFrame:
 KEYS, ORDER = ["source", "threat", "place"], ["published_at", "order_id", "sub", "tag"]
 
 
+def day_of() -> Column:
+    """The bucket in which a key's tokens are put in order: a source may be busy, a day of it fits a task."""
+    return F.to_date("published_at")
+
+
 def pair_alerts(tokens: DataFrame, low: Column, high: Column) -> DataFrame:
     """Events: intervals that touch [low, high], with the ids, texts and tags of both ends."""
     carry = ["published_at", "post_id", "text", "url", "tag", "region", "channel"]
-    pairs = pair(tokens, KEYS, ORDER, carry)
+    pairs = pair(tokens, KEYS, ORDER, carry, bucket=day_of())
     place = F.when(F.col("place") == REGION, F.col("start_region")).otherwise(F.col("place"))
     events = pairs.select(
         stable_id(F.col("start_channel"), F.col("start_post_id"), F.col("end_post_id"), place, F.col("threat")).alias("id"),
@@ -104,7 +94,7 @@ def pair_alerts(tokens: DataFrame, low: Column, high: Column) -> DataFrame:
 
 def unmatched_starts(tokens: DataFrame) -> DataFrame:
     """Starts that nothing closed."""
-    opened = still_open(tokens, KEYS, ORDER, ["published_at", "post_id", "text", "url", "region"])
+    opened = still_open(tokens, KEYS, ORDER, ["published_at", "post_id", "text", "url", "region"], bucket=day_of())
     place = F.when(F.col("place") == REGION, F.col("region")).otherwise(F.col("place"))
     return opened.select(F.lit("unmatched_start").alias("type"), F.col("threat").alias("threat_class"), "source", "region", place.alias("place"), F.col("published_at").alias("start"), "url", "text")
 

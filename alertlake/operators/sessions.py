@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.operators.intervals import millis
+from alertlake.operators.sequences import last_known, next_known, previous, running_sum
+from alertlake.operators.stage import staged
 
 
 def anchored_sessions(rows: DataFrame, keys: list[str], at: str, within_ms: int) -> DataFrame:
     """rows with `session_start`: a session takes what comes up to `within_ms` after its first row.
 
-    Not a gap session: the reach is counted from the first row. A gap wider than the reach
-    surely ends a session, so the fold runs over the times between such gaps only, however
-    many rows a key has.
+    Not a gap session: the reach is counted from the first row. Every instant points at the
+    first one that its own session would leave out; the sessions' starts are what the first
+    instant of a key reaches by these pointers. Doubling them finds all in log2(sessions of
+    the longest dense stretch) rounds of joins, and instants are put in order inside buckets
+    of `within_ms`, so no key passes through one task. Rows without a time are left out.
     """
-    order = Window.partitionBy(*keys).orderBy("__t")
-    timed = rows.withColumn("__t", millis(F.col(at)))
-    marks = timed.groupBy(*keys, "__t").agg(F.count("*").alias("__n"))  # rows of one instant share a session
-    marks = marks.withColumn("__new", F.coalesce((F.col("__t") - F.lag("__t").over(order) > within_ms).cast("int"), F.lit(1)))
-    marks = marks.withColumn("__run", F.sum("__new").over(order))
-    runs = marks.groupBy(*keys, "__run").agg(F.sort_array(F.collect_list("__t")).alias("__ts"))
-    last = lambda acc: F.element_at(acc, -1)["s"]
-    start = lambda acc, t: F.when((F.size(acc) > 0) & (t - F.when(F.size(acc) > 0, last(acc)).otherwise(t) <= within_ms), last(acc)).otherwise(t)
-    empty = F.array().cast("array<struct<t:bigint,s:bigint>>")
-    folded = F.aggregate("__ts", empty, lambda acc, t: F.concat(acc, F.array(F.struct(t.alias("t"), start(acc, t).alias("s")))))
-    starts = runs.select(*keys, F.inline(folded)).withColumnsRenamed({"t": "__t", "s": "__s"})
-    return timed.join(starts, [*keys, "__t"]).withColumn("session_start", F.timestamp_millis("__s")).drop("__t", "__s")
+    bucket = F.floor(F.col("t") / within_ms)
+    timed = rows.where(F.col(at).isNotNull()).withColumn("t", millis(F.col(at)))
+    marks = staged(timed.select(*keys, "t").distinct(), "marks")
+    asked = marks.withColumns({"mark": F.col("t"), "of": F.lit(None).cast("long")}).unionByName(marks.select(*keys, (F.col("t") + within_ms).alias("t"), F.lit(None).cast("long").alias("mark"), F.col("t").alias("of")))
+    # At one instant the question comes after the mark: a mark just within reach isn't the next start.
+    sorted_ = asked.withColumn("turn", F.col("of").isNotNull().cast("int"))
+    jump = next_known(sorted_, keys, ["t", "turn"], F.col("mark"), "to", bucket).where("of is not null")
+    jump = staged(jump.select(*keys, F.col("of").alias("t"), "to"), "jumps")
+    # A mark more than the reach after the one before it starts a session for sure.
+    starts = previous(marks, keys, ["t"], F.col("t"), "before", bucket).where(F.coalesce(F.col("t") - F.col("before") > within_ms, F.lit(True))).select(*keys, "t")
+    starts = staged(starts, "starts")
+    same = lambda a, b, on: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{on}") == F.col("b.t")]
+    step = jump
+    while True:
+        step = step.where("to is not null")
+        reached = starts.alias("a").join(step.alias("b"), same("a", "b", "t")).select(*(F.col(f"a.{k}") for k in keys), F.col("b.to").alias("t"))
+        more = staged(starts.unionByName(reached).distinct(), "starts")
+        if more.count() == starts.count():
+            break
+        starts = more
+        step = staged(step.alias("a").join(step.alias("b"), same("a", "b", "to")).select(*(F.col(f"a.{k}") for k in keys), F.col("a.t"), F.col("b.to")), "jumps")
+    known = marks.alias("a").join(starts.withColumn("s", F.col("t")).alias("b"), same("a", "b", "t"), "left").select(*(F.col(f"a.{k}") for k in keys), F.col("a.t"), F.col("b.s"))
+    of = last_known(known, keys, ["t"], F.col("s"), "start", bucket).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("t").alias("__t"), "start")
+    on = F.col("t") == F.col("__t")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return timed.join(of, on).select(*rows.columns, F.timestamp_millis("start").alias("session_start"))
 
 
 def session_totals(rows: DataFrame, keys: list[str], at: str, within_ms: int, aggregates: list[Column]) -> DataFrame:
@@ -34,11 +53,10 @@ def session_totals(rows: DataFrame, keys: list[str], at: str, within_ms: int, ag
     return anchored_sessions(rows, keys, at, within_ms).groupBy(*keys, "session_start").agg(F.count("*").alias("observations"), *aggregates)
 
 
-def runs_of(rows: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
+def runs_of(rows: DataFrame, keys: list[str], order: str, flag: str, bucket: Column | None = None) -> DataFrame:
     """Maximal runs of rows with equal `flag`: keys, flag, first, last, length (gaps and islands)."""
-    within = Window.partitionBy(*keys).orderBy(order)
-    changed = F.coalesce((F.col(flag) != F.lag(flag).over(within)).cast("int"), F.lit(1))
-    numbered = rows.withColumn("__c", changed).withColumn("__run", F.sum("__c").over(within))
+    changed = previous(rows, keys, [order], F.col(flag), "__before", bucket).withColumn("__c", F.coalesce((F.col(flag) != F.col("__before")).cast("int"), F.lit(1)))
+    numbered = running_sum(changed, keys, [order], F.col("__c"), "__run", bucket)
     return numbered.groupBy(*keys, "__run", flag).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length")).drop("__run")
 
 

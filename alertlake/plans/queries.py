@@ -7,34 +7,16 @@ made of their keys, parts' names for a gazetteer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alertlake.functions.geo import KM_LAT, KM_LON, bearing_deg, corridor, haversine_km, haversine_sql
-from alertlake.functions.rules import labelled, labelled_sql
-from alertlake.functions.text import first_of, fnv1a, normalize, sentences, stable_id, strip_html, token_ngrams
+from alertlake.functions.geo import KM_LAT, KM_LON, bearing_deg, corridor, haversine_sql
+from alertlake.functions.rules import counted, labelled, labelled_sql
+from alertlake.functions.text import first_of, fnv1a, normalize, phrase_hits, sentences, stable_id, strip_html
+from alertlake.functions.times import local_day
 from alertlake.operators import chains, coverage, geometry, intervals, merge, pairing, sessions
 from alertlake.operators.gazetteer import without_fallback
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from alertlake.plans.registry import query, table
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,24 +133,87 @@ def fallback_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("event_type", "region").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT user_id, count(*) AS fetched_posts, count(*) FILTER (event_type = 'error') AS errors, min(ts) AS oldest, max(ts) AS newest,
-          CASE WHEN user_id % 5 = 0 AND count(*) = 0 THEN 'inactive' WHEN user_id % 3 = 0 AND user_id % 11 <> 0 AND count(*) FILTER (event_type = 'purchase') > 20 AND count(*) = 0 THEN 'quiet'
-               WHEN user_id % 11 = 0 THEN 'failed' WHEN count(*) FILTER (event_type = 'purchase') > 20 THEN 'healthy' ELSE 'degraded' END AS health FROM events GROUP BY user_id""")
+@query("""WITH s AS (SELECT DISTINCT user_id FROM events UNION SELECT DISTINCT -c_custkey FROM customer),
+          e AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, min(ts) AS oldest, max(ts) AS newest, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY user_id)
+          SELECT user_id, coalesce(n, 0) AS fetched_posts, coalesce(errors, 0) AS errors, oldest, newest,
+          CASE WHEN user_id % 5 = 0 AND n IS NULL THEN 'inactive' WHEN user_id % 3 = 0 AND user_id % 11 <> 0 AND (coalesce(p, 0) > 20 OR user_id % 2 = 0) AND n IS NULL THEN 'quiet'
+               WHEN user_id % 11 = 0 THEN 'failed' WHEN coalesce(p, 0) > 20 OR user_id % 2 = 0 THEN 'healthy' ELSE 'degraded' END AS health FROM s LEFT JOIN e USING (user_id)""")
 def status_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("fetched_posts"), F.count_if(F.col("event_type") == "error").alias("errors"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.count_if(F.col("event_type") == "purchase").alias("p"))
-    flags = {"expected_active": F.col("user_id") % 5 != 0, "transport": F.when(F.col("user_id") % 3 == 0, "mtproto").otherwise("html"), "transport_ok": F.col("user_id") % 11 != 0, "window_complete": F.col("p") > 20}
-    return per.withColumns(flags).withColumn("health", coverage.health_of()).select("user_id", "fetched_posts", "errors", "oldest", "newest", "health")
+    """Sources are users and, without any post, customers under negative numbers."""
+    sources = table(spark, sf_dir, "events").select("user_id").union(table(spark, sf_dir, "customer").select(-F.col("c_custkey"))).distinct()
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("posts"), F.count_if(F.col("event_type") == "error").alias("errors"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.count_if(F.col("event_type") == "purchase").alias("p"))
+    flags = {"fetched_posts": F.coalesce("posts", F.lit(0).cast("long")), "expected_active": F.col("user_id") % 5 != 0, "transport": F.when(F.col("user_id") % 3 == 0, "mtproto").otherwise("html"), "transport_ok": F.col("user_id") % 11 != 0, "window_complete": (F.coalesce("p", F.lit(0)) > 20) | (F.col("user_id") % 2 == 0)}
+    fetched = sources.join(per.drop("errors"), "user_id", "left").withColumns(flags).drop("posts", "p")
+    return coverage.source_status(fetched, per.select("user_id", "errors"), key="user_id").select("user_id", "fetched_posts", "errors", "oldest", "newest", "health")
+
+
+STATUS = """st AS (SELECT user_id AS source, user_id % 40 AS region, user_id % 11 <> 0 AS transport_ok, user_id % 4 <> 0 AS window_complete,
+          CASE WHEN user_id % 11 = 0 THEN 'failed' WHEN user_id % 4 <> 0 THEN 'healthy' ELSE 'degraded' END AS health, count(*) FILTER (event_type = 'purchase' AND value > 90) AS alert_posts,
+          count(*) FILTER (event_type = 'click' AND value > 80) AS activity_posts, count(*) FILTER (event_type = 'error' AND value > 90) AS missile_activity_posts FROM events GROUP BY user_id)"""
+
+
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sources of 40 regions, with counts of their posts."""
+    is_ = lambda kind, above: F.count_if((F.col("event_type") == kind) & (F.col("value") > above))
+    counts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(is_("purchase", 90).alias("alert_posts"), is_("click", 80).alias("activity_posts"), is_("error", 90).alias("missile_activity_posts"))
+    fetched = counts.select("source", (F.col("source") % 40).alias("region"), F.lit(True).alias("expected_active"), F.lit("html").alias("transport"), (F.col("source") % 11 != 0).alias("transport_ok"), (F.col("source") % 4 != 0).alias("window_complete"), F.lit(1).alias("fetched_posts"))
+    return coverage.source_status(fetched, counts)
+
+
+EVENT_ROWS = """ev AS (SELECT o_custkey % 60 AS region, CASE o_orderstatus WHEN 'F' THEN 'region' WHEN 'O' THEN 'city' ELSE 'municipality' END AS scope FROM orders WHERE o_custkey % 60 <> 7),
+          rep AS (SELECT c_nationkey + 40 AS region, CASE WHEN c_custkey % 5 = 0 THEN 'city' ELSE 'region' END AS scope, c_custkey % 7 = 0 AS placed FROM customer)"""
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.when(F.col("o_orderstatus") == "F", "region").when(F.col("o_orderstatus") == "O", "city").otherwise("municipality")
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 60).cast("string").alias("region"), scope.alias("scope"), F.lit("unmatched_start").alias("type")).where("region <> '7'")
+
 
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = F.when(F.col("c_custkey") % 7 == 0, F.array(F.struct(F.lit("p").alias("name")))).otherwise(F.array().cast("array<struct<name:string>>"))
+    return table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 40).cast("string").alias("region"), F.when(F.col("c_custkey") % 5 == 0, "city").otherwise("region").alias("scope"), places.alias("mentioned_places"))
 
-@query("""SELECT count(*) AS orders, count(DISTINCT n_regionkey) AS regions, count(DISTINCT n_nationkey) FILTER (o_orderstatus = 'F') AS nations_finished,
-          count(DISTINCT o_custkey) FILTER (o_orderpriority LIKE '1%') AS urgent_customers, count(*) FILTER (o_totalprice > 100000) AS large_orders, count(DISTINCT c_mktsegment) AS segments
-          FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+
+@query(f"""WITH {STATUS}, {EVENT_ROWS}, rec AS (SELECT region, scope, 1 AS e FROM ev UNION ALL SELECT region, scope, 0 FROM rep),
+          a AS (SELECT count(*) AS sources, count(DISTINCT region) AS regions_configured, count(*) FILTER (health = 'healthy') AS sources_healthy, count(*) FILTER (health = 'degraded') AS sources_degraded,
+          count(*) FILTER (health = 'failed') AS sources_failed, count(*) FILTER (health = 'quiet') AS sources_quiet, count(*) FILTER (health = 'inactive') AS sources_inactive, count(*) FILTER (window_complete) AS sources_window_complete,
+          count(DISTINCT region) FILTER (transport_ok) AS regions_transport_ok, count(DISTINCT region) FILTER (alert_posts > 0) AS regions_with_alert_posts, count(DISTINCT region) FILTER (activity_posts > 0) AS regions_with_activity_posts,
+          count(DISTINCT region) FILTER (missile_activity_posts > 0) AS regions_with_missile_activity FROM st),
+          b AS (SELECT sum(e)::BIGINT AS events_total, sum(1 - e)::BIGINT AS reports_total, count(DISTINCT region) AS regions_with_records, count(DISTINCT region) FILTER (scope IN ('city', 'municipality')) AS regions_with_local_records, count(DISTINCT region) FILTER (e = 1) AS regions_with_paired_alerts FROM rec)
+          SELECT * FROM a, b""")
 def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
-    return rows.agg(
-        F.count("*").alias("orders"), F.count_distinct("n_regionkey").alias("regions"), F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("n_nationkey"))).alias("nations_finished"),
-        F.count_distinct(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_custkey"))).alias("urgent_customers"), F.count_if(F.col("o_totalprice") > 100000).alias("large_orders"), F.count_distinct("c_mktsegment").alias("segments"),
-    )
+    return coverage.coverage(source_rows(spark, sf_dir), event_rows(spark, sf_dir), report_rows(spark, sf_dir))
+
+
+@query(f"""WITH {EVENT_ROWS}, rec AS (SELECT region, scope IN ('city', 'municipality') AS local, 1 AS e FROM ev UNION ALL SELECT region, scope = 'city' OR placed, 0 FROM rep)
+          SELECT sum(1 - e)::BIGINT AS archive_reports_total, sum(e)::BIGINT AS archive_events_total, count(DISTINCT region) AS archive_regions_with_records, count(DISTINCT region) FILTER (local) AS archive_regions_with_local_records FROM rec""")
+def archive_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.archive_counts(event_rows(spark, sf_dir), report_rows(spark, sf_dir))
+
+
+@query(f"""WITH {STATUS}, {EVENT_ROWS}, rec AS (SELECT region, scope IN ('city', 'municipality') AS local, 1 AS e FROM ev UNION ALL SELECT region, scope = 'city' OR placed, 0 FROM rep),
+          hi AS (SELECT *, CASE WHEN source % 9 = 0 THEN 'mchs_rss' ELSE 'telegram' END AS source_type FROM st)
+          SELECT 'region_feeds_http_ok' AS metric, count(*) FILTER (source_type = 'mchs_rss' AND transport_ok) AS value FROM hi UNION ALL SELECT 'high_resolution_sources_healthy', 12345 UNION ALL
+          SELECT 'high_resolution_regions_configured', count(DISTINCT region) FILTER (source_type = 'telegram') FROM hi UNION ALL SELECT 'high_resolution_regions_transport_ok', count(DISTINCT region) FILTER (source_type = 'telegram' AND transport_ok) FROM hi UNION ALL
+          SELECT 'high_resolution_sources_failed', count(*) FILTER (source_type = 'telegram' AND health = 'failed') FROM hi UNION ALL SELECT 'high_resolution_sources_with_alert_posts', count(*) FILTER (source_type = 'telegram' AND alert_posts > 0) FROM hi UNION ALL
+          SELECT 'high_resolution_sources_with_activity_posts', count(*) FILTER (source_type = 'telegram' AND activity_posts > 0) FROM hi UNION ALL SELECT 'telegram_mtproto_sources_used', count(*) FILTER (source_type = 'telegram' AND source % 3 = 0 AND transport_ok) FROM hi UNION ALL
+          SELECT 'high_resolution_sources_window_complete', count(*) FILTER (source_type = 'telegram' AND window_complete) FROM hi UNION ALL SELECT 'regions_with_paired_alerts', count(DISTINCT region) FROM ev UNION ALL SELECT 'paired', count(*) FROM ev UNION ALL
+          SELECT 'unmatched_starts', count(*) FROM ev UNION ALL SELECT 'archive_reports_total', count(*) FILTER (e = 0) FROM rec UNION ALL SELECT 'archive_events_total', count(*) FILTER (e = 1) FROM rec UNION ALL
+          SELECT 'archive_regions_with_records', count(DISTINCT region) FROM rec UNION ALL SELECT 'archive_regions_with_local_records', count(DISTINCT region) FILTER (local) FROM rec""")
+def header_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metric stored, one stored as null, the others counted anew."""
+    status = source_rows(spark, sf_dir).withColumns({"source_type": F.when(F.col("source") % 9 == 0, "mchs_rss").otherwise("telegram"), "transport": F.when(F.col("source") % 3 == 0, "mtproto").otherwise("html")})
+    stored = spark.range(1).select(F.lit(12345).alias("high_resolution_sources_healthy"), F.lit(None).cast("int").alias("paired"))
+    events = event_rows(spark, sf_dir)
+    return coverage.header_metrics(stored, status, events, report_rows(spark, sf_dir), events)
+
+
+@query(f"""WITH {STATUS}, s AS (SELECT *, alert_posts + 1 AS posts FROM st WHERE source % 13 <> 0), g AS (SELECT region, bool_or(transport_ok) AS works, bool_or(health IN ('failed', 'degraded')) AS poor,
+          string_agg('@' || source || '=' || health || '(' || posts || ' posts)', '; ' ORDER BY '@' || source || '=' || health || '(' || posts || ' posts)') AS sources FROM s GROUP BY region)
+          SELECT region, CASE WHEN NOT works THEN 'NO WORKING SOURCE' ELSE 'PARTIAL / DEGRADED' END AS state, sources FROM g WHERE NOT works OR poor""")
+def region_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = source_rows(spark, sf_dir).withColumns({"expected_active": F.col("source") % 13 != 0, "posts": F.col("alert_posts") + 1, "source": F.col("source").cast("string")})
+    return coverage.region_gaps(rows)
 
 
 @query("""WITH r AS (SELECT r_name AS region, n_name AS place, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 400000 THEN 8 WHEN o_orderstatus = 'F' THEN 4 WHEN o_totalprice > 400000 THEN 2 ELSE 1 END AS flag
@@ -185,7 +230,8 @@ def hierarchy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
           GROUP BY ROLLUP (r_name, n_name)""")
 def place_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
-    return rows.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("place")).agg(F.count("*").alias("customers"), F.count_distinct("c_mktsegment").alias("segments"))
+    named = rows.withColumnsRenamed({"r_name": "region", "n_name": "place"})
+    return coverage.rolled_up(named, ["region", "place"], [F.count("*").alias("customers"), F.count_distinct("c_mktsegment").alias("segments")])
 
 
 @query("SELECT user_id, event_type, arg_max({'ts': ts, 'value': value}, {'ts': ts, 'value': value}).ts AS ts, arg_max({'ts': ts, 'value': value}, {'ts': ts, 'value': value}).value AS value FROM events GROUP BY user_id, event_type")
@@ -213,14 +259,15 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
            SELECT doc_id, len(parts) AS n_parts, list_filter(parts, lambda x: regexp_matches(x, '[0-9]{3}'))[1] AS first_number FROM s""")
 def sentence_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first part of a text that holds a number, the parts being split without look-behind as both engines can."""
-    parts = F.filter(F.transform(F.split("text", r"[.!?][ \t\r\n]+|\n+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("text", r"[.!?][ \t\r\n]+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
     first = first_of(parts, lambda s: F.when(s.rlike("[0-9]{3}"), s))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(parts).cast("long").alias("n_parts"), first.alias("first_number"))
 
 
-@query()
+@query(r"""SELECT doc_id, greatest(1, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')))::INTEGER AS n_sentences FROM documents WHERE text IS NOT NULL
+           UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NULL""")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences by the look-behind split of messages (beyond RE2)."""
+    """Sentences by the look-behind split of messages; the SQL puts a line end after each mark instead."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(sentences(F.col("text"))).alias("n_sentences"))
 
 
@@ -237,26 +284,35 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNT = r"([a-z]+) ?[:=]? ?\(?([0-9]{2,6})"
 
 
-@query(f"SELECT doc_id, regexp_extract(text, '{COUNT}', 1) AS what, try_cast(regexp_extract(text, '{COUNT}', 2) AS INTEGER) AS n FROM documents WHERE regexp_matches(text, '{COUNT}')")
+COUNTED = (("shown", r"(number|about)?:? ?([0-9]{4})(?:[^0-9]|$)"), ("short", r"(number|about)? ?([0-9]{2,3})"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[«»„“”"''`…,:;.!?()\\[\\]{{}}<>|/\\\\–—−-]+', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS n FROM documents WHERE text IS NOT NULL),
+          c AS (SELECT doc_id, CASE WHEN regexp_matches(n, '{COUNTED[0][1]}') THEN regexp_extract(n, '{COUNTED[0][1]}', 2) WHEN regexp_matches(n, '{COUNTED[1][1]}') THEN regexp_extract(n, '{COUNTED[1][1]}', 2) END AS n,
+                CASE WHEN regexp_matches(n, '{COUNTED[0][1]}') THEN 'shown' WHEN regexp_matches(n, '{COUNTED[1][1]}') THEN 'short' END AS what FROM d)
+          SELECT doc_id, what, n::INTEGER AS n FROM c WHERE what IS NOT NULL""")
 def count_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").where(text.rlike(COUNT)).select("doc_id", F.regexp_extract(text, COUNT, 1).alias("what"), F.regexp_extract(text, COUNT, 2).try_cast("int").alias("n"))
+    """The first counted phrase of a text by an ordered list of patterns."""
+    found = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", counted(normalize(F.col("text")), COUNTED).alias("c"))
+    return found.where("c is not null").select("doc_id", F.col("c.count_type").alias("what"), F.col("c.count").alias("n"))
 
 
 PHRASES = """aliases AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS phrase FROM benchmark UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part)"""
 
 
-@query(f"""WITH {PHRASES}, w AS (SELECT doc_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS ws FROM documents),
+PHRASES = """aliases AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS phrase FROM benchmark UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part)"""
+
+
+@query(f"""WITH {PHRASES}, w AS (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents),
            g AS (SELECT DISTINCT doc_id, unnest(ws) AS phrase FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w)
-           SELECT phrase, count(*) AS documents, min(doc_id) AS first_doc FROM g JOIN aliases USING (phrase) GROUP BY phrase""")
+           SELECT phrase, count(*) AS documents, min(doc_id) AS first_doc FROM g JOIN aliases USING (phrase) WHERE phrase <> '' GROUP BY phrase""")
 def ngram_dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases of a dictionary found in texts, by an equi-join of word n-grams."""
+    """Phrases of a dictionary found in texts, by the equi-joins that find place names in posts."""
     names = table(spark, sf_dir, "part").select("p_name")
     two = table(spark, sf_dir, "benchmark").select(F.lower(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))).alias("phrase"))
-    aliases = two.union(names).union(names.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
-    # Grams are reduced to those in the dictionary before they are counted: the join comes first.
-    grams = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(token_ngrams(F.lower("text"), 2), lambda g: g["phrase"]))).alias("phrase"))
-    return grams.join(aliases, "phrase").groupBy("phrase").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    aliases = two.union(names).union(names.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).where("phrase <> ''").distinct()
+    hits = phrase_hits(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("n")), ["doc_id"], "n", aliases)
+    return hits.select("doc_id", "phrase").distinct().groupBy("phrase").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, min(ts) AS session_start FROM events GROUP BY user_id
@@ -276,7 +332,7 @@ def anchored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT user_id, bought, min(day) AS first, max(day) AS last, count(*) AS length FROM r GROUP BY user_id, run, bought""")
 def activity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.bool_or(F.col("event_type") == "purchase").alias("bought"))
-    return sessions.runs_of(days, ["user_id"], "day", "bought")
+    return sessions.runs_of(days, ["user_id"], "day", "bought", bucket=F.date_trunc("MONTH", "day"))
 
 
 @query("""WITH e AS (SELECT l_linenumber AS part, (l_partkey % 40)::DOUBLE AS lon1, (l_suppkey % 10)::DOUBLE AS lat1, (l_orderkey % 40)::DOUBLE AS lon2, (l_quantity::INTEGER % 10)::DOUBLE AS lat2 FROM lineitem),
@@ -304,13 +360,16 @@ def weighted_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT c_custkey, ({LON.format('c_custkey')})::DOUBLE AS lon, ({LAT.format('c_custkey')})::DOUBLE AS lat FROM customer),
-           s AS (SELECT s_suppkey, ({LON.format('s_suppkey')})::DOUBLE AS s_lon, ({LAT.format('s_suppkey')})::DOUBLE AS s_lat FROM supplier),
-           d AS (SELECT c_custkey, s_suppkey, round({haversine_sql('lat', 'lon', 's_lat', 's_lon')}, 6) AS km FROM p, s)
-           SELECT c_custkey, min(km) AS km FROM d GROUP BY c_custkey""")
+           s AS (SELECT s_suppkey, ({LON.format('s_suppkey')})::DOUBLE + s_suppkey * 1e-7 AS s_lon, ({LAT.format('s_suppkey')})::DOUBLE AS s_lat FROM supplier),
+           d AS (SELECT c_custkey, s_suppkey, {haversine_sql('lat', 'lon', 's_lat', 's_lon')} AS km FROM p, s),
+           r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS rank FROM d)
+           SELECT c_custkey, s_suppkey, round(km, 6) AS km, rank::INTEGER AS rank FROM r WHERE rank <= 2""")
 def haversine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest suppliers to each customer: cubes around the sphere, no product of the tables."""
     p = points(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("point_id"), "lon", "lat")
-    s = points(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("site_id"), "lon", "lat")
-    return geometry.nearest(p, s).select(F.col("point_id").alias("c_custkey"), F.round("km", 6).alias("km"))
+    # A little to the east with each key, so that no two sites are equally far.
+    s = points(spark, sf_dir, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("site_id"), (F.col("lon") + F.col("s_suppkey") * 1e-7).alias("lon"), "lat")
+    return geometry.nearest(p, s, k=2).select(F.col("point_id").alias("c_custkey"), F.col("site_id").alias("s_suppkey"), F.round("km", 6).alias("km"), "rank")
 
 
 @query(f"""SELECT c_custkey, (SELECT min(n_nationkey) FROM nation WHERE lon > n_nationkey * 14.0 - 178 AND lon < n_nationkey * 14.0 - 166 AND lat > -50 AND lat < 50 AND NOT (lon > n_nationkey * 14.0 - 174 AND lon < n_nationkey * 14.0 - 170 AND lat > -5 AND lat < 5)) AS region
@@ -327,23 +386,27 @@ def points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 18""")
 def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 18 of each group: the limit is the feature."""
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("p_retailprice").desc(), "p_partkey"))
-    return table(spark, sf_dir, "part").withColumn("rank", rank).where("rank <= 18").select("p_brand", "p_partkey", "p_retailprice", "rank")
+    return coverage.top_k(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], 18).select("p_brand", "p_partkey", "p_retailprice", "rank")
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+@query("SELECT DISTINCT n_nationkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8500)")
 def regions_not_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set difference and intersection as anti and semi joins."""
-    nations = table(spark, sf_dir, "nation").select("n_nationkey")
-    reached = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
-    return nations.join(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi").join(reached, "n_nationkey", "left_anti")
+    """Nations as regions, their suppliers as sources that work where their balance is high."""
+    status = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), (F.col("s_acctbal") > 8500).alias("transport_ok"))
+    return coverage.failed_regions(status).select(F.col("region").alias("n_nationkey"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    had = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
+    return coverage.missing(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), had, ["n_nationkey"])
 
 
 @query("SELECT (ts + INTERVAL 3 HOUR)::DATE AS local_day, count(*) AS n, sum((props->>'k')::INTEGER)::BIGINT AS k FROM events GROUP BY ALL")
 def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per calendar day at +03:00, with a field of their JSON."""
     events = table(spark, sf_dir, "events")
-    return events.groupBy(F.to_date(F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("local_day")).agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k int")["k"]).alias("k"))
+    return events.groupBy(local_day(F.col("ts"), 3).alias("local_day")).agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k int")["k"]).alias("k"))
 
 
 @query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
@@ -391,9 +454,7 @@ def wave_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
            SELECT l_orderkey, round(sum(coalesce({haversine_sql('lat0', 'lon0', 'lat', 'lon')}, 0)), 4) AS km, count(*) AS points FROM s GROUP BY l_orderkey""")
 def route_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir, "lineitem", "l_partkey").select("l_orderkey", "l_linenumber", "lon", "lat")
-    within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "lon", "lat")
-    km = haversine_km(F.lag("lat").over(within), F.lag("lon").over(within), F.col("lat"), F.col("lon"))
-    return p.withColumn("km", F.coalesce(km, F.lit(0.0))).groupBy("l_orderkey").agg(F.round(F.sum("km"), 4).alias("km"), F.count("*").alias("points"))
+    return geometry.length_km(p, ["l_orderkey"], ["l_linenumber", "lon", "lat"]).select("l_orderkey", F.round("km", 4).alias("km"), "points")
 
 
 @query(f"""SELECT c_custkey, round(fmod(degrees(atan2(sin(radians(10 - lon)) * cos(radians(50)), cos(radians(lat)) * sin(radians(50)) - sin(radians(lat)) * cos(radians(50)) * cos(radians(10 - lon)))) + 360, 360), 6) AS bearing,

@@ -51,6 +51,14 @@ def export_json(rows: DataFrame, path: str) -> None:
     (rows.orderBy(*order) if order else rows).write.mode("overwrite").json(path)
 
 
+def geojson_lines(rows: DataFrame) -> DataFrame:
+    """A GeoJSON feature per row with `line` (array<struct<lon, lat>>, two points or more), the other columns as properties."""
+    others = [c for c in rows.columns if c != "line"]
+    coordinates = F.transform("line", lambda p: F.array(p["lon"], p["lat"]))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(*others).alias("properties")))
+    return rows.where(F.size("line") >= 2).select(feature.alias("feature"))
+
+
 def geojson_points(rows: DataFrame) -> DataFrame:
     """A GeoJSON feature per row with lon and lat, the other columns as properties."""
     others = [c for c in rows.columns if c not in ("lon", "lat")]

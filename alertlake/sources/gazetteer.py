@@ -21,7 +21,7 @@ def place_dump(spark: SparkSession, path: str, country: str) -> DataFrame:
 
 def alias_set(*names, limit: int = 40):
     """Distinct names in order (case folded), with a letter and up to 90 characters, `limit` at most."""
-    listed = F.filter(F.transform(F.flatten(F.array(*names)), F.trim), lambda n: n.rlike(r"\p{L}") & (F.length(n) <= 90))
+    listed = F.filter(F.transform(F.flatten(F.array(*names)), lambda s: F.trim(s)), lambda n: n.rlike(r"\p{L}") & (F.length(n) <= 90))
     seen = F.transform(listed, F.lower)
     firsts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(listed))), lambda i: F.when(F.array_position(seen, F.get(seen, i - 1)) == i, F.get(listed, i - 1))), lambda n: n.isNotNull())
     return F.slice(firsts, 1, limit)

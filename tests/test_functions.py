@@ -29,10 +29,25 @@ def test_sentences(spark):
     assert one(spark, text.sentences(F.lit("  "))) == ["  "]
 
 
-def test_ngrams_stop_at_the_end(spark):
-    grams = one(spark, text.token_ngrams(F.lit("a b c"), 2))
-    assert [(g["phrase"], g["at"]) for g in grams] == [("a", 0), ("b", 1), ("c", 2), ("a b", 0), ("b c", 1)]
-    assert one(spark, text.token_ngrams(F.lit(""), 3)) == []
+def test_phrases_are_found_as_whole_words(spark):
+    texts = spark.createDataFrame([(1, "r", "a b c"), (2, "r", ""), (3, "q", "a b"), (4, "r", "ab c a b b")], "k int, g string, n string")
+    phrases = spark.createDataFrame([("r", "a", 1), ("r", "a b", 2), ("q", "b", 3), ("r", "b c d", 4)], "g string, phrase string, p int")
+    got = {(r["k"], r["at"], r["p"]) for r in text.phrase_hits(texts, ["k"], "n", phrases, on=["g"]).collect()}
+    assert got == {(1, 0, 1), (1, 0, 2), (3, 1, 3), (4, 2, 1), (4, 2, 2)}
+
+
+def test_what_stands_at_the_ends_of_items_is_white_space_only(spark):
+    """transform() hands a function of two parameters the index too: sentences and names keep their digits."""
+    from alertlake.sources.gazetteer import alias_set
+
+    assert one(spark, text.sentences(F.lit("0 ab 0.  1 cd 1. 2"))) == ["0 ab 0.", "1 cd 1.", "2"]
+    assert one(spark, alias_set(F.array(F.lit(" 0a0 "), F.lit("b1"), F.lit("B1")))) == ["0a0", "b1"]
+
+
+def test_names_of_regions(spark):
+    assert one(spark, text.strict_name(F.lit("Республика  Алтай—(Ёж)"))) == "республика алтай еж"
+    assert one(spark, text.loose_name(F.lit("Алтайский край"))) == "алтайский" and one(spark, text.loose_name(F.lit("Republic of Altai"))) == "altai"
+    assert one(spark, text.loose_name(F.lit("Ямало-Ненецкий автономный округ"))) == "ямало ненецкий" and one(spark, text.strict_name(F.lit(None).cast("string"))) == ""
 
 
 def fnv(s):

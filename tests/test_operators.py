@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from alertlake.operators import chains, coverage, geometry, intervals, merge, pairing, sessions
+from alertlake.functions.geo import haversine
+from alertlake.operators import chains, coverage, geometry, intervals, merge, pairing, sequences, sessions
 
 T0 = datetime(2026, 1, 1)
 
@@ -178,6 +179,10 @@ def test_chain_follows_the_corridor(spark):
     assert [(r["end_id"], r["path"], r["illustrative"]) for r in got] == [(9, [1, 2], True)]
     again = chains.chains(nodes, ends).withColumn("w", F.lit(1)).unionByName(chains.chains(nodes, ends).withColumns({"w": F.lit(1), "end_id": F.lit(10).cast("long")}))
     assert [r["end_id"] for r in chains.chosen_chains(again, ["w"], 5).collect()] == [9]
+    apart = nodes.withColumn("threat_class", F.when(F.col("node_id") == 2, "missile").otherwise("uav"))
+    with pytest.raises(ValueError):
+        chains.chains(apart, ends)
+    assert [r["path"] for r in chains.chains(apart, ends.withColumn("threat_class", F.lit("uav"))).collect()] == [[1, 4]]
     assert sorted(r["node_id"] for r in chains.suppressed(nodes).collect()) == [1, 2, 3, 4]
 
 
@@ -190,3 +195,47 @@ def test_wave(spark):
     times_ = spark.createDataFrame([(ms(m),) for m in (-500, 100, 119, 121, 900)], "t long").select(F.timestamp_millis("t").alias("at"))
     heads = [(x["head"], x["tail"]) for x in chains.waves_at(routes, times_).orderBy("at").collect()]
     assert len(heads) == 3 and heads[-1][0] == 1.0 and all(h > t for h, t in heads) and heads == sorted(heads)
+
+
+def test_starts_near_those_taken_cost(spark):
+    rows = [(1, "w", [1], 9.0, 30.0, 50.0), (2, "w", [2], 8.0, 30.1, 50.0), (3, "w", [3], 7.0, 34.0, 50.0)]
+    found = spark.createDataFrame(rows, "end_id long, w string, path array<long>, score double, start_lon double, start_lat double")
+    take = lambda weight: [r["end_id"] for r in chains.chosen_chains(found, ["w"], 2, weight).collect()]
+    assert take(0.0) == [1, 2] and take(0.05) == [1, 3]
+
+
+def test_nearest_sites_wherever_they_lie(spark):
+    """Across the date line, at the poles, with no site near, in crowds, and with fewer sites than asked for."""
+    rnd = random.Random(4)
+    sites = [(i, rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for i in range(60)] + [(100 + i, 10 + rnd.uniform(0, 0.01), 50 + rnd.uniform(0, 0.01)) for i in range(200)]
+    points = [(i, rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for i in range(80)] + [(200, 179.99, 0.0), (201, -179.99, 0.0), (202, 0.0, 90.0), (203, 10.005, 50.005), (204, None, 3.0)]
+    df = lambda rows, key: spark.createDataFrame(rows, f"{key} int, lon double, lat double")
+    for k, of in ((1, sites), (3, sites), (5, sites[:2]), (1, [])):
+        want = {(p, s, r + 1) for p, lon, lat in points if lon is not None for r, (_, s) in enumerate(sorted((haversine(lat, lon, y, x), s) for s, x, y in of)[:k])}
+        got = {(r["point_id"], r["site_id"], r["rank"]) for r in geometry.nearest(df(points, "point_id"), df(of, "site_id"), k).collect()}
+        assert got == want
+    assert "Nested" not in geometry.nearest(df(points, "point_id"), df(sites, "site_id"))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bucket", [None, "t"])
+def test_sequences_against_loops(spark, bucket):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), t, rnd.choice([None, rnd.randrange(9)])) for t in rnd.sample(range(500), 200)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    b = bucket and F.floor(F.col("t") / 40)
+    made = [sequences.previous(df, ["k"], ["t"], F.col("v"), "x", b), sequences.last_known(df, ["k"], ["t"], F.col("v"), "x", b), sequences.next_known(df, ["k"], ["t"], F.col("v"), "x", b), sequences.running_sum(df, ["k"], ["t"], F.coalesce("v", F.lit(0)), "x", b)]
+    for kind, frame in enumerate(made):
+        want = {}
+        for key in ("a", "b", None):
+            own = sorted(r[1:] for r in rows if r[0] == key)
+            for i, (t, _) in enumerate(own):
+                past, ahead = [v for _, v in own[: i + 1] if v is not None], [v for _, v in own[i + 1 :] if v is not None]
+                want[key, t] = [own[i - 1][1] if i else None, past[-1] if past else None, ahead[0] if ahead else None, sum(past)][kind]
+        assert {(r["k"], r["t"]): r["x"] for r in frame.collect()} == want
+
+
+def test_a_dense_key_has_sessions_by_doubling(spark):
+    rows = [("k", at(7 * i)) for i in range(3000)] + [(None, at(5)), (None, at(500))]
+    got = sessions.anchored_sessions(spark.createDataFrame(rows, "key string, ts timestamp"), ["key"], "ts", 3_600_000).collect()
+    assert len(got) == 3002 and {r["session_start"] for r in got if r["key"] is None} == {at(5), at(500)}
+    assert {(r["ts"], r["session_start"]) for r in got if r["key"]} == {(at(7 * i), at(63 * (i // 9))) for i in range(3000)}

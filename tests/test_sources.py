@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from alertlake.operators.gazetteer import alias_table, code_of_region, first_place, longest_alias, with_places, without_fallback
+from alertlake.operators.gazetteer import alias_table, code_of_region, first_place, with_places, without_fallback
 from alertlake.operators.pairing import pair_alerts, tokens_of
 from alertlake.plans.collect import archived, collect
 from alertlake.sources import archive, gazetteer, posts
@@ -74,7 +74,7 @@ def places(spark):
 def test_places_in_cases_and_lists(spark):
     aliases = alias_table(places(spark))
     rows = [(1, "samara", "Фиксация БПЛА в Самаре и Тольятти"), (2, "voronezh", "Лискинский и Острогожский районы: внимание"), (3, "voronezh", "Лискинский характер без пояснений"), (4, "voronezh", "Самара далеко"), (5, "samara", "самарец")]
-    found = with_places(spark.createDataFrame(rows, "post_key long, region string, text string"), aliases, longest_alias(aliases))
+    found = with_places(spark.createDataFrame(rows, "post_key long, region string, text string"), aliases)
     got = {r["post_key"]: [p["name"] for p in r["places"]] for r in found.collect()}
     assert got == {1: ["Самара", "Тольятти"], 2: ["Лискинский район", "Острогожский район"], 3: [], 4: [], 5: []}
 
