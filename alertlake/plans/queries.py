@@ -425,23 +425,36 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type <> 'view'")
     lon = 30 + (F.col("user_id") % 40) * 0.25 + (F.hour("ts") * 60 + F.minute("ts")) / 1440 * 8
     lat = 50 + (F.col("user_id") * 7 % 30) * 0.12
-    return events.select(F.col("event_id").alias("node_id"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat"), F.col("ts").alias("at"), (1 + F.least(F.lit(1.8), F.col("value") / 50)).alias("weight"), F.lit(1).cast("long").alias("observations"), (F.col("event_type") == "click").alias("proxy"))
+    return events.select(F.col("event_id").alias("node_id"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat"), F.col("ts").alias("at"), (1 + F.least(F.lit(1.8), F.col("value") / 50)).alias("weight"), F.lit(1).cast("long").alias("observations"), (F.col("event_type") == "click").alias("proxy"), F.lit("uav").alias("threat_class"))
 
 
 @query()
 def chain_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best chain to the last purchase of each day: a longest path over observations of its corridor."""
+    """The best chain to every purchase: a longest path over the observations of its corridor (tests hold it against all paths)."""
     nodes = observations(spark, sf_dir)
-    purchases = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("day")).agg(F.max("event_id").alias("node_id"))
-    ends = nodes.join(purchases, "node_id").select(F.col("node_id").alias("end_id"), F.lit(28.0).alias("anchor_lon"), F.lit(51.5).alias("anchor_lat"), "lon", "lat", "at")
+    purchases = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("node_id"))
+    ends = nodes.join(purchases, "node_id").select(F.col("node_id").alias("end_id"), "threat_class", F.lit(28.0).alias("anchor_lon"), F.lit(51.5).alias("anchor_lat"), "lon", "lat", "at")
     found = chains.chains(nodes, ends)
     return found.select("end_id", F.size("path").alias("steps"), F.round("score", 6).alias("score"), F.concat_ws(",", F.transform("path", lambda n: n.cast("string"))).alias("path"), "illustrative")
 
 
-@query()
+EASED = "CASE WHEN {ms} <= start_ms THEN 0 WHEN {ms} >= arrival THEN 1 ELSE (SELECT p0 + (p1 - p0) * pow(({ms} - t0) / (t1 - t0)::DOUBLE, 2) * (3 - 2 * ({ms} - t0) / (t1 - t0)::DOUBLE) FROM legs g WHERE g.route_id = m.route_id AND g.t0 < {ms} AND {ms} <= g.t1) END"
+
+
+@query(f"""WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, epoch_us(max(ts)) // 1000 AS t, count(*) AS n FROM events GROUP BY ALL),
+          a AS (SELECT user_id AS route_id, t, sum(n) OVER (PARTITION BY user_id ORDER BY day)::DOUBLE / (sum(n) OVER (PARTITION BY user_id))::DOUBLE AS p, (sum(n) OVER (PARTITION BY user_id))::DOUBLE * 10 AS km FROM d),
+          r AS (SELECT route_id, max(t) AS arrival, greatest(25 * 60000, max(km) / 210 * 3600000) AS base, arg_min(t, p) AS ft, min(p) AS fp FROM a GROUP BY route_id),
+          q AS (SELECT *, trunc(CASE WHEN ft - base * fp >= arrival - 60000 THEN arrival - base ELSE ft - base * fp END)::BIGINT AS start_ms FROM r),
+          w AS (SELECT *, trunc(greatest(12 * 60000, least(90 * 60000, (arrival - start_ms) * 0.33::DOUBLE)))::BIGINT AS lag_ms FROM q),
+          c AS (SELECT route_id, 0.0 AS p, start_ms AS t FROM w UNION ALL SELECT a.route_id, a.p, a.t FROM a JOIN w USING (route_id) WHERE a.p < 0.999 AND a.t < arrival AND a.t > start_ms UNION ALL SELECT route_id, 1.0, arrival FROM w),
+          legs AS (SELECT route_id, lag(p) OVER o AS p0, p AS p1, lag(t) OVER o AS t0, t AS t1 FROM c WINDOW o AS (PARTITION BY route_id ORDER BY t)),
+          m AS (SELECT w.*, h.ms FROM w JOIN (SELECT DISTINCT epoch_us(date_trunc('hour', ts)) // 1000 AS ms FROM events) h ON h.ms > start_ms AND h.ms < arrival + lag_ms),
+          x AS (SELECT route_id, ms AS at_ms, {EASED.format(ms='m.ms')} AS head, {EASED.format(ms='(m.ms - m.lag_ms)')} AS tail FROM m)
+          SELECT route_id, at_ms, round(head, 6) AS head, round(tail, 6) AS tail FROM x WHERE head > tail + 0.00001""")
 def wave_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heads and tails of users' routes at every hour: anchors are the days' last events."""
+    """Heads and tails of users' routes at every hour: a day's share of a user's events is its share of the way."""
     days = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("ts").alias("at"), F.count("*").alias("n"))
+    # One row a day and user.
     within = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     share = days.withColumn("progress", F.sum("n").over(within) / F.sum("n").over(Window.partitionBy("user_id")))
     routes = share.groupBy(F.col("user_id").alias("route_id")).agg(F.max("at").alias("arrival"), (F.sum("n") * 10.0).alias("total_km"), F.collect_list(F.struct("progress", intervals.millis(F.col("at")).alias("t"))).alias("anchors"))

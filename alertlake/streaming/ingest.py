@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from alertlake.operators.merge import best_version
+from alertlake.operators.merge import best_version, purged_reports, revalidated
 from alertlake.sources.posts import POST
 
 
@@ -31,6 +31,20 @@ def append_versions(stream: DataFrame, log: str, checkpoint: str, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def correct_reports(stream: DataFrame, log: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Reports of a stream under the rules of today, without tallies, logged as append_versions() logs.
+
+    With a stream that reads an older log it is a late correction: each batch is judged anew
+    and written under its number, so a run that is repeated changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        revalidated(purged_reports(batch)).drop("changed").write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def current(spark: SparkSession, log: str, key: list[str], order: list[str]) -> DataFrame:
     """The archive that the log amounts to: of each key the version of the best quality, of those the newest."""
     return best_version(spark.read.parquet(log), key, [*order, "batch"]).drop("batch")

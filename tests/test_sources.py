@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertlake.operators.gazetteer import alias_table, code_of_region, first_place, with_places, without_fallback
 from alertlake.operators.pairing import pair_alerts, tokens_of
-from alertlake.plans.collect import archived, collect
+from alertlake.plans.collect import archived, collect, purge_archive
 from alertlake.sources import archive, gazetteer, posts
 from alertlake.streaming import ingest
 from alertlake.streaming.pairing import TOKEN, pair_stream, stream_tokens
@@ -166,3 +166,35 @@ def test_stream_of_posts_is_logged_once(spark, tmp_path):
     spark.createDataFrame([("c", "2", at(1), "better", "u", None)], posts.POST).withColumn("quality", F.lit(30)).write.parquet(str(tmp_path / "log/batch=99"))
     now = ingest.current(spark, str(tmp_path / "log"), ["channel", "post_id"], ["quality"])
     assert {(r["post_id"], r["text"]) for r in now.collect()} == {("1", "a"), ("2", "better")}
+
+
+def test_late_correction_of_a_stream(spark, tmp_path):
+    schema = "id int, threat_class string, signal_class string, activity_kind string, count int, count_type string, text string"
+    rows = [(1, "uav", "uav_activity_signal", "uav_warning", None, "official_activity", "Силами ПВО уничтожен БПЛА."), (2, "uav", "uav_activity_signal", "uav_detected", None, "official_activity", "Хорошая погода."), (3, "uav", "uav_activity_signal", "uav_detected", None, "x", "За ночь уничтожены 12 БПЛА.")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    for run_no in range(2):  # a new checkpoint reads all again
+        ingest.correct_reports(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / f"cp{run_no}")).awaitTermination(120)
+    assert [(r["id"], r["activity_kind"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [(1, "air_defense_action")]
+
+
+def test_state_of_a_stream_is_let_go(spark, tmp_path):
+    tokens = [("s", "uav", "start", at(0), "1", 2, "p", "t"), ("s", "uav", "start", at(60 * 200), "2", 2, "q", "t"), ("s", "uav", "end", at(60 * 200 + 5), "3", 2, "p", "t"), ("s", "uav", "end", at(60 * 200 + 6), "4", 2, "q", "t")]
+    for i, part in enumerate((tokens[:1], tokens[1:2], tokens[2:])):
+        spark.createDataFrame(part, TOKEN).coalesce(1).write.json(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema(TOKEN).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    pair_stream(source).writeStream.format("memory").queryName("let_go").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(r["place"], r["start_post_id"], r["end_post_id"]) for r in spark.table("let_go").collect()] == [("q", "2", "4")]
+
+
+def test_purge_of_the_archive_is_done_once(spark, run, tmp_path):
+    root = str(tmp_path / "archive")
+    assert purge_archive(spark, root) == (0, 0)
+    tables = archived(run, None, None, F.lit(at(-60)), places(spark))
+    tally = tables["reports"].limit(1).withColumns({"id": F.lit("tally"), "text": F.lit("За ночь уничтожены 12 БПЛА.")})
+    archive.write_archive({**tables, "reports": tables["reports"].unionByName(tally)}, run.status, root, at(-60), at(600), "initial")
+    n = tables["reports"].count()
+    assert purge_archive(spark, root, dry_run=True) == (1, 0) and archive.read_archive(spark, root, "reports").count() == n + 1
+    assert purge_archive(spark, root) == (1, 0) and archive.read_archive(spark, root, "reports").count() == n
+    assert archive.read_archive(spark, root, "coverage").first()["archive_reports_total"] == n
+    before = archive.current_run(spark, root)
+    assert purge_archive(spark, root) == (0, 0) and archive.current_run(spark, root) == before
