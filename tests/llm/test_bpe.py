@@ -63,3 +63,8 @@ def test_encode_then_decode(docs_of):
 
 def test_empty(docs_of):
     assert round_trip(docs_of([])).collect() == []
+
+
+def test_null_and_repeated_ids(docs_of):
+    rows = round_trip(docs_of(["a b", "c", "a b", None], ids=[None, 4, 4, None])).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("4", 1), ("4", 2), ("None", 0), ("None", 2)]

@@ -2,13 +2,17 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from alertlake.llm.packing import best_fit, encoder, pack
 
 from .conftest import ODD
 
+REFERENCE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 
 def plain_best_fit(lengths, window):
     rooms, where = [], []
@@ -37,13 +41,8 @@ def test_segment_tree_is_best_fit(lengths, window):
 
 
 def test_ids_equal_those_of_the_tokenizers_library():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ours = encoder("byte_bpe_50k")
     for text in ODD:
-        assert ours(text or "") == reference.encode(text or "", add_special_tokens=False).ids
+        assert encoder("byte_bpe_50k")(text or "") == REFERENCE.encode(text or "", add_special_tokens=False).ids
 
 
 def test_every_id_lies_in_one_piece(docs_of):
@@ -72,3 +71,22 @@ def test_every_id_lies_in_one_piece(docs_of):
 
 def test_empty(docs_of):
     assert pack(docs_of([])).collect() == []
+
+
+def test_null_and_repeated_ids_in_packs(docs_of):
+    """Rows without an id, and with the same one, are packed each by itself; many packs share them out."""
+    texts = [f"{'word ' * (i % 40)}{i}" for i in range(200)]
+    rows = pack(docs_of(texts, ids=[None if i % 2 else 7 for i in range(200)]), window=64, pack_pieces=20).collect()
+    encode = encoder("byte_bpe_50k")
+    assert sum(r.length for r in rows) == sum(len(encode(t)) + 1 for t in texts)
+    used, packs = {}, {r.sequence_id >> 32 for r in rows}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used.get(r.sequence_id, 0)
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 64 and len(packs) > 5 and {r.doc_id for r in rows} == {None, 7}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.characters(exclude_categories=("Cs",)), max_size=60))
+def test_ids_are_those_of_the_library(text):
+    assert encoder("byte_bpe_50k")(text) == REFERENCE.encode(text, add_special_tokens=False).ids

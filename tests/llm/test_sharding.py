@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from alertlake.llm.sharding import shard_rows
 
 from .conftest import ODD
@@ -36,3 +38,29 @@ def test_same_result_whatever_the_partitions(docs_of):
 
 def test_empty(docs_of):
     assert shard_rows(docs_of([])).collect() == []
+
+
+def plain(rows, shards):
+    """rows (doc_id, source, mix, size, crc) -> their (shard, slot): sorted by fractional rank within the source, cut equally."""
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source["null" if r[1] is None else "=" + r[1]].append(r)
+    order = []
+    for name, own in by_source.items():
+        own.sort(key=lambda r: (r[2] % 2**64, -1 if r[0] is None else r[0], r[3], r[4]))
+        order += [((i + 0.5) / len(own), name, r) for i, r in enumerate(own)]
+    order.sort(key=lambda o: (o[0], o[1], o[2][2], -1 if o[2][0] is None else o[2][0], o[2][3], o[2][4]))
+    starts = [-(-k * len(rows) // shards) for k in range(shards)]
+    return sorted((str(r[0]), r[3], r[4], p * shards // len(rows), p - starts[p * shards // len(rows)]) for p, (_, _, r) in enumerate(order))
+
+
+def test_against_a_plain_interleaving(docs_of):
+    """A source with two thirds of the rows, one of one row, none, null and repeated ids."""
+    texts = [f"text {i % 90}" for i in range(400)]
+    ids = [None if i % 50 == 7 else i % 380 for i in range(400)]
+    sources = F.when(F.col("n_chars") % 3 != 0, "hot").when(F.col("doc_id") == 5, "one").when(F.col("doc_id") % 4 == 1, F.lit(None).cast("string")).otherwise("rest")
+    df = docs_of(texts, ids=ids).withColumn("source", sources).withColumns({c: F.lit("x") for c in ("bucket", "stratum", "mix", "cell", "at")})
+    keyed = df.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id").alias("m"), (F.octet_length("text") + 16).alias("s"), F.crc32("text").alias("c")).collect()
+    for shards, bucket_rows in ((7, 20_000), (40, 3)):
+        got = sorted((str(r.doc_id), r["size"], r.text_crc32, r.shard, r.slot) for r in shard_rows(df, shards=shards, bucket_rows=bucket_rows).collect())
+        assert got == plain([tuple(r) for r in keyed], shards)
