@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Where it is unset: on one machine (master local) a folder there, else an error."""
+    """This application's folder in the cluster's spark.checkpoint.dir.
+
+    Where that is unset: on one machine (master local) a folder there, else an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (Path(tempfile.gettempdir()) / "alertlake" / spark.sparkContext.applicationId).as_uri()
+    root = named.rstrip("/") if named else Path(tempfile.gettempdir()).as_uri()
+    return f"{root}/alertlake-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -30,10 +32,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete tables made by staged() that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
         for file in table.inputFiles()[:1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(table.sparkSession, file.rsplit("/", 1)[0])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application staged: to be called once its results have been written or read."""
+    _delete(spark, shared_root(spark))

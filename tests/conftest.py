@@ -26,6 +26,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from alertlake.operators.stage import clear
+
+    clear(session)
     session.stop()
 
 
