@@ -2,25 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Where it is unset: on one machine (master local) a folder there, else an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (Path(tempfile.gettempdir()) / "alertlake" / spark.sparkContext.applicationId).as_uri()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from alertlake.operators import stage
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -30,14 +14,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     It also gives the planner the true size, so a join on the table is broadcast only
     when the table lies under spark.sql.autoBroadcastJoinThreshold.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage.staged(df, name)
 
 
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by cut() that nothing reads any more."""
-    for table in tables:
-        for file in table.inputFiles()[:1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    stage.remove(*tables)
