@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +17,48 @@ COLUMNS = "id name ascii alternates lat lon class code country cc2 admin1 admin2
 PLACE = "id string, name string, label string, region string, type string, lat double, lon double, population long, feature_code string, aliases array<string>"
 
 
+def _zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of the text files in zip archives; an archive can't be split, so each is read by one task, some thousand lines at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        with io.TextIOWrapper(archive.open(name), encoding="utf-8") as file:
+                            while lines := list(itertools.islice(file, 10_000)):
+                                yield pd.DataFrame({"line": [line.rstrip("\n") for line in lines]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line string")
+
+
 def place_dump(spark: SparkSession, path: str, country: str) -> DataFrame:
-    """Rows of a country from a tab-separated dump of 19 columns; rows that are too short or lack a coordinate go."""
-    raw = spark.read.option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED").schema(", ".join(f"{c} string" for c in COLUMNS)).csv(path)
+    """Rows of a country from a tab-separated dump of 19 columns, plain or zipped; rows that are too short or lack a coordinate go."""
+    if path.endswith(".zip"):
+        parts = F.split("line", "\t", -1)
+        raw = _zipped_lines(spark, path).where(F.size(parts) >= len(COLUMNS)).select(*(F.get(parts, i).alias(c) for i, c in enumerate(COLUMNS)))
+    else:
+        raw = spark.read.option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED").schema(", ".join(f"{c} string" for c in COLUMNS)).csv(path)
     typed = raw.where((F.col("country") == country) & F.col("modified").isNotNull())
     typed = typed.withColumns({"lat": F.expr("try_cast(lat as double)"), "lon": F.expr("try_cast(lon as double)"), "population": F.coalesce(F.expr("try_cast(population as long)"), F.lit(0).cast("long"))})
     return typed.where("lat is not null and lon is not null")
 
 
+def write_catalog(places: DataFrame, path: str) -> dict[str, int]:
+    """Write a catalog of places (PLACE and rank) as Parquet; returns how many there are of each type."""
+    places.write.mode("overwrite").parquet(path)
+    return {r["type"]: r["n"] for r in places.sparkSession.read.parquet(path).groupBy("type").agg(F.count("*").alias("n")).collect()}
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A catalog as written by write_catalog(), or a JSON file of places; none where there is no such path."""
+    schema = f"{PLACE}, rank int"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path, multiLine=True) if path.endswith(".json") else spark.read.schema(schema).parquet(path)
+
+
 def alias_set(*names, limit: int = 40):
     """Distinct names in order (case folded), with a letter and up to 90 characters, `limit` at most."""
     listed = F.filter(F.transform(F.flatten(F.array(*names)), lambda s: F.trim(s)), lambda n: n.rlike(r"\p{L}") & (F.length(n) <= 90))

@@ -1,5 +1,6 @@
 """Readers, the archive, the batch plan and the streams."""
 
+import zipfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -51,6 +52,11 @@ def test_place_dump_and_catalog(spark, tmp_path):
     dump = gazetteer.place_dump(spark, str(tmp_path / "d.txt"), "RU")
     made = gazetteer.cities(dump, spark.createDataFrame([("65", "samara")], "code string, region string")).collect()
     assert [(r["name"], r["region"], r["rank"], r["aliases"]) for r in made] == [("Самара", "samara", 1, ["Самара", "Samara", "Samarа"])]
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.write(tmp_path / "d.txt", "d.txt")
+    assert [r["name"] for r in gazetteer.place_dump(spark, str(tmp_path / "d.zip"), "RU").collect()] == ["Самара"]
+    assert gazetteer.write_catalog(places(spark), str(tmp_path / "catalog")) == {"city": 2, "district": 2}
+    assert gazetteer.read_catalog(spark, str(tmp_path / "catalog")).count() == 4 and gazetteer.read_catalog(spark, str(tmp_path / "none")).collect() == []
 
 
 def test_geojson(spark, tmp_path):
