@@ -78,18 +78,23 @@ class Bpe:
         self.known: dict[str, tuple[int, ...]] = {}
         unknown = unknown_here()
         self.newer, self.stand_ins = newer_lower_case(unknown), stand_ins(unknown, path)
-        any_of = lambda points: regex.compile("[" + "".join(map(chr, points)) + "]" if points else r"(?!)")
-        self.has_newer, self.has_doubtful = any_of(self.newer), any_of(self.stand_ins)
+        self.special_care = frozenset(map(chr, [*self.newer, *self.stand_ins]))
+        # Most texts have no character so far up: one range is looked for first.
+        self.far_up = regex.compile(f"[{min(self.special_care)}-\U0010ffff]" if self.special_care else r"(?!)")
+
+    def needs_care(self, text: str) -> bool:
+        """Whether a text has characters that Python's tables don't know as the library's do."""
+        return not text.isascii() and self.far_up.search(text) is not None and not self.special_care.isdisjoint(text)
 
     def normalised(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
-        if not text.isascii() and self.has_newer.search(text):
+        if self.needs_care(text):
             text = text.translate(self.newer)
         # Lower case goes character by character: a final sigma has no form of its own.
         return text.lower() if "Σ" not in text else "σ".join(part.lower() for part in text.split("Σ"))
 
     def words_of(self, text: str) -> list[str]:
-        if text.isascii() or not self.has_doubtful.search(text):
+        if not self.needs_care(text):
             return self.words.findall(text)
         return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.stand_ins))]
 
