@@ -25,7 +25,7 @@ from alertlake.llm.shared import cut
 
 UNKNOWN = "und"
 NO_LETTER = np.int64((1 << 21) - 1)  # above all code points
-CELLS = 1 << 24  # of a batch's matrix of presences
+CELLS = 1 << 21  # of a batch's matrix of presences
 
 
 @cache

@@ -69,7 +69,7 @@ def variants(texts: DataFrame) -> DataFrame:
             lines, at = batch.column(3).to_pylist(), 0
             while at < len(lines):
                 many, upto = 0, at
-                while upto < len(lines) and (many == 0 or many + len(lines[upto]) < 1_000_000):
+                while upto < len(lines) and (many == 0 or many + len(lines[upto]) < 200_000):
                     many += len(lines[upto]) + 1
                     upto += 1
                 if (longest := max(map(len, lines[at:upto]))) >= len(powers):
