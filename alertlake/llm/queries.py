@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alertlake.llm.bpe import round_trip
 from alertlake.llm.exact_dedup import exact_dedup
+from alertlake.llm.hard_negatives import hard_negatives, hard_negatives_sql, shifted
 from alertlake.llm.language_id import identify
 from alertlake.llm.line_dedup import dedup_lines, dedup_lines_sql
 from alertlake.llm.near_vectors import near_vectors
@@ -64,6 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted()), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -85,4 +91,5 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_hard_negatives": hard_negatives_sql(),
 }
