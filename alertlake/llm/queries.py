@@ -14,6 +14,7 @@ from alertlake.llm.language_id import identify
 from alertlake.llm.line_dedup import dedup_lines, dedup_lines_sql
 from alertlake.llm.near_vectors import near_vectors
 from alertlake.llm.packing import pack
+from alertlake.llm.periodic_runs import digest, periodic_runs, planted
 from alertlake.llm.pii import key_of, pseudonymise
 from alertlake.llm.sharding import shard_rows
 from alertlake.llm.simhash import near_duplicates
@@ -69,6 +70,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted()), F.col("vec_id") % 100 == 0)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
