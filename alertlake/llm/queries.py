@@ -18,6 +18,7 @@ from alertlake.llm.periodic_runs import digest, periodic_runs, planted
 from alertlake.llm.pii import key_of, pseudonymise
 from alertlake.llm.sharding import shard_rows
 from alertlake.llm.simhash import near_duplicates
+from alertlake.llm.substring_dedup import dedup_substrings, dedup_substrings_sql
 from alertlake.llm.url_filter import judge, judge_sql
 
 
@@ -70,6 +71,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted()), F.col("vec_id") % 100 == 0)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -98,4 +105,5 @@ ORACLE: dict[str, str] = {
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op11_hard_negatives": hard_negatives_sql(),
+    "op12_substring_dedup": dedup_substrings_sql(),
 }
