@@ -6,7 +6,7 @@ Nystroem landmarks turn it into features, on which one ridge regression per lang
 fitted, one language versus the rest. Scoring a batch of texts is a product of matrices:
 the presences of the landmarks' n-grams, times the landmarks, times the weights.
 
-Only the fit is of bounded size (`per_language` rows of a language); every row is scored,
+Only the fit is of bounded size (`per_language` texts of a language); every row is scored,
 on its whole text.
 """
 
@@ -98,31 +98,35 @@ def fit(texts: list[str], languages: list[str], landmarks_each: int, ridge: floa
 
 
 def learn(docs: DataFrame, per_language: int = 300, landmarks_each: int = 32, most_chars: int = 20_000, most_rows: int = 6_000, least_each: int = 8) -> Model | None:
-    """Fit on `per_language` rows of each language at most, chosen by a hash of their doc_id.
-
-    Learns from rows with a language, a text with a letter of at most `most_chars`
-    characters, and crc32(doc_id as text) mod 3 other than 1; None where there is none. All
-    languages are learned. With so many that the sample would pass `most_rows` rows, each has
-    fewer rows, `least_each` at least: the sample that reaches the driver has most_rows rows,
-    or least_each for each language where that is more.
+    """Fit on `per_language` texts of each language at most, those with the least hashes.
+
+    Learns from rows with a language, a text with a letter, and crc32(doc_id as text) mod 3
+    other than 1; None where there is none. All languages are learned. A text that several
+    rows of a language have counts once. Of a text over `most_chars` characters a piece of so
+    many is learned, from a place told by its hash. With so many languages that the sample
+    would pass `most_rows` texts, each has fewer, `least_each` at least: the sample that
+    reaches the driver has most_rows texts, or least_each for each language where that is more.
     """
-    own = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
-    own = own.where((F.length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
-    # Of a language's rows those with the least hashes are ranked only, about 2 * per_language + 100 of them, so that
+    own = docs.select("text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
+    own = own.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text"))
+    texts = own.select("lang", "hash").distinct()
+    # Of a language's texts those with the least hashes are ranked only, about 2 * per_language + 100 of them, so that
     # the ranking gets as many rows whatever the input. The counts that tell how many that is have one row a language.
-    counts = cut(own.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    texts = cut(texts, "labelled-texts")
+    counts = cut(texts.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     languages = counts.count()
     if not languages:
         return None
     per_language = min(per_language, max(least_each, most_rows // languages))
-    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
-    low = own.select("doc_id", "lang", share.alias("share")).join(counts, "lang").where(F.col("share") < (2 * per_language + 100) / F.col("rows"))
-    order = Window.partitionBy("lang").orderBy("share", "doc_id")
+    share = F.shiftrightunsigned("hash", 11) * F.lit(2.0**-53)
+    low = texts.join(counts, "lang").where(share < (2 * per_language + 100) / F.col("rows"))
+    order = Window.partitionBy("lang").orderBy(share, "hash")
     narrow = low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    # The sample's ids, then their texts.
-    chosen = narrow.orderBy("lang", "place").select("doc_id", "lang", "place").collect()
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"], r["place"]) for r in chosen], "doc_id long, lang string, place int")
-    rows = own.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "place").agg(F.min("text").alias("text")).orderBy("lang", "place").collect()
+    # The sample's hashes, then their texts: a piece of each.
+    chosen = narrow.orderBy("lang", "place").select("hash", "lang", "place").collect()
+    ids = docs.sparkSession.createDataFrame([(r["hash"], r["lang"], r["place"]) for r in chosen], "hash long, lang string, place int")
+    piece = F.substr("text", 1 + F.pmod("hash", F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int"), F.lit(most_chars))
+    rows = own.join(F.broadcast(ids), ["hash", "lang"]).groupBy("lang", "place").agg(F.min(piece).alias("text")).orderBy("lang", "place").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks_each)
 
 

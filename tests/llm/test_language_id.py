@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from alertlake.llm.language_id import fit, identify
+from alertlake.llm.language_id import fit, identify, learn
 
 from .conftest import ODD
 
@@ -106,3 +106,16 @@ def test_ties_and_null_ids(docs_of):
     rows = identify(docs_of(texts, ["b", "a"] * 20, ids=[*range(39), None])).collect()
     assert len(rows) == 40 and [r.held_out for r in rows if r.doc_id is None] == [False]
     assert len({(r.lang_pred, r.score) for r in rows}) == 1
+
+
+def test_a_language_of_one_repeated_text_or_of_long_texts_is_learned(docs_of):
+    spanish, german = "el perro corre por la calle y la casa es grande", "der hund läuft durch die strasse und das haus ist gross"
+    long = " ".join("il cane corre per la strada e la casa che vedo è molto grande davvero".split() * 2500)
+    for doc_id in (0, 2, 5):
+        texts = [spanish] * 600 + [f"{german} {i}" for i in range(300)] + [f"{long} {i}" for i in range(3)]
+        langs, ids = ["es"] * 600 + ["de"] * 300 + ["it"] * 3, [doc_id] * 600 + list(range(1000, 1300)) + [2, 2, 2]
+        docs = docs_of(texts, langs, ids)
+        model = learn(docs)
+        assert model.languages == ["de", "es", "it"]
+        got = identify(docs).groupBy("doc_id", "lang_pred").count().where(f"doc_id = {doc_id}").collect()
+        assert {"es"} <= {r.lang_pred for r in got} and max(got, key=lambda r: r["count"]).lang_pred == "es"

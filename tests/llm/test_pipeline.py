@@ -93,3 +93,11 @@ def test_rows_that_share_an_id_are_told_apart_by_their_text(spark, docs_of, sf):
     texts = ["one two three four five six seven", "one two three four five six seven", "other words that are not near to them"]
     kept = p.simhash(spark, docs_of(texts, ids=[3, 5, 5]), sf).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(3, texts[0]), (5, texts[2])]
+
+
+def test_one_of_near_copies_stays_whatever_its_id(spark, docs_of, sf):
+    words = [f"w{i}" for i in range(200)]
+    one, other = " ".join(words), " ".join([*words[:100], "changed", *words[101:]])
+    for texts, ids in (([one, other], [1, None]), ([one, other], [None, None]), ([one, other], [4, 4]), ([one] * 5, [None] * 5), ([one] * 3 + [other], [7] * 4)):
+        kept = p.simhash(spark, docs_of([*texts, "something else"], ids=[*ids, 9]), sf).collect()
+        assert len(kept) == 2 and {r.doc_id for r in kept} == {9, *([min(i for i in ids if i is not None)] if any(i is not None for i in ids) else [None])}
