@@ -87,18 +87,19 @@ def phrase_hits(texts: DataFrame, keys: list[str], n: str, phrases: DataFrame, o
     """Where phrases stand as whole words: the columns of `keys`, of `phrases` (its text in `phrase`), and `at`, the word it begins at.
 
     texts: keys and the normalised text `n`; rows whose columns `on` differ don't meet. Words
-    are exploded once and met with the first words of the phrases (far fewer than phrases, so
-    this join is the planner's to broadcast); longer runs are made only at those places, and
-    meet the phrases themselves.
+    are exploded once, each with as many that follow it as the longest phrase has (read from
+    the phrases first), and met with the first words of the phrases, far fewer than phrases;
+    longer runs are made only at those places, and meet the phrases themselves.
     """
     on = on or []
     words = lambda c: F.split(c, " ")
     heads = phrases.select(*on, F.substring_index("phrase", " ", 1).alias("__word"), F.size(words("phrase")).alias("__size")).distinct()
+    longest = heads.agg(F.max("__size")).first()[0] or 1
     keyed = list(dict.fromkeys([*keys, *on]))
-    each = texts.select(*keyed, words(n).alias("__words")).select(*keyed, "__words", F.posexplode("__words").alias("at", "__word"))
-    starts = each.join(heads, [*on, "__word"])
-    run = F.when(F.col("__size") == 1, F.col("__word")).otherwise(F.array_join(F.slice("__words", F.col("at") + 1, F.col("__size")), " "))
-    runs = starts.where(F.col("at") + F.col("__size") <= F.size("__words")).select(*keyed, "at", run.alias("phrase"))
+    listed = texts.where(F.col(n).isNotNull()).select(*keyed, words(n).alias("__words"))
+    each = listed.select(*keyed, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("__words")), lambda i: F.slice("__words", i, F.lit(longest)))).alias("at", "__next"))
+    starts = each.withColumn("__word", F.col("__next")[0]).join(heads, [*on, "__word"]).where(F.col("__size") <= F.size("__next"))
+    runs = starts.select(*keyed, "at", F.array_join(F.slice("__next", F.lit(1), F.col("__size")), " ").alias("phrase"))
     return runs.join(phrases, [*on, "phrase"])
 
 

@@ -1,8 +1,9 @@
 """Queries of the message operators.
 
-Rules for messages are put to work on messages: small tables of golden texts, given here, with
-what they must say beside them (the SQL is the table of answers). Operators that don't read
-Russian work on the driver's tables, with SQL that says the same.
+Posts are made of given rows: a document's text with a phrase before or behind it, which one its
+id tells, its channel by a source, its time by an id. What each phrase says is a small table
+beside it, and the SQL finds a row's answer by joining that. Operators that don't read Russian
+work on the driver's tables as they are, with SQL that says the same.
 """
 
 from __future__ import annotations
@@ -46,6 +47,23 @@ def answers(columns: str, rows: list[tuple]) -> str:
     return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
 
 
+def spread(over: str, key: str, columns: str, rows: list[tuple], chosen: str = "") -> str:
+    """SQL: the answer rows[key % len(rows)] for every row of a table, with its key (and more columns of it)."""
+    own = ", ".join(c.split(" ", 1)[0] for c in columns.split(", "))
+    return f"WITH said AS ({answers(f'i BIGINT, {columns}', [(i, *r) for i, r in enumerate(rows)])}) SELECT {key}, {own}{chosen} FROM {over} JOIN said ON i = {key} % {len(rows)}"
+
+
+def phrase_of(key: Column, phrases: list[str | None]) -> Column:
+    return F.get(F.array(*map(F.lit, phrases)), F.pmod(key, F.lit(len(phrases))).cast("int"))
+
+
+def posts_saying(spark: SparkSession, sf_dir: str, phrases: list[str]) -> DataFrame:
+    """doc_id, phrase, text: every document with a phrase on a line of its own before it or behind it."""
+    d = table(spark, sf_dir, "documents").withColumn("phrase", phrase_of(F.col("doc_id"), phrases))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat_ws("\n", "phrase", "text")).otherwise(F.concat_ws("\n", "text", "phrase"))
+    return d.select("doc_id", "phrase", text.alias("text"))
+
+
 # What texts say of drones: (text, formal kind, what it reports).
 UAV_SAID = [
     ("В Татарстане введен режим «Беспилотная опасность»", "start", "alert_start_signal"),
@@ -84,19 +102,19 @@ MISSILES_SAID = [
 ]
 
 
-def told(spark: SparkSession, said: list[tuple], threat: rules.Threat) -> DataFrame:
-    texts = spark.createDataFrame([(t,) for t, *_ in said], "text string")
-    return texts.select("text", rules.formal_kind(F.col("text"), threat).alias("formal"), rules.activity_kind(F.col("text"), threat).alias("activity"))
+def told(spark: SparkSession, sf_dir: str, said: list[tuple], threat: rules.Threat) -> DataFrame:
+    rows = posts_saying(spark, sf_dir, [t for t, *_ in said])
+    return rows.select("doc_id", rules.formal_kind(F.col("text"), threat).alias("formal"), rules.activity_kind(F.col("text"), threat).alias("activity"))
 
 
-@query(answers("text VARCHAR, formal VARCHAR, activity VARCHAR", UAV_SAID))
+@query(spread("documents", "doc_id", "formal VARCHAR, activity VARCHAR", [r[1:] for r in UAV_SAID]))
 def uav_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(spark, UAV_SAID, rules.THREATS[0])
+    return told(spark, sf_dir, UAV_SAID, rules.THREATS[0])
 
 
-@query(answers("text VARCHAR, formal VARCHAR, activity VARCHAR", MISSILES_SAID))
+@query(spread("documents", "doc_id", "formal VARCHAR, activity VARCHAR", [r[1:] for r in MISSILES_SAID]))
 def missile_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(spark, MISSILES_SAID, rules.THREATS[1])
+    return told(spark, sf_dir, MISSILES_SAID, rules.THREATS[1])
 
 
 # (text, signals as threat:kind, drones are spoken of, missiles are spoken of)
@@ -109,11 +127,11 @@ SIGNALS = [
 ]
 
 
-@query(answers("text VARCHAR, signals VARCHAR, about_uav BOOLEAN, about_missile BOOLEAN", SIGNALS))
+@query(spread("documents", "doc_id", "signals VARCHAR, about_uav BOOLEAN, about_missile BOOLEAN", [r[1:] for r in SIGNALS]))
 def formal_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t, at(0)) for t, *_ in SIGNALS], "text string, published_at timestamp")
+    rows = posts_saying(spark, sf_dir, [t for t, *_ in SIGNALS]).withColumn("published_at", F.lit(at(0)))
     told_ = F.array_join(F.transform("formal", lambda s: F.concat(s["threat"], F.lit(":"), s["kind"])), ",")
-    return coverage.flagged(rows).select("text", told_.alias("signals"), F.col("uav_reference").alias("about_uav"), F.col("missile_reference").alias("about_missile"))
+    return coverage.flagged(rows).select("doc_id", told_.alias("signals"), F.col("uav_reference").alias("about_uav"), F.col("missile_reference").alias("about_missile"))
 
 
 # (text, threat, count, type, qualifier, second count, second type)
@@ -130,11 +148,11 @@ COUNTS = [
 ]
 
 
-@query(answers("text VARCHAR, threat VARCHAR, count INTEGER, count_type VARCHAR, qualifier VARCHAR, second_count INTEGER, second_type VARCHAR", COUNTS))
+@query(spread("documents", "doc_id", "count INTEGER, count_type VARCHAR, qualifier VARCHAR, second_count INTEGER, second_type VARCHAR", [r[2:] for r in COUNTS]))
 def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in COUNTS], "text string, threat string")
+    rows = posts_saying(spark, sf_dir, [t for t, *_ in COUNTS]).withColumn("threat", phrase_of(F.col("doc_id"), [r[1] for r in COUNTS]))
     of = F.when(F.col("threat") == "uav", rules.count_of(F.col("text"), rules.THREATS[0])).otherwise(rules.count_of(F.col("text"), rules.THREATS[1]))
-    return rows.withColumn("c", of).select("text", "threat", "c.*")
+    return rows.withColumn("c", of).select("doc_id", "c.*")
 
 
 # (text, looks back over completed work, spans regions, kind of record, live)
@@ -152,60 +170,67 @@ TALLIES = [
 ]
 
 
-@query(answers("text VARCHAR, retrospective BOOLEAN, over_regions BOOLEAN, kind VARCHAR, live BOOLEAN", TALLIES))
+@query(spread("documents", "doc_id", "retrospective BOOLEAN, over_regions BOOLEAN, kind VARCHAR, live BOOLEAN", [r[1:] for r in TALLIES]))
 def tallies_and_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t, k) for t, _, _, k, _ in TALLIES], "text string, kind string")
+    """The kinds are found in the posts themselves, but for those of TALLIES that no text tells."""
+    rows = posts_saying(spark, sf_dir, [t for t, *_ in TALLIES]).withColumn("kind", phrase_of(F.col("doc_id"), [r[3] for r in TALLIES]))
     text = F.col("text")
-    return rows.select("text", rules.is_retrospective(text).alias("retrospective"), rules.spans_regions(text).alias("over_regions"), "kind", rules.is_live(text, F.col("kind")).alias("live"))
+    return rows.select("doc_id", rules.is_retrospective(text).alias("retrospective"), rules.spans_regions(text).alias("over_regions"), "kind", rules.is_live(text, F.col("kind")).alias("live"))
 
 
-# (name, some forms that are looked for, some heads)
+# (name of a place, a form, is it one, heads of the name's form as a list)
 FORMS = [
-    ("Самара", "Самара,Самаре,Самарой,Самару,Самары", ""),
-    ("Сочи", "Сочи", ""),
-    ("Иваново", "Иваново", ""),
-]
-DISTRICTS = [("Клинцовский район", "Клинцовском районе"), ("Клинцовский район", "Клинцовского района"), ("Лискинский район", "Лискинскому району")]
-HEADS = [("Лискинский район", "Лискинского"), ("Стародубский муниципальный округ", "Стародубском"), ("Стародубский муниципальный округ", "Стародубского муниципального")]
+    ("Самара", "Самаре", True, ""), ("Самара", "Самарой", True, ""), ("Самара", "Самарец", False, ""), ("Сочи", "Сочи", True, ""), ("Сочи", "Сочах", False, ""), ("Иваново", "Иваново", True, ""),
+    ("Клинцовский район", "Клинцовском районе", True, None), ("Клинцовский район", "Клинцовского района", True, None), ("Лискинский район", "Лискинскому району", True, None), ("Лискинский район", "Лискинский", False, None),
+]
+HEADS = [("Лискинский район", "Лискинского", True), ("Стародубский муниципальный округ", "Стародубском", True), ("Стародубский муниципальный округ", "Стародубского муниципального", True), ("Самара", "Самаре", False)]
 
 
-@query(" UNION ALL ".join([answers("name VARCHAR, forms VARCHAR, heads VARCHAR", FORMS), *(f"SELECT {literal(n)}, {literal(f)}, 'form'" for n, f in DISTRICTS), *(f"SELECT {literal(n)}, {literal(h)}, 'head'" for n, h in HEADS)]))
+@query(f"""WITH f AS ({answers("i BIGINT, name VARCHAR, asked VARCHAR, form BOOLEAN", [(i, *r[:3]) for i, r in enumerate(FORMS)])}), h AS ({answers("i BIGINT, name VARCHAR, asked VARCHAR, head BOOLEAN", [(i, *r) for i, r in enumerate(HEADS)])})
+          SELECT p_partkey, p_brand || ' ' || f.name AS place, f.form, h.head FROM part JOIN f ON f.i = p_partkey % {len(FORMS)} JOIN h ON h.i = p_partkey % {len(HEADS)}""")
 def inflected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All forms of plain names, and whether districts have certain forms and heads."""
-    plain = spark.createDataFrame([(n,) for n, *_ in FORMS], "name string")
-    forms = lambda of: of(F.array("name"))
-    out = plain.select("name", F.array_join(F.sort_array(forms(alias_forms_of())), ",").alias("forms"), F.array_join(forms(head_forms_of()), ",").alias("heads"))
-    for rows, of, kind in ((DISTRICTS, alias_forms_of(), "form"), (HEADS, head_forms_of(), "head")):
-        asked = spark.createDataFrame(rows, "name string, asked string")
-        out = out.unionByName(asked.withColumn("found", forms(of)).where(F.array_contains("found", F.col("asked"))).select("name", F.col("asked").alias("forms"), F.lit(kind).alias("heads")))
-    return out
-
-
-DATES = [
-    ("Sun, 21 Sep 2026 02:25:00 GMT", datetime(2026, 9, 21, 2, 25)), ("21 Sep 2026 05:25:00 +0300", datetime(2026, 9, 21, 2, 25)), ("2026-09-21T02:25:00+00:00", datetime(2026, 9, 21, 2, 25)),
-    ("2026-09-21T02:25:00", datetime(2026, 9, 21, 2, 25)), ("1 Jan 2026 00:00 UT", datetime(2026, 1, 1)), ("soon", None), ("", None),
-]
+    """Parts as places: is a phrase one of the forms that are looked for, or a head of them?"""
+    key = F.col("p_partkey")
+    own = lambda rows, k: phrase_of(key, [r[k] for r in rows])
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", own(FORMS, 0).alias("name"), own(FORMS, 1).alias("asked"), own(HEADS, 0).alias("of"), own(HEADS, 1).alias("asked_head"))
+    form = F.array_contains(alias_forms_of()(F.array("name")), F.col("asked"))
+    head = F.array_contains(head_forms_of()(F.array("of")), F.col("asked_head"))
+    return rows.select("p_partkey", F.concat_ws(" ", "p_brand", "name").alias("place"), form.alias("form"), head.alias("head"))
 
 
-@query(answers("raw VARCHAR, instant TIMESTAMP", DATES))
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 5 THEN NULL WHEN 6 THEN NULL WHEN 1 THEN o_orderdate + INTERVAL (o_custkey % 86400) SECOND - INTERVAL 3 HOUR WHEN 4 THEN date_trunc('minute', o_orderdate + INTERVAL (o_custkey % 86400) SECOND) ELSE o_orderdate + INTERVAL (o_custkey % 86400) SECOND END AS instant FROM orders""")
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(r,) for r, _ in DATES], "raw string").select("raw", times.parse_instant(F.col("raw")).cast("timestamp_ntz").alias("instant"))
-
-
-PAGE = """<div class="tgme_widget_message" data-post="chan/100"><div class="tgme_widget_message_forwarded_from">from <a class="tgme_widget_message_forwarded_from_name">Some &amp; One</a></div>
-<div class="tgme_widget_message_text">Line <b>one</b><br/>two</div><a><time datetime="2026-09-21T02:25:00+00:00">x</time></a></div>
-<div data-post="chan/101"><div class="tgme_widget_message_text">no time</div></div><div data-post="chan/102"><img src="x"><div class="tgme_widget_message_text">three</div><time datetime="2026-09-21T05:28:00+03:00"></time></div>"""
-FEED = """<?xml version="1.0"?><rss><channel><title>t</title><item><title>Start</title><link>http://a/1</link><guid>1</guid><pubDate>Sun, 21 Sep 2026 02:25:00 GMT</pubDate><description><![CDATA[<p>body &amp; more</p>]]></description></item>
-<item><title>Undated</title><link>http://a/2</link><description>d</description></item></channel></rss>"""
-READ = [("chan", at(145), "Line one\ntwo", "https://t.me/chan/100", "Some & One"), ("chan", at(148), "three", "https://t.me/chan/102", None), ("src", at(145), "Start body & more", "http://a/1", None)]
-
-
-@query(answers("channel VARCHAR, published_at TIMESTAMP, text VARCHAR, url VARCHAR, forwarded_from VARCHAR", READ))
+    """Orders' times written in five ways, with a weekday that may be wrong, and two texts that are no date."""
+    at_ = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 86400)
+    ways = ["'Sun,' dd MMM yyyy HH:mm:ss 'GMT'", "dd MMM yyyy HH:mm:ss '+0300'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd'T'HH:mm:ss", "d MMM yyyy HH:mm 'UT'"]
+    raw = F
+    for i, way in enumerate(ways):
+        raw = raw.when(F.col("o_orderkey") % 7 == i, F.date_format(at_, way))
+    raw = raw.when(F.col("o_orderkey") % 7 == 5, "soon").otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", times.parse_instant(raw).cast("timestamp_ntz").alias("instant"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, trim(regexp_replace(translate(text, '<>&', '   '), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')) AS words FROM documents)
+          SELECT 'html-' || source AS channel, doc_id, TIMESTAMP '2026-09-21' + INTERVAL (doc_id) MINUTE AS published_at, words || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'A & B' ELSE '' END AS text, CASE WHEN doc_id % 3 = 0 THEN 'Some & One' END AS forwarded_from FROM d WHERE doc_id % 5 <> 4
+          UNION ALL SELECT 'rss-' || source, doc_id, TIMESTAMP '2026-09-21' + INTERVAL (doc_id) MINUTE, 'Item ' || doc_id || ' ' || words || ' & more', NULL FROM d WHERE doc_id % 5 <> 3""")
 def posts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts of a channel's page and of a feed."""
-    html = posts.posts_from_html(spark.createDataFrame([(PAGE,), (None,), ("<p>",)], "html string"))
-    rss = posts.posts_from_rss(spark.createDataFrame([("src", "http://feed", FEED)], "source_id string, feed_url string, xml string"))
-    return html.unionByName(rss).select("channel", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "text", "url", "forwarded_from")
+    """Documents on channel pages and in feeds: some without a time are no posts."""
+    key = F.col("doc_id")
+    words = F.trim(F.regexp_replace(F.translate("text", "<>&", "   "), r"[ \t\n\r\x0B\f]+", " "))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("words"), F.timestamp_seconds(F.unix_timestamp(F.lit(at(0))) + key * 60).alias("at"))
+    bare = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    said = bare('<div class="tgme_widget_message_text"><b>', F.col("words"), "</b>", F.when(key % 2 == 0, "<br/>A &amp; B").otherwise(""), "</div>")
+    from_ = F.when(key % 3 == 0, '<div>from <a class="tgme_widget_message_forwarded_from_name">Some &amp; One</a></div>').otherwise("")
+    time = F.when(key % 5 != 4, bare('<time datetime="', F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), '">x</time>')).otherwise("")
+    wraps = d.withColumn("wrap", bare('<div class="tgme_widget_message" data-post="html-', F.col("source"), "/", key.cast("string"), '">', from_, said, time, "</div>"))
+    pages = wraps.groupBy("source", F.floor(key / 20)).agg(F.concat_ws("\n", F.array_sort(F.collect_list("wrap"))).alias("html"))
+    date = F.when(key % 5 != 3, bare("<pubDate>", F.date_format("at", "'Sun,' dd MMM yyyy HH:mm:ss 'GMT'"), "</pubDate>")).otherwise("")
+    item = bare("<item><title>Item ", key.cast("string"), "</title><link>http://a/", key.cast("string"), "</link><guid>", key.cast("string"), "</guid>", date, "<description><![CDATA[<p>", F.col("words"), " &amp; more</p>]]></description></item>")
+    feeds = d.withColumn("item", item).groupBy("source", F.floor(key / 20)).agg(F.concat_ws("", F.lit('<?xml version="1.0"?><rss><channel><title>t</title>'), F.concat_ws("", F.collect_list("item")), F.lit("</channel></rss>")).alias("xml"))
+    html = posts.posts_from_html(pages).withColumn("doc_id", F.col("post_id").cast("long"))
+    rss = posts.posts_from_rss(feeds.select(F.concat(F.lit("rss-"), "source").alias("source_id"), F.lit("http://feed").alias("feed_url"), "xml"))
+    rss = rss.withColumn("doc_id", F.substring_index("url", "/", -1).cast("long"))
+    return html.unionByName(rss).select("channel", "doc_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "text", "forwarded_from")
 
 
 PLACES = [
@@ -215,8 +240,8 @@ PLACES = [
     ("4", "Острогожский район", "Острогожский район", "voronezh", "district", 50.9, 39.1, 0, "A", ["Острогожский район"], 2),
 ]
 NAMED = [
-    (1, "samara", "Фиксация БПЛА в Самаре и Тольятти", "Самара,Тольятти"), (2, "voronezh", "Лискинский и Острогожский районы: внимание", "Лискинский район,Острогожский район"),
-    (3, "voronezh", "Лискинский характер без пояснений", ""), (4, "voronezh", "Самара далеко", ""), (5, "samara", "самарец", ""), (6, "voronezh", "В Лискинском районе тихо", "Лискинский район"),
+    ("samara", "Фиксация БПЛА в Самаре и Тольятти", "Самара,Тольятти"), ("voronezh", "Лискинский и Острогожский районы: внимание", "Лискинский район,Острогожский район"),
+    ("voronezh", "Лискинский характер без пояснений", ""), ("voronezh", "Самара далеко", ""), ("samara", "самарец", ""), ("voronezh", "В Лискинском районе тихо", "Лискинский район"),
 ]
 
 
@@ -224,11 +249,11 @@ def places(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PLACES, f"{PLACE}, rank int")
 
 
-@query(answers("post_key BIGINT, names VARCHAR", [(k, n) for k, _, _, n in NAMED]))
+@query(spread("documents", "doc_id", "names VARCHAR", [(r[2],) for r in NAMED]))
 def places_in_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:3] for r in NAMED], "post_key long, region string, text string")
+    rows = posts_saying(spark, sf_dir, [r[1] for r in NAMED]).select(F.col("doc_id").alias("post_key"), phrase_of(F.col("doc_id"), [r[0] for r in NAMED]).alias("region"), "text")
     found = gazetteer.with_places(rows, gazetteer.alias_table(places(spark)))
-    return found.select("post_key", F.array_join(F.transform("places", lambda p: p["name"]), ",").alias("names"))
+    return found.select(F.col("post_key").alias("doc_id"), F.array_join(F.transform("places", lambda p: p["name"]), ",").alias("names"))
 
 
 SHOWN = "array<struct<name:string,label:string,type:string,lat:double,lon:double>>"
@@ -243,27 +268,30 @@ OLD = [
 ]
 
 
-@query(answers("id VARCHAR, place VARCHAR, scope VARCHAR, names VARCHAR, changed BOOLEAN", [(r[0], *r[6:]) for r in OLD]))
+@query(spread("orders", "o_orderkey", "place VARCHAR, scope VARCHAR, names VARCHAR, changed BOOLEAN", [r[6:] for r in OLD], ", o_orderpriority AS priority"))
 def reports_re_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archived reports whose places are looked up again."""
-    rows = [(i, region, text, place, scope, None, None, [(n, n, "city", None, None) for n in named]) for i, region, text, place, scope, named, *_ in OLD]
-    old = spark.createDataFrame(rows, f"id string, region string, text string, place string, scope string, lat double, lon double, mentioned_places {SHOWN}")
+    """Orders as archived reports whose places are looked up again."""
+    key, own = F.col("o_orderkey"), lambda k: phrase_of(F.col("o_orderkey"), [r[k] for r in OLD])
+    mentioned = phrase_of(key, [",".join(r[5]) for r in OLD])
+    shown = F.transform(F.filter(F.split(mentioned, ","), lambda n: n != ""), lambda n: F.struct(n.alias("name"), n.alias("label"), F.lit("city").alias("type"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")))
+    none = F.lit(None).cast("double")
+    old = table(spark, sf_dir, "orders").select(key.cast("string").alias("id"), own(1).alias("region"), own(2).alias("text"), own(3).alias("place"), own(4).alias("scope"), none.alias("lat"), none.alias("lon"), shown.alias("mentioned_places"), F.col("o_orderpriority").alias("priority"))
     found = gazetteer.re_enriched(old, gazetteer.alias_table(places(spark)))
-    return found.select("id", "place", "scope", F.array_join(F.transform("mentioned_places", lambda p: p["name"]), ",").alias("names"), "changed")
+    return found.select(F.col("id").cast("long").alias("o_orderkey"), "place", "scope", F.array_join(F.transform("mentioned_places", lambda p: p["name"]), ",").alias("names"), "changed", "priority")
 
 
-# The batch job over a small archive.
+# The batch job over small archives, one for each supplier: its sources, its channels, its days.
 FEED_ROWS = [
-    ("c1", "1", at(0), "В Самарской области объявлена беспилотная опасность", "u1", None),
-    ("c1", "2", at(10), "В Тольятти введен режим «Беспилотная опасность»", "u2", None),
-    ("c1", "3", at(60), "Отбой беспилотной опасности на всей территории области", "u3", None),
-    ("c1", "4", at(70), "Самара. Фиксация от 3 БПЛА", "u4", None),
-    ("c1", "5", at(75), "За минувшие сутки уничтожены 20 БПЛА", "u5", None),
-    ("c1", "6", at(80), "Опасность атаки БПЛА", "u6", None),
-    ("c1", "8", at(85), "Опасность атаки БПЛА в Самаре", "u8", None),
-    ("shared", "7", at(90), "Воронежская область. Фиксация БПЛА", "u7", None),
-    ("shared", "7", at(90), "Воронежская область. Фиксация БПЛА", "u7", None),
-    ("shared", "9", at(95), "Фиксация БПЛА в Тольятти. Сообщает Минобороны", "u9", "Минобороны России"),
+    ("c1", 1, 0, "В Самарской области объявлена беспилотная опасность", None),
+    ("c1", 2, 10, "В Тольятти введен режим «Беспилотная опасность»", None),
+    ("c1", 3, 60, "Отбой беспилотной опасности на всей территории области", None),
+    ("c1", 4, 70, "Самара. Фиксация от 3 БПЛА", None),
+    ("c1", 5, 75, "За минувшие сутки уничтожены 20 БПЛА", None),
+    ("c1", 6, 80, "Опасность атаки БПЛА", None),
+    ("c1", 8, 85, "Опасность атаки БПЛА в Самаре", None),
+    ("shared", 7, 90, "Воронежская область. Фиксация БПЛА", None),
+    ("shared", 7, 90, "Воронежская область. Фиксация БПЛА", None),
+    ("shared", 9, 95, "Фиксация БПЛА в Тольятти. Сообщает Минобороны", "Минобороны России"),
 ]
 SOURCE = "source string, channel string, region string, region_label string, region_aliases array<string>, default_scope string, source_layer string, require_region_match boolean, fallback_to_region_on_unresolved boolean, fallback_only_if_no_local_activity boolean, expected_active boolean"
 SOURCES = [
@@ -271,32 +299,60 @@ SOURCES = [
     ("s2", "shared", "samara", "Самарская область", [], None, "monitoring_national", True, True, True, True),
     ("s3", "shared", "voronezh", "Воронежская область", [], None, "monitoring_national", True, True, True, True),
 ]
+FEED_COLUMNS = [("of", "string"), ("post_no", "int"), ("minute", "int"), ("said", "string"), ("forwarded", "string")]
+SOURCE_COLUMNS = [tuple(c.split(" ")) for c in SOURCE.split(", ")]
+LOW, HIGH = at(-60), at(60 * 24 * 5000)
+
+
+def constant(value, kind: str) -> Column:
+    return (F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)).cast(kind)
+
+
+def each(rows: list[tuple], columns: list[tuple]) -> Column:
+    """Explodes to a struct for each of the rows."""
+    return F.explode(F.array(*(F.struct(*(constant(v, k).alias(c) for v, (c, k) in zip(r, columns, strict=True))) for r in rows)))
 
 
-def job(spark: SparkSession) -> Run:
-    fetched = spark.createDataFrame([(s, "html", True, True) for s, *_ in SOURCES], "source string, transport string, transport_ok boolean, window_complete boolean")
-    return collect(spark.createDataFrame(FEED_ROWS, posts.POST), spark.createDataFrame(SOURCES, SOURCE), places(spark), fetched, F.lit(at(-60)), F.lit(at(600)))
+def own_name(*parts: Column | str) -> Column:
+    return F.concat_ws("-", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+def job(spark: SparkSession, sf_dir: str) -> Run:
+    """Every supplier has three sources and two channels, and says the same some days after the one before."""
+    key = F.col("s_suppkey").cast("string")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = suppliers.withColumn("r", each(FEED_ROWS, FEED_COLUMNS))
+    at_ = F.timestamp_seconds(F.unix_timestamp(F.lit(at(0))) + F.col("s_suppkey") * 86400 + F.col("r.minute") * 60)
+    feed = rows.select(own_name(F.col("r.of"), key).alias("channel"), F.col("r.post_no").cast("string").alias("post_id"), at_.alias("published_at"), F.concat(F.col("r.said"), F.lit("\n"), F.col("s_name")).alias("text"), own_name("u", key, F.col("r.post_no")).alias("url"), F.col("r.forwarded").alias("forwarded_from"))
+    sources = suppliers.withColumn("s", each(SOURCES, SOURCE_COLUMNS)).select(own_name(F.col("s.source"), key).alias("source"), own_name(F.col("s.channel"), key).alias("channel"), *(f"s.{c}" for c, _ in SOURCE_COLUMNS[2:]))
+    fetched = sources.select("source", F.lit("html").alias("transport"), F.lit(True).alias("transport_ok"), F.lit(True).alias("window_complete"))
+    return collect(feed, sources, places(spark), fetched, F.lit(LOW), F.lit(HIGH))
 
 
 def ntz(*names: str) -> list[Column]:
     return [F.col(n).cast("timestamp_ntz").alias(n) for n in names]
 
 
-JOB_EVENTS = [("samara", "samara", at(0), at(60), "region", "exact_region", "regional_clear"), ("samara", "Тольятти", at(10), at(60), "local", "exact_local", "regional_clear")]
+def of_suppliers(columns: str, rows: list[tuple], shown: str) -> str:
+    """SQL: each answer for each supplier, its times some days later."""
+    return f"WITH said AS ({answers(columns, rows)}) SELECT {shown} FROM said, supplier"
+
 
+JOB_EVENTS = [("s1", "samara", "samara", at(0), at(60), "region", "exact_region", "regional_clear"), ("s1", "samara", "Тольятти", at(10), at(60), "local", "exact_local", "regional_clear")]
 
-@query(answers("region VARCHAR, place VARCHAR, start TIMESTAMP, end TIMESTAMP, scope VARCHAR, precision VARCHAR, end_match VARCHAR", JOB_EVENTS))
+
+@query(of_suppliers("s VARCHAR, region VARCHAR, place VARCHAR, a TIMESTAMP, b TIMESTAMP, scope VARCHAR, precision VARCHAR, end_match VARCHAR", JOB_EVENTS, "s || '-' || s_suppkey AS source, region, place, a + INTERVAL (s_suppkey) DAY AS start, b + INTERVAL (s_suppkey) DAY AS \"end\", scope, precision, end_match"))
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals that the batch job pairs: a clear of the whole region closes its places too."""
-    return job(spark).events.select("region", "place", *ntz("start", "end"), "scope", "precision", "end_match")
+    return job(spark, sf_dir).events.select("source", "region", "place", *ntz("start", "end"), "scope", "precision", "end_match")
 
 
 JOB_UNMATCHED = [("unmatched_start", "samara", "Самара", at(85)), ("unplaced_start", "samara", None, at(80))]
 
 
-@query(answers("type VARCHAR, region VARCHAR, place VARCHAR, start TIMESTAMP", JOB_UNMATCHED))
+@query(of_suppliers("type VARCHAR, region VARCHAR, place VARCHAR, a TIMESTAMP", JOB_UNMATCHED, "type, 's1-' || s_suppkey AS source, region, place, a + INTERVAL (s_suppkey) DAY AS start"))
 def job_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return job(spark).unmatched.select("type", "region", "place", *ntz("start"))
+    return job(spark, sf_dir).unmatched.select("type", "source", "region", "place", *ntz("start"))
 
 
 JOB_REPORTS = [
@@ -305,56 +361,63 @@ JOB_REPORTS = [
 ]
 
 
-@query(answers("source VARCHAR, at TIMESTAMP, place VARCHAR, count INTEGER, activity_kind VARCHAR", JOB_REPORTS))
+@query(of_suppliers("s VARCHAR, a TIMESTAMP, place VARCHAR, count INTEGER, activity_kind VARCHAR", JOB_REPORTS, "s || '-' || s_suppkey AS source, a + INTERVAL (s_suppkey) DAY AS \"at\", place, count, activity_kind"))
 def job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of the batch job: no tallies, none from ministry posts; a shared feed speaks for the region that it names."""
-    return job(spark).reports.select("source", *ntz("at"), "place", "count", "activity_kind")
+    return job(spark, sf_dir).reports.select("source", *ntz("at"), "place", "count", "activity_kind")
 
 
 JOB_STATUS = [("s1", "healthy", 7, 4, 1), ("s2", "healthy", 1, 0, 0), ("s3", "healthy", 1, 0, 0)]
 
 
-@query(answers("source VARCHAR, health VARCHAR, posts BIGINT, start_posts BIGINT, end_posts BIGINT", JOB_STATUS))
+@query(of_suppliers("s VARCHAR, health VARCHAR, posts BIGINT, start_posts BIGINT, end_posts BIGINT", JOB_STATUS, "s || '-' || s_suppkey AS source, health, posts, start_posts, end_posts"))
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per source of the batch job with the counts of its posts."""
-    return job(spark).status.select("source", "health", "posts", "start_posts", "end_posts")
+    return job(spark, sf_dir).status.select("source", "health", "posts", "start_posts", "end_posts")
 
 
-@query("SELECT 2::BIGINT AS archive_events_total, 7::BIGINT AS archive_reports_total, 2::BIGINT AS archive_regions_with_records, 1::BIGINT AS archive_regions_with_local_records, 0::BIGINT AS aggregate_reports_purged, 0::BIGINT AS reports_reclassified, 0::BIGINT AS reports_place_reenriched")
+@query("SELECT 2 * count(*) AS archive_events_total, 7 * count(*) AS archive_reports_total, 2::BIGINT AS archive_regions_with_records, 1::BIGINT AS archive_regions_with_local_records, 0::BIGINT AS aggregate_reports_purged, 0::BIGINT AS reports_reclassified, 0::BIGINT AS reports_place_reenriched FROM supplier")
 def job_archive_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive after the same run twice: merged, purged, judged and placed again, nothing is new."""
-    run = job(spark)
-    once = archived(run, None, None, F.lit(at(-60)), places(spark))
-    again = archived(run, once["events"], once["reports"], F.lit(at(-60)), places(spark))
+    run = job(spark, sf_dir)
+    once = archived(run, None, None, F.lit(LOW), places(spark))
+    again = archived(run, once["events"], once["reports"], F.lit(LOW), places(spark))
     return again["coverage"].select("archive_events_total", "archive_reports_total", "archive_regions_with_records", "archive_regions_with_local_records", "aggregate_reports_purged", "reports_reclassified", "reports_place_reenriched")
 
 
 RECORDS = [
-    # id, threat, signal, kind, count, count type, text; then: kept by the purge, kept by the rules, kind, changed
-    (1, "uav", "uav_activity_signal", "uav_detected", None, "official_activity", "Фиксация БПЛА.", True, True, "uav_detected", False),
-    (2, "uav", "uav_activity_signal", "uav_detected", None, "official_activity", "Хорошая погода.", True, False, None, None),
-    (3, "uav", "formal_alert_signal", "alert_start_signal", None, "alert_start_signal", "Хорошая погода.", True, True, "alert_start_signal", False),
-    (4, "uav", "uav_activity_signal", "uav_warning", None, "official_activity", "Силами ПВО уничтожен БПЛА.", True, True, "air_defense_action", True),
-    (5, "uav", "uav_activity_signal", "uav_detected", 150, "destroyed_or_suppressed", "Уничтожены 150 БПЛА", False, False, None, None),
-    (6, "uav", "uav_activity_signal", "uav_detected", None, "official_activity", None, True, True, "uav_detected", False),
-    (7, "missile", "missile_activity_signal", "missile_detected", None, "official_activity", "Ракета летит в сторону города.", True, True, "missile_movement", True),
+    # threat, signal, kind, count, count type, text; then: kept, kind, changed
+    ("uav", "uav_activity_signal", "uav_detected", None, "official_activity", "Фиксация БПЛА.", True, "uav_detected", False),
+    ("uav", "uav_activity_signal", "uav_detected", None, "official_activity", "Хорошая погода.", False, None, None),
+    ("uav", "formal_alert_signal", "alert_start_signal", None, "alert_start_signal", "Хорошая погода.", True, "alert_start_signal", False),
+    ("uav", "uav_activity_signal", "uav_warning", None, "official_activity", "Силами ПВО уничтожен БПЛА.", True, "air_defense_action", True),
+    ("uav", "uav_activity_signal", "uav_detected", 150, "destroyed_or_suppressed", "Уничтожены 150 БПЛА", False, None, None),
+    ("uav", "uav_activity_signal", "uav_detected", None, "official_activity", None, True, "uav_detected", False),
+    ("missile", "missile_activity_signal", "missile_detected", None, "official_activity", "Ракета летит в сторону города.", True, "missile_movement", True),
 ]
 
 
-@query(answers("id INTEGER, activity_kind VARCHAR, changed BOOLEAN", [(r[0], r[9], r[10]) for r in RECORDS if r[7] and r[8]]))
+@query(spread("orders", "o_orderkey", "kept BOOLEAN, activity_kind VARCHAR, changed BOOLEAN", [r[6:] for r in RECORDS]).replace("SELECT o_orderkey, kept, ", "SELECT o_orderkey, ") + " WHERE kept")
 def purged_and_revalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archived reports after the purge of tallies, under the rules of today."""
-    df = spark.createDataFrame([r[:7] for r in RECORDS], "id int, threat_class string, signal_class string, activity_kind string, count int, count_type string, text string")
-    return merge.revalidated(merge.purged_reports(df)).select("id", "activity_kind", "changed")
+    """Orders as archived reports after the purge of tallies, under the rules of today."""
+    own = lambda k: phrase_of(F.col("o_orderkey"), [r[k] for r in RECORDS])
+    text = F.concat(own(5), F.lit("\n"), "o_orderpriority")
+    names = ("threat_class", "signal_class", "activity_kind", "count", "count_type")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", *(own(k).alias(n) for k, n in enumerate(names)), text.alias("text"))
+    return merge.revalidated(merge.purged_reports(df)).select("o_orderkey", "activity_kind", "changed")
 
 
-CONTEXT = [("Сообщило Минобороны: сбиты БПЛА", None, False, True), ("Сообщило Минобороны: сбиты БПЛА", None, True, False), ("Тихо", "Министерство обороны", False, True), ("Тихо", "Сосед", False, False)]
+# (text, forwarded from, is a repost of the ministry's): the third says the region's name, so it is about the region as a whole
+CONTEXT = [("Сообщило Минобороны: сбиты БПЛА", None, True), ("Тихо", "Министерство обороны", True), ("Самарская область. Сообщило Минобороны: сбиты БПЛА", None, False), ("Тихо", "Сосед", False)]
 
 
-@query(answers("text VARCHAR, forwarded_from VARCHAR, region_wide BOOLEAN, repost BOOLEAN", CONTEXT))
+@query(spread("documents", "doc_id", "repost BOOLEAN", [r[2:] for r in CONTEXT]))
 def ministry_reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:3] for r in CONTEXT], "text string, forwarded_from string, region_wide boolean").withColumn("places", F.array().cast("array<string>"))
-    return rows.select("text", "forwarded_from", "region_wide", gazetteer.is_repost_of_ministry().alias("repost"))
+    """Reposts told by what a post says, where it is from, and whether it is found to be about its whole region."""
+    rows = posts_saying(spark, sf_dir, [t for t, *_ in CONTEXT]).withColumn("forwarded_from", phrase_of(F.col("doc_id"), [r[1] for r in CONTEXT]))
+    rows = rows.select("*", *(constant(v, k).alias(c) for v, (c, k) in zip(SOURCES[0], SOURCE_COLUMNS, strict=True)))
+    named = gazetteer.in_scope(gazetteer.with_places(rows.withColumn("post_key", F.col("doc_id")), gazetteer.alias_table(places(spark))), gazetteer.region_phrases(spark.createDataFrame(SOURCES, SOURCE)))
+    return named.withColumn("region_wide", gazetteer.is_region_wide()).select("doc_id", gazetteer.is_repost_of_ministry().alias("repost"))
 
 
 @query("""SELECT n_nationkey, trim(regexp_replace(lower('Republic of ' || n_name || ' (Krai)'), '[^a-z0-9]+', ' ', 'g')) AS strict, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS loose FROM nation""")
@@ -507,24 +570,29 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.geojson_points(s).union(archive.geojson_lines(lines))
 
 
-WINDOWS = [("incremental", "incremental", at(60), at(6000)), ("replay_previous", "replay_previous", at(0), at(60)), ("backfill", "backfill", at(6000 - 1440), at(6000))]
-
-
-@query(answers("asked VARCHAR, mode VARCHAR, window_start TIMESTAMP, window_end TIMESTAMP", [*WINDOWS, ("incremental, no manifest", "initial", at(6000 - 1440), at(6000))]))
+@query("""WITH m AS (SELECT date_trunc('month', o_orderdate) AS a, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS b FROM orders GROUP BY ALL), l AS (SELECT a, b FROM m ORDER BY b DESC LIMIT 1), n AS (SELECT b + INTERVAL 100 HOUR AS now, a, b FROM l)
+          SELECT 'incremental' AS asked, 'incremental' AS mode, b AS window_start, now AS window_end FROM n UNION ALL SELECT 'replay_previous', 'replay_previous', a, b FROM n
+          UNION ALL SELECT 'backfill', 'backfill', now - INTERVAL 24 HOUR, now FROM n UNION ALL SELECT 'incremental, no manifest', 'initial', now - INTERVAL 24 HOUR, now FROM n""")
 def windows_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = spark.createDataFrame([("r", at(0), at(60), "initial", at(70))], archive.MANIFEST)
-    plan = lambda m, mode, asked: coverage.plan_window(m, mode, F.lit(at(6000)), 24.0).select(F.lit(asked).alias("asked"), "mode", *ntz("window_start", "window_end"))
+    """Runs that kept a month of orders each: where the next one begins, in every mode."""
+    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
+    ends = F.expr("window_start + INTERVAL 1 MONTH")
+    manifest = table(spark, sf_dir, "orders").select(month.alias("window_start")).distinct().select(F.date_format("window_start", "yyyy-MM").alias("run"), "window_start", ends.alias("window_end"), F.lit("initial").alias("mode"), (ends + F.expr("INTERVAL 10 MINUTES")).alias("published_at"))
+    now = F.lit(manifest.agg(F.max("window_end") + F.expr("INTERVAL 100 HOURS")).first()[0])
+    plan = lambda m, mode, asked: coverage.plan_window(m, mode, now, 24.0).select(F.lit(asked).alias("asked"), "mode", *ntz("window_start", "window_end"))
     out = plan(manifest.where("false"), "incremental", "incremental, no manifest")
-    for mode, *_ in WINDOWS:
+    for mode in ("incremental", "replay_previous", "backfill"):
         out = out.unionByName(plan(manifest, mode, mode))
     return out
 
 
-SENTENCES = [(1, "Самара. Фиксация от 3 БПЛА. Тольятти. Фиксация около 2 БПЛА", 1, "uav", 3), (1, "", 3, "uav", 2), (2, "Летят 4 ракеты", 0, "missile", 4)]
+# (text, the sentences that count, with their number in the text, threat and count)
+SENTENCES = [("Самара. Фиксация от 3 БПЛА. Тольятти. Фиксация около 2 БПЛА", [(1, "uav", 3), (3, "uav", 2)]), ("Летят 4 ракеты", [(0, "missile", 4)]), ("За ночь уничтожены 12 БПЛА.", []), ("Тихо", [])]
 
 
-@query(answers("post_key BIGINT, sentence_no INTEGER, threat VARCHAR, count INTEGER", [(k, n, t, c) for k, _, n, t, c in SENTENCES]))
+@query(f"""WITH said AS ({answers("i BIGINT, n INTEGER, threat VARCHAR, count INTEGER", [(i, *c) for i, (_, counted) in enumerate(SENTENCES) for c in counted])}) SELECT doc_id, n AS sentence_no, threat, count FROM documents JOIN said ON i = doc_id % {len(SENTENCES)}""")
 def counted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every counted sentence of a post; one that looks back or spans regions counts nothing."""
-    texts = [(k, t) for k, t, *_ in SENTENCES if t] + [(3, "За ночь уничтожены 12 БПЛА."), (4, "Тихо")]
-    return reports.counted(spark.createDataFrame(texts, "post_key long, text string")).select("post_key", "sentence_no", "threat", "count")
+    d = table(spark, sf_dir, "documents")
+    text = F.concat_ws("\n", phrase_of(F.col("doc_id"), [t for t, _ in SENTENCES]), "text")
+    return reports.counted(d.select(F.col("doc_id").alias("post_key"), text.alias("text"))).select(F.col("post_key").alias("doc_id"), "sentence_no", "threat", "count")
