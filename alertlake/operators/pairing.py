@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alertlake.functions.rules import ALL_LOCAL_PHRASES, found, judged
 from alertlake.functions.text import normalize, stable_id
-from alertlake.operators.sequences import previous
+from alertlake.operators.sequences import last_known, next_known, previous
 
 
 def kept_tokens(tokens: DataFrame, keys: list[str], order: list[str], kind: str = "kind", bucket: Column | None = None) -> DataFrame:
@@ -38,39 +38,37 @@ def still_open(tokens: DataFrame, keys: list[str], order: list[str], carry: list
 
 
 REGION = ""  # the place of a whole region
+EVERY_PLACE = "*"  # of an end: all local places of its source
 
 
 def tokens_of(posts: DataFrame) -> DataFrame:
-    """Posts with their places and flags -> one token for each key that a post opens or closes.
+    """Posts with their places and flags -> a token for each place that a post opens or closes.
 
     posts: source, region, channel, post_id, published_at, text, url, allow_fallback,
-    region_wide boolean, places array<struct<name, ...>>. A post of the whole region closes
-    all local keys of its source and threat, those that are opened later too: closing what
-    is not open changes nothing.
+    region_wide boolean, places array<struct<name, ...>>. A post that clears the whole region
+    closes all local places of its source and threat by one token of EVERY_PLACE.
     """
     n = normalize(F.col("text"))
     told = judged(posts).where("not retrospective").withColumn("told", F.explode("formal"))
     told = told.select("*", F.col("told.threat").alias("threat"), F.col("told.kind").alias("kind"), found(n, ALL_LOCAL_PHRASES).alias("all_local")).drop("told", "formal", "activity", "retrospective")
-    names, kind = F.transform("places", lambda p: p["name"]), F.col("kind")
-    neither = ~F.col("region_wide") & (F.size(names) == 0)
-    token = lambda place, sub, tag: F.struct(place.alias("place"), F.lit(sub).alias("sub"), F.lit(tag).alias("tag"))
+    names, start, wide, all_local = F.array_distinct(F.transform("places", lambda p: p["name"])), F.col("kind") == "start", F.col("region_wide"), F.col("all_local")
+    neither = ~wide & (F.size(names) == 0) & F.col("allow_fallback")
+    token = lambda place, sub, tag: F.struct(place.alias("place"), F.lit(sub).alias("sub"), tag.alias("tag"))
     none = F.array().cast("array<struct<place:string,sub:int,tag:string>>")
-    of_region = lambda tag: F.array(token(F.lit(REGION), 0, tag))
-    of_places = lambda tag: F.transform(F.array_distinct(names), lambda p: token(p, 1, tag))
-    starts = F.concat(F.when(F.col("region_wide"), of_region("exact_region")).otherwise(none), of_places("exact_local"), F.when(neither & F.col("allow_fallback"), of_region("parent_region_fallback")).otherwise(none))
-    ends = F.when(F.col("all_local"), none).otherwise(
-        F.concat(F.when(F.col("region_wide"), of_region("regional_clear")).otherwise(none), of_places("direct"), F.when(neither & F.col("allow_fallback"), of_region("parent_region_fallback_clear")).otherwise(none))
+    one = lambda when, place, sub, tag: F.when(when, F.array(token(F.lit(place), sub, tag))).otherwise(none)
+    own = start | ~all_local
+    said = F.concat(
+        one(wide & own, REGION, 0, F.when(start, "exact_region").otherwise("regional_clear")),
+        one(neither & own, REGION, 0, F.when(start, "parent_region_fallback").otherwise("parent_region_fallback_clear")),
+        one(~start & (all_local | wide), EVERY_PLACE, 1, F.when(all_local, "all_local_clear").otherwise("regional_clear")),
+        F.when(own, F.transform(names, lambda p: token(p, 2, F.when(start, "exact_local").otherwise("direct")))).otherwise(none),
     )
     columns = [c for c in told.columns if c not in ("places", "all_local", "region_wide", "allow_fallback")]
-    own = told.withColumn("t", F.explode(F.when(kind == "start", starts).otherwise(ends))).select(*columns, "t.place", "t.sub", "t.tag")
-    local = own.where("kind = 'start' and sub = 1").select("source", "threat", "place").distinct()
-    wide = told.where((kind == "end") & (F.col("all_local") | F.col("region_wide")))
-    wide = wide.withColumn("tag", F.when(F.col("all_local"), "all_local_clear").otherwise("regional_clear"))
-    fanned = wide.select(*columns, "tag").join(local, ["source", "threat"]).withColumn("sub", F.lit(0)).select(*columns, "place", "sub", "tag")
-    return own.unionByName(fanned).withColumn("order_id", F.col("post_id").cast("string"))
+    return told.withColumn("t", F.explode(said)).select(*columns, "t.place", "t.sub", "t.tag", F.col("post_id").cast("string").alias("order_id"))
 
 
-KEYS, ORDER = ["source", "threat", "place"], ["published_at", "order_id", "sub", "tag"]
+GROUP, KEYS, ORDER = ["source", "threat"], ["source", "threat", "place"], ["published_at", "order_id", "sub", "tag"]
+CARRIED = ["published_at", "post_id", "text", "url", "tag", "region", "channel"]
 
 
 def day_of() -> Column:
@@ -78,10 +76,31 @@ def day_of() -> Column:
     return F.to_date("published_at")
 
 
+def opened_and_closed(tokens: DataFrame) -> DataFrame:
+    """A row per start that opens its place: its columns in `opened`, and in `closed` those of the end that closes it, or null.
+
+    Which clear of all places follows a token, and which came before it, are as-of questions
+    within the source; tokens are never multiplied by places. A start opens its place unless
+    the token before it there was a start too and no clear of all places lies between. What
+    closes it is the earlier of its place's own next end and the source's next clear.
+    """
+    at = lambda: F.struct(*ORDER)
+    wide = (F.col("place") == EVERY_PLACE) & (F.col("kind") == "end")
+    end = F.struct(at().alias("at"), F.struct(*CARRIED).alias("row"))
+    marked = last_known(tokens, GROUP, ORDER, F.when(wide, at()), "__cleared", day_of())
+    marked = next_known(marked, GROUP, ORDER, F.when(wide, end), "__clear", day_of()).where(~wide)
+    local = F.col("place") != REGION
+    marked = previous(marked, KEYS, ORDER, F.struct(F.col("kind").alias("kind"), at().alias("at")), "__before", day_of())
+    marked = next_known(marked, KEYS, ORDER, F.when(F.col("kind") == "end", end), "__end", day_of())
+    fresh = F.col("__before").isNull() | (F.col("__before.kind") == "end") | (local & F.coalesce(F.col("__cleared") > F.col("__before.at"), F.lit(False)))
+    clear = F.when(local, F.col("__clear"))
+    first = F.when(clear["at"] < F.col("__end.at"), clear["row"]).otherwise(F.coalesce(F.col("__end.row"), clear["row"]))
+    return marked.where((F.col("kind") == "start") & fresh).select(*KEYS, F.struct(*CARRIED).alias("opened"), first.alias("closed"))
+
+
 def pair_alerts(tokens: DataFrame, low: Column, high: Column) -> DataFrame:
     """Events: intervals that touch [low, high], with the ids, texts and tags of both ends."""
-    carry = ["published_at", "post_id", "text", "url", "tag", "region", "channel"]
-    pairs = pair(tokens, KEYS, ORDER, carry, bucket=day_of())
+    pairs = opened_and_closed(tokens).where("closed is not null").select(*KEYS, *(F.col(f"{part}.{c}").alias(f"{name}_{c}") for part, name in (("opened", "start"), ("closed", "end")) for c in CARRIED))
     place = F.when(F.col("place") == REGION, F.col("start_region")).otherwise(F.col("place"))
     events = pairs.select(
         stable_id(F.col("start_channel"), F.col("start_post_id"), F.col("end_post_id"), place, F.col("threat")).alias("id"),
@@ -94,7 +113,7 @@ def pair_alerts(tokens: DataFrame, low: Column, high: Column) -> DataFrame:
 
 def unmatched_starts(tokens: DataFrame) -> DataFrame:
     """Starts that nothing closed."""
-    opened = still_open(tokens, KEYS, ORDER, ["published_at", "post_id", "text", "url", "region"], bucket=day_of())
+    opened = opened_and_closed(tokens).where("closed is null").select(*KEYS, "opened.*")
     place = F.when(F.col("place") == REGION, F.col("region")).otherwise(F.col("place"))
     return opened.select(F.lit("unmatched_start").alias("type"), F.col("threat").alias("threat_class"), "source", "region", place.alias("place"), F.col("published_at").alias("start"), "url", "text")
 

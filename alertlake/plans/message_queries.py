@@ -317,16 +317,25 @@ def own_name(*parts: Column | str) -> Column:
     return F.concat_ws("-", *(F.lit(x) if isinstance(x, str) else x for x in parts))
 
 
-def job(spark: SparkSession, sf_dir: str) -> Run:
-    """Every supplier has three sources and two channels, and says the same some days after the one before."""
+def feed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of every supplier's two channels: each says the same some days after the one before."""
     key = F.col("s_suppkey").cast("string")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    rows = suppliers.withColumn("r", each(FEED_ROWS, FEED_COLUMNS))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", each(FEED_ROWS, FEED_COLUMNS).alias("r"))
     at_ = F.timestamp_seconds(F.unix_timestamp(F.lit(at(0))) + F.col("s_suppkey") * 86400 + F.col("r.minute") * 60)
-    feed = rows.select(own_name(F.col("r.of"), key).alias("channel"), F.col("r.post_no").cast("string").alias("post_id"), at_.alias("published_at"), F.concat(F.col("r.said"), F.lit("\n"), F.col("s_name")).alias("text"), own_name("u", key, F.col("r.post_no")).alias("url"), F.col("r.forwarded").alias("forwarded_from"))
-    sources = suppliers.withColumn("s", each(SOURCES, SOURCE_COLUMNS)).select(own_name(F.col("s.source"), key).alias("source"), own_name(F.col("s.channel"), key).alias("channel"), *(f"s.{c}" for c, _ in SOURCE_COLUMNS[2:]))
+    return rows.select(own_name(F.col("r.of"), key).alias("channel"), F.col("r.post_no").cast("string").alias("post_id"), at_.alias("published_at"), F.concat(F.col("r.said"), F.lit("\n"), F.col("s_name")).alias("text"), own_name("u", key, F.col("r.post_no")).alias("url"), F.col("r.forwarded").alias("forwarded_from"))
+
+
+def sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources of every supplier."""
+    key = F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", each(SOURCES, SOURCE_COLUMNS).alias("s"))
+    return rows.select(own_name(F.col("s.source"), key).alias("source"), own_name(F.col("s.channel"), key).alias("channel"), *(f"s.{c}" for c, _ in SOURCE_COLUMNS[2:]))
+
+
+def job(spark: SparkSession, sf_dir: str) -> Run:
+    sources = sources_of(spark, sf_dir)
     fetched = sources.select("source", F.lit("html").alias("transport"), F.lit(True).alias("transport_ok"), F.lit(True).alias("window_complete"))
-    return collect(feed, sources, places(spark), fetched, F.lit(LOW), F.lit(HIGH))
+    return collect(feed_of(spark, sf_dir), sources, places(spark), fetched, F.lit(LOW), F.lit(HIGH))
 
 
 def ntz(*names: str) -> list[Column]:

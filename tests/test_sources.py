@@ -11,7 +11,7 @@ from alertlake.operators.pairing import pair_alerts, tokens_of
 from alertlake.plans.collect import archived, collect, purge_archive
 from alertlake.sources import archive, gazetteer, posts
 from alertlake.streaming import ingest
-from alertlake.streaming.pairing import TOKEN, pair_stream, stream_tokens
+from alertlake.streaming.pairing import TOKEN, pair_stream, stream_tokens, with_rocksdb
 
 PAGE = """<div class="tgme_widget_message_wrap"><div class="tgme_widget_message" data-post="chan/100">
 <div class="tgme_widget_message_forwarded_from">from <a class="tgme_widget_message_forwarded_from_name">Some &amp; One</a></div>
@@ -157,7 +157,7 @@ def test_stream_pairs_as_the_batch_does(spark, run, tmp_path):
     rows = stream_tokens(run.posts).orderBy("published_at", "post_id", "sub").collect()
     for i, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, TOKEN).coalesce(1).write.json(str(tmp_path / f"in/{i}"))
-    source = spark.readStream.schema(TOKEN).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    source = with_rocksdb(spark).readStream.schema(TOKEN).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
     query = pair_stream(source).writeStream.format("memory").queryName("paired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {(r["source"], r["threat"], r["start"], r["end"], r["precision"], r["end_match"]) for r in spark.table("paired").collect()}
@@ -187,7 +187,7 @@ def test_state_of_a_stream_is_let_go(spark, tmp_path):
     tokens = [("s", "uav", "start", at(0), "1", 2, "p", "t"), ("s", "uav", "start", at(60 * 200), "2", 2, "q", "t"), ("s", "uav", "end", at(60 * 200 + 5), "3", 2, "p", "t"), ("s", "uav", "end", at(60 * 200 + 6), "4", 2, "q", "t")]
     for i, part in enumerate((tokens[:1], tokens[1:2], tokens[2:])):
         spark.createDataFrame(part, TOKEN).coalesce(1).write.json(str(tmp_path / f"in/{i}"))
-    source = spark.readStream.schema(TOKEN).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    source = with_rocksdb(spark).readStream.schema(TOKEN).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
     pair_stream(source).writeStream.format("memory").queryName("let_go").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert [(r["place"], r["start_post_id"], r["end_post_id"]) for r in spark.table("let_go").collect()] == [("q", "2", "4")]
 
