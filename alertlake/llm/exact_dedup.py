@@ -6,9 +6,13 @@ holds more than `capacity` keys, the directory doubles (one more bit) and the ov
 buckets are split in two, the others being named by two slots each from then on. Doubling
 works on counts of slots, not on the keys.
 
-Buckets are written by owner tasks, each with a range of (bucket, key). An entry is a text:
-its key, the row that stays and the number of rows. Texts of equal keys are chained, each
-with its bytes. Every row is then looked up: slot, bucket, key and, in a chain, bytes.
+Rows are routed to their buckets first: hash, slot, bucket. Buckets are made by owner tasks,
+each with a range of (bucket, key), which put the rows of a text together and write an entry
+for it: its key, the row that stays and the number of rows. Rows whose key others share
+carry their bytes to the owner, which compares them: texts of one key are chained, each
+entry with its bytes. What a map task or a share of the owners' input repeats is one row with
+a count before it gets there, so a text in half of all rows is a few rows to its owner. Every
+row is then looked up: slot, bucket, key and, in a chain, bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from alertlake.llm.shared import cut, remove
 
+SHARES = 64  # of a text's rows, combined before they go to its owner
 FINER = 4  # bits by which counts are finer than the expected depth, and are refined
 
 
@@ -76,24 +81,37 @@ def keyed(docs: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
     return body.withColumn("key", key(F.col("body"))).withColumn("hash", F.xxhash64("key"))
 
 
+def routed(rows: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
+    """rows (hash, ...) with their bucket, through the directory."""
+    return rows.withColumn("slot", leading(F.col("hash"), depth)).join(slots.select("slot", "bucket"), "slot").drop("slot", "hash")
+
+
+def entries_of_owners(rows: DataFrame) -> DataFrame:
+    """(bucket, key, bytes, keep_id, n) -> (bucket, key, bytes, keep_id, group_size): an entry a text, made by the owner of its range.
+
+    Rows are combined by shares of their ids first; the range exchange then gives every owner
+    all that is left of its keys, and grouping by bytes there compares them.
+    """
+    share = F.pmod(F.xxhash64("keep_id"), F.lit(SHARES))
+    combined = rows.groupBy("bucket", "key", "bytes", share.alias("share")).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    owned = combined.repartitionByRange("bucket", "key")
+    return owned.groupBy("bucket", "key", "bytes").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+
+
 def build_index(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = 100_000) -> Index:
     """The index of docs (doc_id, text; null counts as empty), written to the shared folder."""
     rows = keyed(docs, key)
-    entries = rows.groupBy("key").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    entries = cut(entries.withColumn("hash", F.xxhash64("key")), "entries")
-    depth, slots = directory(entries.select("hash"), capacity)
-    # Only texts whose key several rows have are read again; grouping them by their bytes tells them apart.
-    several = cut(entries.where("group_size > 1").select("key"), "repeated-keys")
-    chains = rows.join(several, "key", "left_semi").groupBy("key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chains = cut(chains, "chains")
-    chained = cut(chains.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "chained-keys")
-    no_bytes = F.lit(None).cast("string").alias("bytes")
-    texts = chains.join(chained.withColumn("told", F.lit(True)), "key", "left")
-    linked = texts.select("key", F.when(F.col("told"), F.col("body")).alias("bytes"), "keep_id", "group_size")
-    all_ = entries.where("group_size = 1").select("key", no_bytes, "keep_id", "group_size").union(linked)
-    placed = all_.withColumn("slot", leading(F.xxhash64("key"), depth)).join(slots, "slot").select("bucket", "key", "bytes", "keep_id", "group_size")
-    owned = placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
-    return Index(depth, slots, cut(owned, "buckets"), chained)
+    keys = cut(rows.groupBy("key", "hash").agg(F.count("*").alias("n")), "keys")
+    depth, slots = directory(keys.select("hash"), capacity)
+    # A key that one row has needs no bytes: nothing shares its place.
+    shared = cut(keys.where("n > 1").select("key"), "shared-keys")
+    several = rows.join(shared, "key", "left_semi").select("hash", "key", F.col("body").alias("bytes"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    single = rows.join(shared, "key", "left_anti").select("hash", "key", F.lit(None).cast("string").alias("bytes"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    made = cut(entries_of_owners(routed(several.unionByName(single), depth, slots)), "entries")
+    chained = cut(made.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "chained-keys")
+    # Where a key has one text its bytes are not kept: the key tells it.
+    told = made.join(chained.withColumn("told", F.lit(True)), "key", "left").withColumn("bytes", F.when(F.col("told"), F.col("bytes")))
+    return Index(depth, slots, cut(told.select("bucket", "key", "bytes", "keep_id", "group_size").sortWithinPartitions("bucket", "key"), "buckets"), chained)
 
 
 def look_up(docs: DataFrame, index: Index, key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:

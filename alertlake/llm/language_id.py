@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alertlake.llm.shared import cut
+from alertlake.llm.shared import cut, release
 
 UNKNOWN = "und"
 NO_LETTER = np.int64((1 << 21) - 1)  # above all code points
@@ -144,12 +144,13 @@ def scorer(spark: SparkSession, model: Model | None):
         for batch in batches:
             names, scores = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
             known = np.array([i for i, t in enumerate(batch) if model and t and letter[points(t)].any()], int)
-            for at in range(0, len(known), 256):
-                rows = known[at : at + 256]
+            for at in range(0, len(known), 64):
+                rows = known[at : at + 64]
                 found = model.scores(batch.iloc[rows].tolist())
                 names[rows] = np.array(model.languages, object)[found.argmax(axis=1)]
                 scores[rows] = np.clip((1 + found.max(axis=1)) / 2, 0, 1)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        release()
 
     return score
 

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.llm.shared import cut
+from alertlake.llm.shared import cut, release
 
 BLANKS = " \t\r"
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 VARIANTS = "v long, pos int, doc_id long, of long, line_no int"
-ROWS, SLICE = 200_000, 1 << 16  # variants in a batch, characters hashed at once
+ROWS, SLICE = 50_000, 1 << 16  # variants in a batch, characters hashed at once
 NO_ID = -(2**63)  # stands for a null doc_id: before any other
 
 
@@ -79,6 +79,7 @@ def variants(texts: DataFrame) -> DataFrame:
                         hashes, places, owners, held = [], [], [], 0
             if held:
                 yield gathered(batch, hashes, places, owners)
+        release()
 
     return texts.select("doc_id", "of", "line_no", "line").mapInArrow(run, VARIANTS)
 

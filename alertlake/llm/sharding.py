@@ -23,20 +23,25 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_rows: i
 
     The law is `rows`: shard counts differ by one at most. A null source is a source of its
     own, a null text has 0 bytes, rows with equal doc_id and source are told apart by size
-    and checksum only (alike rows are interchangeable), an empty table gives no rows, and
-    with fewer rows than shards the first ones hold a row each or none.
+    and checksum only (alike rows are interchangeable, and one that stands more than
+    bucket_rows times is spread over the whole order), an empty table gives no rows, and with
+    fewer rows than shards the first ones hold a row each or none.
     """
-    total = docs.count()
+    own = ["doc_id", "stratum", "size", "text_crc32"]
+    stratum = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "source"))
+    text = F.coalesce("text", F.lit(""))
+    narrow = cut(docs.select("doc_id", stratum.alias("stratum"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")), "sizes")
+    total = narrow.count()
     if not total:
         return docs.select("doc_id", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"), F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).where("false")
     buckets = min(2**HASH_BITS, max(64, total // bucket_rows))
-    mixed = docs.select(
-        "doc_id",
-        F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "source")).alias("stratum"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("mix"),
-        (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-    ).withColumn("bucket", F.floor(F.shiftrightunsigned("mix", 64 - HASH_BITS) * F.lit(buckets) / 2**HASH_BITS).cast("int"))
+    # Alike rows would share a bucket, however many they are: what stands more than bucket_rows times is dealt by its rows' numbers in the written table.
+    crowds = cut(narrow.groupBy(own).agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select(*(F.col(c).alias(f"c_{c}") for c in own)), "crowds")
+    same = F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("stratum") == F.col("c_stratum")) & (F.col("size") == F.col("c_size")) & (F.col("text_crc32") == F.col("c_text_crc32"))
+    numbered = narrow.withColumn("number", F.monotonically_increasing_id()).join(crowds, same, "left")
+    copy = F.when(F.col("c_stratum").isNotNull(), F.col("number")).otherwise(F.lit(0))
+    mixed = numbered.select(*own, F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", copy).alias("mix"))
+    mixed = cut(mixed.withColumn("bucket", F.floor(F.shiftrightunsigned("mix", 64 - HASH_BITS) * F.lit(buckets) / 2**HASH_BITS).cast("int")), "mixed")
     by_source = Window.partitionBy("stratum").orderBy("bucket")
     counts = mixed.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("stratum", "bucket", (F.sum("n").over(by_source) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("stratum")).alias("of"))

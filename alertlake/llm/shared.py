@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from alertlake.operators import stage
@@ -20,3 +21,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by cut() that nothing reads any more."""
     stage.remove(*tables)
+
+
+def release() -> None:
+    """Give back what a Python worker's finished task leaves in Arrow's pool: the worker waits for other tasks beside busy ones."""
+    pa.default_memory_pool().release_unused()

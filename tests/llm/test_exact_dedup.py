@@ -104,3 +104,16 @@ def test_null_and_repeated_ids(docs_of):
     rows = exact_dedup(docs_of(["a", "a", "b", "c", "c", "c"], ids=[None, 3, None, 7, 7, 5])).collect()
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows), key=str)
     assert got == sorted([(None, 3, 2, False), (3, 3, 2, True), (None, None, 1, True), (7, 7, 3, True), (7, 7, 3, True), (5, 7, 3, False)], key=str)
+
+
+def test_colliding_texts_in_one_chain_and_a_text_in_half_of_the_rows(docs_of):
+    """Keys of one bit: every text collides with half of the others; one of them stands 400 times."""
+    texts = ["hot"] * 400 + [f"t{i % 150}" for i in range(400)]
+    docs = docs_of(texts)
+    key = lambda body: (F.xxhash64(body) % 2).cast("long")
+    index = build_index(docs, key, capacity=1)
+    rows = index.buckets.collect()
+    assert len(rows) == 151 and len({r["bucket"] for r in rows}) == len({r["key"] for r in rows}) and all(r["bytes"] is not None for r in rows)
+    assert {r["bytes"]: (r["keep_id"], r["group_size"]) for r in rows}["hot"] == (399, 400)
+    want = {i: max(j for j, u in enumerate(texts) if u == t) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup(docs, key, capacity=1).collect()} == want

@@ -60,7 +60,22 @@ def test_against_a_plain_interleaving(docs_of):
     ids = [None if i % 50 == 7 else i % 380 for i in range(400)]
     sources = F.when(F.col("n_chars") % 3 != 0, "hot").when(F.col("doc_id") == 5, "one").when(F.col("doc_id") % 4 == 1, F.lit(None).cast("string")).otherwise("rest")
     df = docs_of(texts, ids=ids).withColumn("source", sources).withColumns({c: F.lit("x") for c in ("bucket", "stratum", "mix", "cell", "at")})
-    keyed = df.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id").alias("m"), (F.octet_length("text") + 16).alias("s"), F.crc32("text").alias("c")).collect()
+    text = F.coalesce("text", F.lit(""))
+    sized = [(F.octet_length(text) + 16).cast("long").alias("s"), F.crc32(text).alias("c")]
+    keyed = df.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id", *sized, F.lit(0).cast("long")).alias("m"), *sized).collect()
     for shards, bucket_rows in ((7, 20_000), (40, 3)):
         got = sorted((str(r.doc_id), r["size"], r.text_crc32, r.shard, r.slot) for r in shard_rows(df, shards=shards, bucket_rows=bucket_rows).collect())
         assert got == plain([tuple(r) for r in keyed], shards)
+
+
+def test_alike_rows_are_no_single_bucket(spark):
+    rows = spark.range(30_000).selectExpr("cast(null as long) doc_id", "if(id % 3 = 0, concat('t', id), 'same') text", "cast(null as string) lang", "if(id % 5 = 0, 'a', 'b') source", "0L n_chars")
+    found = shard_rows(rows, shards=7, bucket_rows=300)
+    counts = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert sum(counts) == 30_000 and len(counts) == 7 and max(counts) - min(counts) <= 1
+    slots = found.groupBy("shard").agg({"slot": "max"}).collect()
+    assert {r[1] for r in slots} <= {max(counts) - 1, min(counts) - 1} and found.select("shard", "slot").distinct().count() == 30_000
+    # Every shard has its part of the text that stands in two thirds of the rows.
+    size = len("same") + 16
+    alike = [r["count"] for r in found.where(f"size = {size}").groupBy("shard").count().collect()]
+    assert len(alike) == 7 and max(alike) < 1.2 * min(alike)
