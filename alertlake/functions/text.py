@@ -103,6 +103,19 @@ def phrase_hits(texts: DataFrame, keys: list[str], n: str, phrases: DataFrame, o
     return runs.join(phrases, [*on, "phrase"])
 
 
+def contained(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, least: int) -> DataFrame:
+    """Every (text, phrase) with the phrase anywhere in the text, columns of both; names must differ.
+
+    Phrases of fewer than `least` characters are left out. A phrase is keyed by its first
+    `least` characters and a text by all its distinct pieces of that length, so they meet in
+    an equi-join; what shares a beginning only is told by looking.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - least + 1), lambda i: F.substr(F.col(text), i, F.lit(least))))
+    keyed = texts.where(F.length(text) >= least).withColumn("__piece", F.explode(pieces))
+    asked = phrases.where(F.length(phrase) >= least).withColumn("__piece", F.substring(phrase, 1, least))
+    return keyed.join(asked, "__piece").where(F.col(text).contains(F.col(phrase))).drop("__piece")
+
+
 def count_label(count: Column, qualifier: Column) -> Column:
     """≥n, ≈n or ×n."""
     sign = F.when(qualifier == "at_least", "≥").when(qualifier == "approx", "≈").otherwise("×")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alertlake.functions.inflection import REGION_NOUNS, alias_forms_of, head_forms_of
 from alertlake.functions.rules import MINISTRY_PHRASES, REGION_PHRASES, found
-from alertlake.functions.text import loose_name, normalize, phrase_hits, strict_name
+from alertlake.functions.text import contained, loose_name, normalize, phrase_hits, strict_name
 from alertlake.operators.stage import staged
 
 MOST_PLACES = 120
@@ -130,16 +130,16 @@ def first_place(*layers: DataFrame) -> DataFrame:
 def code_of_region(codes: DataFrame, regions: DataFrame) -> DataFrame:
     """(code, region): for each named code the region that it fits best.
 
-    Equal names score 100; a name inside the other scores the shorter length, from 4 letters
-    on. Both tables are lists of a country's regions (some dozens of rows): their product is
-    bounded by that, not by data.
+    Equal names score 100; a name inside the other scores the shorter length, where the
+    region's has 4 letters or more. Names meet by what they begin with, not by a product.
     """
-    a, b = normalize(F.col("code_name")), normalize(F.col("alias"))
-    inside = a.contains(b) | b.contains(a)
-    score = F.when(a == b, 100).when(inside & (F.length(b) >= 4), F.least(F.length(a), F.length(b)))
-    named = regions.select("region", F.col("rank").alias("region_rank"), F.explode("aliases").alias("alias"))
-    scored = codes.join(named, F.expr("true")).withColumn("score", score).where("score is not null")
-    return scored.groupBy("code").agg(F.max_by("region", F.struct("score", -F.col("region_rank"))).alias("region"))
+    own = codes.select("code", normalize(F.col("code_name")).alias("a")).where("a <> ''").distinct()
+    named = regions.select("region", F.col("rank").alias("region_rank"), F.explode("aliases").alias("b")).withColumn("b", normalize(F.col("b"))).where("b <> ''").distinct()
+    long = named.where(F.length("b") >= 4)
+    score = F.when(F.col("a") == F.col("b"), 100).otherwise(F.least(F.length("a"), F.length("b")))
+    both = ["code", "a", "region", "region_rank", "b"]
+    met = own.join(named, F.col("a") == F.col("b")).select(both).unionByName(contained(own, "a", long, "b", 4).select(both)).unionByName(contained(long, "b", own, "a", 1).select(both))
+    return met.groupBy("code").agg(F.max_by("region", F.struct(score, -F.col("region_rank"))).alias("region"))
 
 
 def re_enriched(reports: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -182,18 +182,17 @@ def looked_up(rows: DataFrame, places: DataFrame, names: list[str]) -> DataFrame
 def regions_of_shapes(shapes: DataFrame, regions: DataFrame) -> DataFrame:
     """(shape_id, region): the region that a shape's names (shape_id, names array) fit, null where none or several do.
 
-    regions: (region, aliases array), a country's list of some dozens. Names are compared
-    strictly, with the words that tell a region's kind; only shapes that match none so are
-    compared without those words, where a name of 5 letters or more may also lie inside the
-    other.
+    regions: (region, aliases array). Names are compared strictly, with the words that tell a
+    region's kind; only shapes that match none so are compared without those words, where a
+    name of 5 letters or more may also lie inside the other.
     """
     named = shapes.select("shape_id", F.explode("names").alias("name")).where("name is not null")
     known = regions.select("region", F.explode(F.concat(F.array("region"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
     strict = named.select("shape_id", strict_name(F.col("name")).alias("k")).where("k <> ''").join(known.select("region", strict_name(F.col("alias")).alias("k")), "k").select("shape_id", "region").distinct()
     rest = named.join(strict.select("shape_id").distinct(), "shape_id", "left_anti").select("shape_id", loose_name(F.col("name")).alias("a")).where("a <> ''").distinct()
     loose = known.select("region", loose_name(F.col("alias")).alias("b")).where("b <> ''").distinct()
-    inside = (F.length("a") >= 5) & (F.length("b") >= 5) & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
-    # Both sides are lists of a country's regions, whatever the archive holds.
-    fits = rest.join(loose, (F.col("a") == F.col("b")) | inside).select("shape_id", "region").distinct()
+    same = rest.join(loose, F.col("a") == F.col("b"))
+    inside = contained(rest, "a", loose, "b", 5).unionByName(contained(loose, "b", rest, "a", 5), allowMissingColumns=True)
+    fits = same.unionByName(inside).select("shape_id", "region").distinct()
     of = strict.unionByName(fits).groupBy("shape_id").agg(F.count("*").alias("n"), F.min("region").alias("region"))
     return shapes.select("shape_id").join(of, "shape_id", "left").select("shape_id", F.when(F.col("n") == 1, F.col("region")).alias("region"))

@@ -114,3 +114,23 @@ def test_curves(spark):
     polygon, centre = F.from_json(F.lit(ring), "array<array<struct<lon:double,lat:double>>>"), F.struct(F.lit(3.0).alias("lon"), F.lit(3.0).alias("lat"))
     p = one(spark, curves.interior_point(polygon, centre, contains_point))
     assert (p["lon"], p["lat"]) == (3, 1)
+
+
+def test_phrases_anywhere_in_texts(spark):
+    import random
+
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choice("abс😀") for _ in range(n))
+    texts, phrases = [(i, word(rnd.randrange(30))) for i in range(60)] + [(99, None)], [(i, word(rnd.randrange(1, 8))) for i in range(60)] + [(98, None)]
+    a, b = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(phrases, "j int, phrase string")
+    for least in (1, 3):
+        found = text.contained(a, "text", b, "phrase", least)
+        assert sorted((r["i"], r["j"]) for r in found.collect()) == sorted((i, j) for i, t in texts for j, p in phrases if t is not None and p is not None and len(p) >= least and p in t)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_phrase_hits_of_long_texts(spark):
+    rows = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30_000)))], "k int, n string")
+    phrases = spark.createDataFrame([("w5 w6 w7",), ("w29999",), ("w29999 w0",), ("w7 w6",)], "phrase string")
+    assert sorted((r["at"], r["phrase"]) for r in text.phrase_hits(rows, ["k"], "n", phrases).collect()) == [(5, "w5 w6 w7"), (29_999, "w29999")]

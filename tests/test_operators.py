@@ -156,19 +156,33 @@ def test_crossings(spark):
     assert {(r["line_id"], r["other_id"]): r["n"] for r in got} == {k: min(4, n) for k, n in want.items()}
 
 
-def test_best_path_is_the_longest():
-    rnd = random.Random(2)
-    for _ in range(50):
-        n = rnd.randrange(2, 7)
-        scores = {i: rnd.uniform(-1, 3) for i in range(n)}
-        links = {j: [i for i in range(j) if rnd.random() < 0.5] for j in range(n)}
-        ends = {i for i in range(n) if rnd.random() < 0.5}
-
-        def paths(node):
-            return [[node]] + [[*p, node] for i in links[node] for p in paths(i)]
-
-        best = max([0.0] + [sum(scores[x] for x in p) + chains.LAST_STEP for e in ends for p in paths(e)])
-        assert abs(chains.best_path(scores, list(range(n)), links, ends)[1] - best) < 1e-9
+def plain_path(scores, links):
+    """The path to every point with the largest sum, point by point: (sum, path)."""
+    best = {}
+    for b in sorted(scores):
+        best[b] = (scores[b], [b])
+        for a in sorted(a for a, c in links if c == b):
+            if best[a][0] + scores[b] > best[b][0]:
+                best[b] = (best[a][0] + scores[b], [*best[a][1], b])
+    return best
+
+
+def test_longest_paths_by_relaxation(spark):
+    rnd, points, links, want = random.Random(2), [], [], {}
+    for end in range(12):
+        n = rnd.randrange(1, 14)
+        scores = {i: float(rnd.randrange(-6, 9)) for i in range(n)}  # whole numbers, so that sums tie
+        own = {(a, b) for a in range(n) for b in range(a + 1, n) if rnd.random() < 0.4}
+        points += [(end, i, s, i) for i, s in scores.items()]
+        links += [(end, a, b) for a, b in own]
+        want |= {(end, i): found for i, found in plain_path(scores, own).items()}
+    points += [(99, i, 1.0, i) for i in range(25)]  # one long line
+    links += [(99, i, i + 1) for i in range(24)]
+    want |= {(99, i): (i + 1.0, list(range(i + 1))) for i in range(25)}
+    df = spark.createDataFrame(points, "end_id int, node_id long, score double, t int")
+    got = chains.longest_paths(df, spark.createDataFrame(links, "end_id int, a long, b long"), ["end_id"], ["t", "node_id"]).collect()
+    assert {(r["end_id"], r["node_id"]): (r["best"], r["path"]) for r in got} == want
+    assert chains.longest_paths(df.where("false"), spark.createDataFrame([], "end_id int, a long, b long"), ["end_id"], ["t", "node_id"]).count() == 0
 
 
 def test_chain_follows_the_corridor(spark):
