@@ -33,18 +33,61 @@ def contains_point(polygon: Column, lon: Column, lat: Column) -> Column:
     return F.aggregate(F.transform(polygon, crossings), F.lit(0), lambda n, c: n + c) % 2 == 1
 
 
+FINEST_DEG, BAND_LEVELS = 1 / 1024, 19  # bands of latitude, from the finest by doubling to more than the globe
+
+
+def _band(lat: Column, level: Column) -> Column:
+    return F.floor(lat / (F.lit(FINEST_DEG) * F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _east(lon: Column, wraps: Column) -> Column:
+    """Longitude for shapes across the date line: from 0 to 360."""
+    return F.when(wraps & (lon < 0), lon + 360).otherwise(lon)
+
+
+def edges_in_bands(shapes: DataFrame) -> DataFrame:
+    """(shape, rank, region, polygon) -> an edge a row: shape, wraps, x1, y1, x2, y2, and the bands of latitude that it lies in.
+
+    The level of its bands is the least with bands as high as the edge, so it lies in two at
+    most. `wraps` tells shapes with an edge across the date line; their longitudes go on past 180.
+    """
+    point = lambda i: F.get("ring", F.col("i") + i)
+    rings = shapes.select("shape", F.explode("polygon").alias("ring")).where(F.size("ring") > 1)
+    edges = rings.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("ring") - 2))).select("shape", point(0)["lon"].alias("x1"), point(0)["lat"].alias("y1"), point(1)["lon"].alias("x2"), point(1)["lat"].alias("y2"))
+    wraps = edges.groupBy("shape").agg(F.bool_or(F.abs(F.col("x1") - F.col("x2")) > 180).alias("wraps"))
+    level = F.least(F.lit(BAND_LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(FINEST_DEG), F.abs(F.col("y1") - F.col("y2"))) / FINEST_DEG)))).cast("int")
+    out = edges.join(wraps, "shape").withColumns({"x1": _east(F.col("x1"), F.col("wraps")), "x2": _east(F.col("x2"), F.col("wraps")), "level": level})
+    return out.withColumn("band", F.explode(F.sequence(_band(F.least("y1", "y2"), F.col("level")), _band(F.greatest("y1", "y2"), F.col("level")))))
+
+
 def locate(points: DataFrame, shapes: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """points (lon, lat, ...) joined to the first shape (rank, region, polygon) that holds each; none: null region.
 
-    Shapes are dealt to the grid cells that their bounds touch, so points meet them by an
-    equi-join on cells; the ray is cast for those within the bounds only.
+    Points meet the bounds of shapes by an equi-join on grid cells, and a shape whose bounds
+    hold a point meets it by those edges only that lie in the point's band of latitude: a ray
+    east from it is inside where it crosses an odd number of them. An edge is kept once or
+    twice, whatever the size of its shape; no shape is copied, and none is put together in a
+    task. Shapes may have holes and may lie across the date line.
     """
     cell = lambda c: F.floor(c / cell_deg).cast("int")
-    dealt = shapes.withColumn("b", bounds(F.col("polygon"))).withColumn("cx", F.explode(F.sequence(cell(F.col("b.west")), cell(F.col("b.east"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("b.south")), cell(F.col("b.north")))))
-    keyed = points.withColumns({"cx": cell(F.col("lon")), "cy": cell(F.col("lat"))})
-    places = keyed.select("lon", "lat", "cx", "cy").distinct().join(dealt, ["cx", "cy"])
-    inside = places.where(F.col("lon").between(F.col("b.west"), F.col("b.east")) & F.col("lat").between(F.col("b.south"), F.col("b.north")) & contains_point(F.col("polygon"), F.col("lon"), F.col("lat")))
-    of = inside.groupBy("lon", "lat").agg(F.min_by("region", "rank").alias("region"))
+    named = shapes.select("rank", "region", "polygon", F.xxhash64("rank", "region", "polygon").alias("shape"))
+    own = named.groupBy("shape").agg(F.min("rank").alias("rank"), F.first("region").alias("region"), F.first("polygon").alias("polygon"))
+    edges = staged(edges_in_bands(own), "edges-in-bands")
+    boxes = edges.groupBy("shape").agg(F.first("wraps").alias("wraps"), F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"), F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north"))
+    boxes = boxes.join(own.select("shape", "rank", "region"), "shape")
+    dealt = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("west")), cell(F.col("east"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("south")), cell(F.col("north")))))
+    sites = points.select("lon", "lat").where("lon is not null and lat is not null").distinct()
+    # A point is looked for at its longitude and, for shapes across the date line, past 180.
+    sides = F.explode(F.array(F.struct(F.col("lon").alias("x"), F.lit(False).alias("wraps")), F.struct(_east(F.col("lon"), F.lit(True)).alias("x"), F.lit(True).alias("wraps"))))
+    keyed = sites.withColumn("s", sides).select("lon", "lat", "s.*").withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("lat"))})
+    met = keyed.join(dealt, ["cx", "cy", "wraps"]).where(F.col("x").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
+    levels = F.array(*(F.lit(r[0]) for r in edges.select("level").distinct().collect())).cast("array<int>")  # BAND_LEVELS numbers at most
+    asked = met.select("shape", "rank", "region", "lon", "lat", "x", F.explode(levels).alias("level")).withColumn("band", _band(F.col("lat"), F.col("level")))
+    spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
+    right = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crossed = asked.join(edges.select("shape", "level", "band", "x1", "y1", "x2", "y2"), ["shape", "level", "band"]).where(spans & right)
+    inside = crossed.groupBy("lon", "lat", "shape").agg(F.count("*").alias("n"), F.first("rank").alias("rank"), F.first("region").alias("region")).where("n % 2 = 1")
+    of = inside.groupBy("lon", "lat").agg(F.min_by("region", F.struct("rank", "shape")).alias("region"))
     return points.join(of, ["lon", "lat"], "left")
 
 

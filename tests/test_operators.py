@@ -253,3 +253,36 @@ def test_a_dense_key_has_sessions_by_doubling(spark):
     got = sessions.anchored_sessions(spark.createDataFrame(rows, "key string, ts timestamp"), ["key"], "ts", 3_600_000).collect()
     assert len(got) == 3002 and {r["session_start"] for r in got if r["key"] is None} == {at(5), at(500)}
     assert {(r["ts"], r["session_start"]) for r in got if r["key"]} == {(at(7 * i), at(63 * (i // 9))) for i in range(3000)}
+
+
+def inside(rings, x, y):
+    """Rays east through all edges."""
+    return sum(((y1 > y) != (y2 > y)) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False)) % 2 == 1
+
+
+def ringed(ring):
+    return [{"lon": x, "lat": y} for x, y in ring]
+
+
+def test_points_in_shapes_of_many_edges_with_holes_and_across_the_date_line(spark):
+    import math
+
+    rnd = random.Random(9)
+    star = [(30 + (8 + 3 * math.sin(9 * a) + rnd.random()) * math.cos(a), 50 + (5 + 2 * math.sin(9 * a)) * math.sin(a)) for a in (2 * math.pi * i / 4000 for i in range(4000))]
+    star.append(star[0])
+    hole = [(29.0, 49.0), (31.0, 49.0), (31.0, 51.0), (29.0, 51.0), (29.0, 49.0)]
+    square = [(20.0, 45.0), (32.0, 45.0), (32.0, 55.0), (20.0, 55.0), (20.0, 45.0)]
+    across = [(178.0, -10.0), (-177.0, -10.0), (-177.0, 10.0), (178.0, 10.0), (178.0, -10.0)]
+    shapes = [(2, "star", [star, hole]), (3, "square", [square]), (1, "across", [across]), (1, "across", [across]), (4, "line", [[(0.0, 0.0)]])]
+    df = spark.createDataFrame([(r, n, [ringed(x) for x in p]) for r, n, p in shapes], f"rank int, region string, polygon {geometry.POLYGON}")
+    points = [(rnd.uniform(15, 45), rnd.uniform(40, 60)) for _ in range(400)] + [(rnd.choice([-1, 1]) * rnd.uniform(175, 180), rnd.uniform(-12, 12)) for _ in range(80)] + [(30.0, 50.0), (25.0, 45.0), (32.0, 55.0), (20.0, 50.0)]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)] + [(999, None, 1.0)], "i int, lon double, lat double")
+    east = lambda x: x + 360 if x < 0 else x
+    wrapped = [(east(x), y) for x, y in across]
+
+    def first(x, y):
+        return "across" if inside([wrapped], east(x), y) else "star" if inside([star, hole], x, y) else "square" if inside([square], x, y) else None
+
+    got = {r["i"]: r["region"] for r in geometry.locate(rows, df).collect()}
+    assert got == {i: first(x, y) for i, (x, y) in enumerate(points)} | {999: None}
+    assert set(got.values()) == {"across", "star", "square", None}
