@@ -54,7 +54,9 @@ def test_stab_is_an_equi_join(spark):
     assert "NestedLoop" not in intervals.stab(a, b)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_anchored_sessions(spark):
+@pytest.mark.parametrize("few", [512, 3])
+def test_anchored_sessions(spark, few, monkeypatch):
+    monkeypatch.setattr(sessions, "FEW", few)
     rnd = random.Random(7)
     rows = [(rnd.randrange(4), at(rnd.randrange(3000))) for _ in range(400)]
     want, last = {}, {}
