@@ -253,9 +253,9 @@ def nearest_progress(lines: DataFrame, points: DataFrame, by: list[str]) -> Data
     """points (by..., point_id, lon, lat) with `progress` from 0 to 1 along their line, lines being (by..., seq, lon, lat, km, progress).
 
     lines as progress_along() gives them. Distance is taken on the plane at the point; of
-    equally near places the first counts.
+    places as near as each other, to a millimetre, the first counts.
     """
-    within = Window.partitionBy(*by).orderBy("seq")
+    within = Window.partitionBy(*by).orderBy("seq", "km", "progress")
     before = lambda c: F.lag(c).over(within)
     legs = lines.select(*by, F.col("seq").alias("__seq"), before("lon").alias("__lon0"), before("lat").alias("__lat0"), F.col("lon").alias("__lon1"), F.col("lat").alias("__lat1"), before("progress").alias("__p0"), F.col("progress").alias("__p1")).where("__lon0 is not null")
     met = points.join(legs, by)
@@ -268,5 +268,5 @@ def nearest_progress(lines: DataFrame, points: DataFrame, by: list[str]) -> Data
     met = met.withColumn("__t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
     off = F.pow(F.col("__ux") - F.col("__vx") * F.col("__t"), 2) + F.pow(F.col("__uy") - F.col("__vy") * F.col("__t"), 2)
     at = F.col("__p0") + (F.col("__p1") - F.col("__p0")) * F.col("__t")
-    best = met.groupBy(*by, "point_id").agg(F.min(F.struct(off.alias("off"), "__seq", at.alias("progress"), "lon", "lat")).alias("b"))
+    best = met.groupBy(*by, "point_id").agg(F.min(F.struct(F.round(F.sqrt(off), 6).alias("off"), "__seq", at.alias("progress"), "lon", "lat")).alias("b"))
     return best.select(*by, "point_id", "b.lon", "b.lat", "b.progress")

@@ -11,7 +11,7 @@ from alertlake.operators import chains, geometry, intervals
 from alertlake.plans.queries import LAT, LON, points
 from alertlake.plans.registry import query, table
 
-LINE_SQL = f"""p AS (SELECT l_orderkey AS route, l_linenumber AS seq, ({LON.format('l_partkey')})::DOUBLE / 8 AS lon, ({LAT.format('l_partkey')})::DOUBLE / 8 AS lat FROM lineitem WHERE l_orderkey % 4 = 1),
+LINE_SQL = f"""p AS (SELECT l_orderkey AS route, l_linenumber AS seq, ({LON.format('l_partkey')})::DOUBLE / 8 AS lon, ({LAT.format('l_partkey')})::DOUBLE / 8 AS lat FROM lineitem),
           l0 AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0 FROM p WINDOW w AS (PARTITION BY route ORDER BY seq, lon, lat)),
           l1 AS (SELECT *, coalesce({haversine_sql('lat0', 'lon0', 'lat', 'lon')}, 0) AS step FROM l0),
           l2 AS (SELECT *, sum(step) OVER (PARTITION BY route ORDER BY seq, lon, lat ROWS UNBOUNDED PRECEDING) AS km FROM l1),
@@ -20,7 +20,7 @@ LINE_SQL = f"""p AS (SELECT l_orderkey AS route, l_linenumber AS seq, ({LON.form
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth order as a route of items: orders stand for routes, of which an archive has fewer than of anything else."""
-    p = points(spark, sf_dir, "lineitem", "l_partkey").where("l_orderkey % 4 = 1")
+    p = points(spark, sf_dir, "lineitem", "l_partkey")
     return p.select(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("seq"), (F.col("lon") / 8).alias("lon"), (F.col("lat") / 8).alias("lat"))
 
 
@@ -47,16 +47,16 @@ def route_region_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("route", *(F.round(c, 3).alias(c) for c in ("lit_km", "unlit_km", "outside_km")), "lit_regions", "unlit_regions", "bridge_regions", "bridge_runs")
 
 
-@query(f"""WITH {LINE_SQL}, q AS (SELECT o_orderkey AS route, ({LON.format('o_custkey')})::DOUBLE / 8 AS plon, ({LAT.format('o_custkey')})::DOUBLE / 8 AS plat FROM orders WHERE o_orderkey % 4 = 1),
-          s AS (SELECT route, seq, lon0, lat0, lon, lat, progress AS p1, lag(progress) OVER (PARTITION BY route ORDER BY seq) AS p0 FROM line),
+@query(f"""WITH {LINE_SQL}, q AS (SELECT o_orderkey AS route, ({LON.format('o_custkey')})::DOUBLE / 8 AS plon, ({LAT.format('o_custkey')})::DOUBLE / 8 AS plat FROM orders),
+          s AS (SELECT route, seq, lon0, lat0, lon, lat, progress AS p1, lag(progress) OVER (PARTITION BY route ORDER BY seq, lon, lat) AS p0 FROM line),
           m AS (SELECT *, (lon - lon0) * {KM_LON} * cos(radians(plat)) AS vx, (lat - lat0) * {KM_LAT} AS vy, (plon - lon0) * {KM_LON} * cos(radians(plat)) AS ux, (plat - lat0) * {KM_LAT} AS uy FROM q JOIN s USING (route) WHERE lon0 IS NOT NULL),
           t AS (SELECT *, greatest(0, least(1, coalesce((ux * vx + uy * vy) / nullif(vx * vx + vy * vy, 0), 0))) AS t FROM m),
           d AS (SELECT *, pow(ux - vx * t, 2) + pow(uy - vy * t, 2) AS off FROM t)
-          SELECT route, round(arg_min(p0 + (p1 - p0) * t, off), 6) AS progress FROM d GROUP BY route""")
+          SELECT route, round(arg_min(p0 + (p1 - p0) * t, (round(sqrt(off), 6), seq, p0 + (p1 - p0) * t)), 6) AS progress FROM d GROUP BY route""")
 def nearest_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far along its route the nearest place to a point lies."""
     line = chains.progress_along(lines(spark, sf_dir), ["route"], ["seq", "lon", "lat"])
-    asked = points(spark, sf_dir, "orders", "o_custkey").where("o_orderkey % 4 = 1").select(F.col("o_orderkey").alias("route"), F.col("o_orderkey").alias("point_id"), (F.col("lon") / 8).alias("lon"), (F.col("lat") / 8).alias("lat"))
+    asked = points(spark, sf_dir, "orders", "o_custkey").select(F.col("o_orderkey").alias("route"), F.col("o_orderkey").alias("point_id"), (F.col("lon") / 8).alias("lon"), (F.col("lat") / 8).alias("lat"))
     return geometry.nearest_progress(line, asked, ["route"]).select("route", F.round("progress", 6).alias("progress"))
 
 
@@ -89,19 +89,19 @@ def local_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", r(to["x"], 6, "x"), r(to["y"], 6, "y"), r(off["lon"], 8, "east"), r(off["lat"], 8, "south"), r(angle_between(F.col("lon"), F.col("lat") * 2), 6, "turn"), r(count_weight(F.col("c_custkey") % 70), 9, "weight"), r(smoothstep((F.col("c_custkey") % 11) / 10.0), 9, "eased"))
 
 
-SEG_SQL = """s AS (SELECT l_suppkey % 30 AS line_id, l_orderkey * 10 + l_linenumber AS seg_no, (l_partkey % 40)::DOUBLE AS x1, (l_orderkey % 37)::DOUBLE AS y1, (l_partkey % 40 + l_linenumber % 3)::DOUBLE AS x2, (l_orderkey % 37 + l_quantity::INTEGER % 4)::DOUBLE + 0.5 AS y2 FROM lineitem WHERE l_orderkey % 37 < 6 AND l_linenumber < 3)"""
+SEG_SQL = """s AS (SELECT l_suppkey % 30 AS line_id, l_orderkey * 10 + l_linenumber AS seg_no, (l_partkey % 400)::DOUBLE AS x1, (l_orderkey % 370)::DOUBLE AS y1, (l_partkey % 400 + l_linenumber % 3)::DOUBLE AS x2, (l_orderkey % 370 + l_quantity::INTEGER % 4)::DOUBLE + 0.5 AS y2 FROM lineitem)"""
 
 
-@query(f"""WITH {SEG_SQL}, o AS (SELECT a.line_id, b.line_id AS other_id, a.seg_no AS s1, b.seg_no AS s2,
+@query(f"""WITH {SEG_SQL}, c AS (SELECT *, unnest(range(floor(y1 / 4)::BIGINT, floor(y2 / 4)::BIGINT + 1)) AS cy FROM (SELECT *, unnest(range(floor(x1 / 4)::BIGINT, floor(x2 / 4)::BIGINT + 1)) AS cx FROM s)),
+          o AS (SELECT DISTINCT a.line_id, b.line_id AS other_id, a.seg_no AS s1, b.seg_no AS s2,
           (a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) AS t1, (a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1) AS t2,
           (b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1) AS t3, (b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1) AS t4
-          FROM s a JOIN s b ON a.line_id < b.line_id AND greatest(a.x1, a.x2) >= least(b.x1, b.x2) AND greatest(b.x1, b.x2) >= least(a.x1, a.x2) AND greatest(a.y1, a.y2) >= least(b.y1, b.y2) AND greatest(b.y1, b.y2) >= least(a.y1, a.y2))
+          FROM c a JOIN c b USING (cx, cy) WHERE a.line_id < b.line_id)
           SELECT line_id, other_id, least(4, count(*))::INTEGER AS n FROM o WHERE ((t1 > 1e-8 AND t2 < -1e-8) OR (t1 < -1e-8 AND t2 > 1e-8)) AND ((t3 > 1e-8 AND t4 < -1e-8) OR (t3 < -1e-8 AND t4 > 1e-8)) GROUP BY ALL""")
 def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proper crossings of lines made of items, counted up to four."""
     d = lambda c, n: F.col(c).cast("long") % n
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 37 < 6 and l_linenumber < 3")
-    segs = rows.select((F.col("l_suppkey") % 30).alias("line_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seg_no"), d("l_partkey", 40).cast("double").alias("x1"), d("l_orderkey", 37).cast("double").alias("y1"), (d("l_partkey", 40) + d("l_linenumber", 3)).cast("double").alias("x2"), (d("l_orderkey", 37) + d("l_quantity", 4) + 0.5).cast("double").alias("y2"))
+    segs = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 30).alias("line_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seg_no"), d("l_partkey", 400).cast("double").alias("x1"), d("l_orderkey", 370).cast("double").alias("y1"), (d("l_partkey", 400) + d("l_linenumber", 3)).cast("double").alias("x2"), (d("l_orderkey", 370) + d("l_quantity", 4) + 0.5).cast("double").alias("y2"))
     return geometry.crossings(segs)
 
 
@@ -140,10 +140,10 @@ def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", ntz(day["start"], "low"), ntz(day["end"], "high"), ntz(slid, "slid"))
 
 
-@query(f"""WITH n AS (SELECT event_id, user_id % 5 = 0 AS proxy, ts, (user_id * 37 % 400) / 40.0 + 30 AS lon, (user_id * 53 % 120) / 30.0 + 50 AS lat, CASE WHEN event_id % 2 = 0 THEN 'uav' ELSE 'missile' END AS threat FROM events WHERE event_type <> 'view')
+@query(f"""WITH n AS (SELECT event_id, user_id % 5 = 0 AS proxy, ts, (user_id * 37 % 400) / 40.0 + 30 AS lon, (user_id * 53 % 120) / 30.0 + 50 AS lat, CASE WHEN event_id % 2 = 0 THEN 'uav' ELSE 'missile' END AS threat FROM events)
           SELECT event_id FROM n w WHERE NOT proxy OR NOT EXISTS (SELECT 1 FROM n s WHERE NOT s.proxy AND s.threat = w.threat AND s.ts BETWEEN w.ts AND w.ts + INTERVAL 90 MINUTE AND epoch_ms(s.ts) - epoch_ms(w.ts) <= 5400000 AND {haversine_sql('w.lat', 'w.lon', 's.lat', 's.lon')} < 45)""")
 def weak_nodes_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    events = table(spark, sf_dir, "events")
     lon, lat = (F.col("user_id") * 37 % 400) / 40.0 + 30, (F.col("user_id") * 53 % 120) / 30.0 + 50
     nodes = events.select(F.col("event_id").alias("node_id"), (F.col("user_id") % 5 == 0).alias("proxy"), F.col("ts").alias("at"), lon.alias("lon"), lat.alias("lat"), F.when(F.col("event_id") % 2 == 0, "uav").otherwise("missile").alias("threat_class"))
     return chains.suppressed(nodes).select(F.col("node_id").alias("event_id"))
@@ -155,18 +155,17 @@ def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", chains.evidence_count(F.col("o_custkey") % 40 * 3, kind).alias("evidence"))
 
 
-@query("""WITH n AS (SELECT event_id, user_id, (event_id % 4 + 1)::BIGINT AS observations, 1 + (event_id % 7) / 5.0 AS weight, CASE WHEN event_id % 3 = 0 THEN (event_id % 50)::BIGINT END AS observed_count, event_id % 11 = 0 AS proxy FROM events),
-          c AS (SELECT user_id, list(event_id ORDER BY event_id)[1:6] AS path FROM n GROUP BY user_id), x AS (SELECT user_id, len(path) AS supports, unnest(path) AS event_id FROM c),
-          g AS (SELECT x.user_id, max(supports) AS supports, sum(observations) AS evidence, sum(weight) AS weighted, coalesce(max(observed_count), 0) AS observed_most, count(*) FILTER (proxy) AS proxies FROM x JOIN n USING (event_id) GROUP BY x.user_id)
-          SELECT user_id, evidence::BIGINT AS evidence, round(weighted, 6) AS weighted, observed_most, proxies, round(1 + least(0.55, greatest(0, weighted - supports) * 0.08), 6) AS route_weight,
-          round(least(1, 0.22 + supports * 0.17 + least(0.22, evidence * 0.035) + least(0.10, greatest(0, weighted - supports) * 0.018) + CASE WHEN user_id % 2 = 0 THEN 0.12 ELSE 0 END - proxies * 0.08), 6) AS confidence FROM g""")
+@query("""WITH n AS (SELECT event_id, user_id * 100 + extract(day FROM ts) AS end_id, user_id, (event_id % 4 + 1)::BIGINT AS observations, 1 + (event_id % 7) / 5.0 AS weight, CASE WHEN event_id % 3 = 0 THEN (event_id % 50)::BIGINT END AS observed_count, event_id % 11 = 0 AS proxy FROM events),
+          g AS (SELECT end_id, user_id, count(*) AS supports, sum(observations) AS evidence, sum(weight) AS weighted, coalesce(max(observed_count), 0) AS observed_most, count(*) FILTER (proxy) AS proxies FROM n GROUP BY ALL)
+          SELECT end_id, evidence::BIGINT AS evidence, round(weighted, 6) AS weighted, observed_most, proxies, round(1 + least(0.55, greatest(0, weighted - supports) * 0.08), 6) AS route_weight,
+          round(least(1, 0.22 + supports * 0.17 + least(0.22, evidence * 0.035) + least(0.10, greatest(0, weighted - supports) * 0.018) + CASE WHEN end_id % 2 = 0 THEN 0.12 ELSE 0 END - proxies * 0.08), 6) AS confidence FROM g""")
 def chain_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' first six events as chains: what supports each, and how far it is to be believed."""
+    """Users' events of a day as chains: what supports each, and how far it is to be believed."""
     e = F.col("event_id")
-    nodes = table(spark, sf_dir, "events").select("user_id", e.alias("node_id"), (e % 4 + 1).alias("observations"), (1 + (e % 7) / 5.0).alias("weight"), F.when(e % 3 == 0, e % 50).alias("observed_count"), (e % 11 == 0).alias("proxy"))
-    paths = nodes.groupBy(F.col("user_id").alias("end_id")).agg(F.slice(F.sort_array(F.collect_list("node_id")), 1, 6).alias("path"))
-    found = chains.evidence_of(paths, nodes, F.col("end_id") % 2 == 0)
-    return found.select(F.col("end_id").alias("user_id"), "evidence", F.round("weighted", 6).alias("weighted"), "observed_most", "proxies", F.round("route_weight", 6).alias("route_weight"), F.round("confidence", 6).alias("confidence"))
+    nodes = table(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("end_id"), e.alias("node_id"), (e % 4 + 1).alias("observations"), (1 + (e % 7) / 5.0).alias("weight"), F.when(e % 3 == 0, e % 50).alias("observed_count"), (e % 11 == 0).alias("proxy"))
+    paths = nodes.groupBy("end_id").agg(F.sort_array(F.collect_list("node_id")).alias("path"))
+    found = chains.evidence_of(paths, nodes.drop("end_id"), F.col("end_id") % 2 == 0)
+    return found.select("end_id", "evidence", F.round("weighted", 6).alias("weighted"), "observed_most", "proxies", F.round("route_weight", 6).alias("route_weight"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("""SELECT user_id, event_id, ts, strftime(ts, '%Y-%m-%dT%H') AS hour FROM (SELECT *, count(*) OVER (PARTITION BY user_id, date_trunc('hour', ts)) AS n FROM events) WHERE n >= 2""")
