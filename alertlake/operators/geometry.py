@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlake.functions.geo import KM_LAT, RADIUS_KM, haversine_km, km_per_lon
-from alertlake.operators.stage import staged
+from alertlake.operators.stage import remove, staged
 
 POLYGON = "array<array<struct<lon:double,lat:double>>>"
 
@@ -102,35 +101,59 @@ def outer_edges(edges: DataFrame, by: list[str], digits: int = 5) -> DataFrame:
     return odd.select(*by, F.col("a.lon").alias("lon1"), F.col("a.lat").alias("lat1"), F.col("b.lon").alias("lon2"), F.col("b.lat").alias("lat2"))
 
 
-def _chained(edges: list[tuple]) -> list[list[tuple]]:
-    """Edges walked into lines: open ends first, then what is left as rings."""
-    at: dict[tuple, list[int]] = {}
-    for i, (a, b) in enumerate(edges):
-        at.setdefault(a, []).append(i)
-        at.setdefault(b, []).append(i)
-    free, lines = set(range(len(edges))), []
-    starts = sorted(p for p, own in at.items() if len(own) % 2) + sorted(at)
-    for start in starts:
-        while any(i in free for i in at[start]):
-            line = [start]
-            while (step := next((i for i in at[line[-1]] if i in free), None)) is not None:
-                free.discard(step)
-                a, b = edges[step]
-                line.append(b if a == line[-1] else a)
-            lines.append(line)
-    return lines
+def _run_to_end(going: DataFrame) -> DataFrame:
+    """(h, to) -> (h, end, hops, least, ends): where the way from h ends, in how many hops, and the least h on it.
 
+    By pointer doubling: in each round every pointer becomes as long as two, so the rounds are
+    the logarithm of the longest way. A way that ends nowhere is a ring (`ends` is false);
+    `least` is then that of the ring.
+    """
+    last = F.col("to").isNull()
+    state = staged(going.select("h", F.coalesce("to", "h").alias("end"), F.when(last, 0).otherwise(1).cast("long").alias("hops"), F.col("h").alias("least"), last.alias("ends")), "pointers")
+    while True:
+        ahead = state.select(F.col("h").alias("end"), F.col("end").alias("on"), F.col("hops").alias("more"), F.col("least").alias("other"), F.col("ends").alias("over"))
+        joined = state.join(ahead, "end")
+        moved = (F.col("other") < F.col("least")) | (F.col("over") & ~F.col("ends"))
+        after = staged(joined.select("h", F.col("on").alias("end"), (F.col("hops") + F.col("more")).alias("hops"), F.least("least", "other").alias("least"), (F.col("ends") | F.col("over")).alias("ends"), moved.alias("moved")), "pointers")
+        remove(state)
+        state = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return state
+
+
+def lines_of_edges(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Edges (by..., lon1, lat1, lon2, lat2) put into lines: (by..., line, place, lon1, lat1, lon2, lat2), each edge once, in its line's direction.
+
+    At every node the edges that meet there are paired in the order of their other ends; one
+    is left over where their number is odd, and a line ends. So edges make up lines and rings
+    in which each has a next one, and list ranking tells every edge its line and its place in
+    it: no shape, and no line, passes through one task.
+    """
+    own = staged(edges.select(*by, "lon1", "lat1", "lon2", "lat2"), "edges").withColumn("e", F.monotonically_increasing_id())
+    side = lambda i, j, way: F.struct((F.col("e") * 2 + way).alias("h"), *(F.col(f"{c}{k}").alias(f"{c}{n}") for n, k in ((1, i), (2, j)) for c in ("lon", "lat")))
+    halves = staged(own.select(*by, F.explode(F.array(side(1, 2, 0), side(2, 1, 1))).alias("s")).select(*by, "s.*"), "half-edges")
+    back = lambda h: h.bitwiseXOR(F.lit(1).cast("long"))
+    at_node = Window.partitionBy(*by, "lon2", "lat2").orderBy("lon1", "lat1", "h")
+    number = F.row_number().over(at_node)
+    partner = F.when(number % 2 == 1, F.lead("h").over(at_node)).otherwise(F.lag("h").over(at_node))
+    going = staged(halves.select("h", back(partner).alias("to")), "next-edges")
+    first = _run_to_end(going)
+    if not first.where(~F.col("ends")).isEmpty():  # rings are opened before their least edge
+        ring = first.where(~F.col("ends")).select("h", "least")
+        opened = going.join(ring, "h").select("h", F.when(F.col("to") != F.col("least"), F.col("to")).alias("to"))
+        first = first.where("ends").unionByName(_run_to_end(opened))
+    ranked = staged(halves.join(first.select("h", "end", "hops"), "h"), "ranked-edges")
+    # Every line is found both ways; that with the least half-edge is kept.
+    lines = ranked.groupBy("end").agg(F.max("hops").alias("longest"), F.min("h").alias("one"), F.min(back(F.col("h"))).alias("other")).where("one < other")
+    return ranked.join(lines, "end").select(*by, F.shiftright("one", 1).alias("line"), (F.col("longest") - F.col("hops")).alias("place"), "lon1", "lat1", "lon2", "lat2")
 
-def stitched(edges: DataFrame, by: str) -> DataFrame:
-    """(by, line_no, points): the edges of each shape walked into lines. One shape is one group: a country's outline, not data."""
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = [((r.lon1, r.lat1), (r.lon2, r.lat2)) for r in frame.sort_values(["lon1", "lat1", "lon2", "lat2"]).itertuples()]
-        rows = [(frame[by].iat[0], i, [{"lon": p[0], "lat": p[1]} for p in line]) for i, line in enumerate(_chained(pairs))]
-        return pd.DataFrame(rows, columns=[by, "line_no", "points"])
 
-    kind = dict(edges.dtypes)[by]
-    return edges.groupBy(by).applyInPandas(walk, f"{by} {kind}, line_no int, points array<struct<lon:double,lat:double>>")
+def stitched(edges: DataFrame, by: str) -> DataFrame:
+    """(by, line_no, points): the edges of each shape as lines, see lines_of_edges(); a line is a row."""
+    point = lambda i: F.struct(F.col(f"lon{i}").alias("lon"), F.col(f"lat{i}").alias("lat"))
+    rows = lines_of_edges(edges, [by]).groupBy(by, "line").agg(F.array_sort(F.collect_list(F.struct("place", point(1).alias("a"), point(2).alias("b")))).alias("own"))
+    points = F.concat(F.array(F.get("own", 0)["a"]), F.transform("own", lambda s: s["b"]))
+    return rows.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("line")) - 1).alias("line_no"), points.alias("points"))
 
 
 def weighted_centroid(points: DataFrame, by: list[str], weight: Column) -> DataFrame:

@@ -344,6 +344,20 @@ def boundary_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.outer_edges(edges, ["part"])
 
 
+@query("""WITH e AS (SELECT l_linenumber AS part, (l_partkey % 40)::DOUBLE AS lon1, (l_suppkey % 10)::DOUBLE AS lat1, (l_orderkey % 40)::DOUBLE AS lon2, (l_quantity::INTEGER % 10)::DOUBLE AS lat2 FROM lineitem),
+          k AS (SELECT part, least((lon1, lat1), (lon2, lat2)) AS a, greatest((lon1, lat1), (lon2, lat2)) AS b FROM e WHERE (lon1, lat1) <> (lon2, lat2)),
+          x AS (SELECT part, a, b FROM k GROUP BY ALL HAVING count(*) % 2 = 1),
+          n AS (SELECT part, p, count(*) AS degree FROM (SELECT part, a AS p FROM x UNION ALL SELECT part, b FROM x) GROUP BY ALL)
+          SELECT part, (SELECT count(*) FROM x WHERE x.part = n.part) AS edges, count(*) FILTER (degree % 2 = 1) // 2 AS open_lines, sum(degree // 2)::BIGINT AS joints FROM n GROUP BY part""")
+def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of boundary_xor in lines: all are there, lines end where an odd number of edges meet, and follow each other wherever two can."""
+    rows = geometry.lines_of_edges(boundary_xor(spark, sf_dir), ["part"])
+    ends = rows.groupBy("part", "line").agg(F.count("*").alias("n"), F.min_by(F.struct("lon1", "lat1"), "place").alias("a"), F.max_by(F.struct("lon2", "lat2"), "place").alias("b"))
+    # A line of n edges has n - 1 joints, a ring n.
+    closed = (F.col("a") == F.col("b")).cast("long")
+    return ends.groupBy("part").agg(F.sum("n").alias("edges"), F.sum(1 - closed).alias("open_lines"), F.sum(F.col("n") - 1 + closed).alias("joints"))
+
+
 LON, LAT = "({0} * 37 % 3600) / 10.0 - 180", "({0} * 53 % 1200) / 10.0 - 60"
 
 

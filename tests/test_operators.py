@@ -1,5 +1,6 @@
 """Order-dependent operators against sequential versions."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -138,6 +139,40 @@ def test_boundary_is_stitched_to_a_ring(spark):
     assert len(lines) == 1 and len(lines[0]["points"]) == 7 and lines[0]["points"][0] == lines[0]["points"][-1]
 
 
+def test_every_edge_is_in_one_line_at_its_place(spark):
+    rnd, edges = random.Random(5), []
+    for shape in range(6):
+        n = rnd.choice([1, 5, 30])
+        own = {tuple(sorted(((float(rnd.randrange(6)), float(rnd.randrange(6))), (float(rnd.randrange(6)), float(rnd.randrange(6)))))) for _ in range(n)}
+        edges += [(shape, *a, *b) for a, b in own if a != b]
+    edges += [(90, float(i), 0.0, float(i + 1), 0.0) for i in range(40)]  # a long line
+    edges += [(91, math.cos(i), math.sin(i), math.cos((i + 1) % 37), math.sin((i + 1) % 37)) for i in range(37)]  # a ring
+    rnd.shuffle(edges)
+    df = spark.createDataFrame(edges, "shape int, lon1 double, lat1 double, lon2 double, lat2 double")
+    rows = geometry.lines_of_edges(df, ["shape"]).collect()
+    key = lambda s, a, b, c, d: (s, *sorted(((a, b), (c, d))))
+    assert sorted(key(r["shape"], r["lon1"], r["lat1"], r["lon2"], r["lat2"]) for r in rows) == sorted(key(*e) for e in edges)
+    lines = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        lines.setdefault((r["shape"], r["line"]), []).append(r)
+    ends = {}
+    for own in lines.values():
+        assert [r["place"] for r in own] == list(range(len(own)))
+        assert all((x["lon2"], x["lat2"]) == (y["lon1"], y["lat1"]) for x, y in zip(own, own[1:], strict=False))
+        a, b = (own[0]["lon1"], own[0]["lat1"]), (own[-1]["lon2"], own[-1]["lat2"])
+        if a != b:
+            for p in (a, b):
+                ends[own[0]["shape"], p] = ends.get((own[0]["shape"], p), 0) + 1
+    degree = {}
+    for s, *e in edges:
+        for p in (tuple(e[:2]), tuple(e[2:])):
+            degree[s, p] = degree.get((s, p), 0) + 1
+    assert set(ends) == {k for k, n in degree.items() if n % 2} and set(ends.values()) == {1}
+    assert [len(v) for k, v in lines.items() if k[0] in (90, 91)] in ([40, 37], [37, 40])
+    assert geometry.stitched(df, "shape").where("shape = 90").first()["points"][0]["lon"] in (0.0, 40.0)
+    assert geometry.lines_of_edges(df.where("false"), ["shape"]).count() == 0
+
+
 def test_crossings(spark):
     rnd = random.Random(11)
     segs = [(line, s, *(rnd.uniform(0, 6) for _ in range(4))) for line in range(6) for s in range(3)]
@@ -267,8 +302,6 @@ def ringed(ring):
 
 
 def test_points_in_shapes_of_many_edges_with_holes_and_across_the_date_line(spark):
-    import math
-
     rnd = random.Random(9)
     star = [(30 + (8 + 3 * math.sin(9 * a) + rnd.random()) * math.cos(a), 50 + (5 + 2 * math.sin(9 * a)) * math.sin(a)) for a in (2 * math.pi * i / 4000 for i in range(4000))]
     star.append(star[0])
