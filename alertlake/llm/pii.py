@@ -9,8 +9,11 @@ different entities stay different. They come from ranges that nobody holds (card
 from 0, IPv4 from 240/4, IPv6 from 2001:db8::/32, area codes from 0 and 1, the .example
 domain, social security numbers from 9).
 
-Names are replaced word by word: "Mr. John Smith", "Mr Smith" and, in a text that names him
-so, "John Smith" or "Smith" stay one person, and so does the address john.smith@x.com.
+Names are found behind titles and introductions ("My name is ...", "signed: ..."), and beside an
+address that is made of them. They are replaced word by word: "Mr. John Smith", "Mr Smith" and,
+in a text that names him so, "John Smith" or "Smith" stay one person, and so does the address
+john.smith@x.com. What a form tells of its origin stays: an IBAN's country, a phone number's
+country code, a token's prefix, the words that make a street a street.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from alertlake.llm.shared import cut
 #: Where queries find the caller's key; without it they take a key that protects nobody.
 KEY_SETTING, DEMONSTRATION_KEY = "spark.alertlake.pii.key", "demonstration only"
 
-FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|Госпожа"
-MALE = r"Mr|Herr|Monsieur|Señor|Signor|Господин"
+FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|[Гг]оспожа|[Гг]-жа"
+MALE = r"Mr|Herr|Monsieur|Señor|Signor|[Гг]осподин|[Гг]-н"
 NEUTRAL = r"Dr|Prof|Professor"
 TITLES = rf"{FEMALE}|{MALE}|{NEUTRAL}"
+#: What a person's name follows.
+INTRO = r"[Mm]y name is|[Nn]ame:|[Ss]igned(?: by|:)|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут"
 EMAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++"
 HEXTETS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
 IPV6 = rf"(?<![:.])(?:{HEXTETS}{{7}}|(?:{HEXTETS}{{0,5}})?::(?:{HEXTETS}{{0,5}})?)(?![\p{{L}}\p{{N}}:])"
@@ -61,12 +66,23 @@ STREET = (
     rf"|\d{{1,4}},? (?:rue|avenue|boulevard|place|allée) (?:(?:de|du|des|la|le) ){{0,3}}{CAPITAL}|(?:Calle|Avenida|Plaza) (?:(?:de|del|la) ){{0,2}}{CAPITAL},? \d{{1,4}}(?!\d)"
     r"|\p{Lu}\p{Ll}{1,30}?(?:straße|strasse|gasse|allee|platz|weg) \d{1,4}[a-z]?(?![\p{L}\p{N}])"
 )
-NAME = rf"(?:{TITLES})\.? {CAPITAL}(?: {CAPITAL})?"
+NAME_WORD = rf"(?!(?:{TITLES})(?!\p{{L}})){CAPITAL}(?![\p{{L}}\p{{N}}])"
+NAME = rf"(?:(?:{TITLES})\.? {NAME_WORD}(?: {NAME_WORD})?|(?:{INTRO}) {NAME_WORD}(?: {NAME_WORD}){{0,2}})"
+MAC = r"(?<![:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])"
+#: Entities that are told by what stands before them, which stays.
+PREFIXED = {
+    "pem": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s{1,2}", r"[A-Za-z0-9+/=\s]{20,8000}(?=-----END)"),
+    "bearer": (r"[Bb]earer ", r"[A-Za-z0-9._~+/-]{16,512}+=*"),
+    "date": (r"(?:[Bb]orn(?: on)?|[Dd]ate of birth|DOB|[Gg]eboren am|[Nn]ée? le|[Nn]acid[oa] el):? ", r"(?:\d{4}[./-]\d{1,2}[./-]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?!\d)"),
+    "document": (r"(?:[Pp]assport|[Aa]usweis|[Pp]asseport|[Pp]asaporte|ID card)(?:,? (?:[Nn]o|number|[Nn]r|n°|numéro|número|[Nn]ummer))?[.:]? (?:is )?", r"(?=[A-Z]{0,3}\d)[A-Z0-9]{6,12}(?![\p{L}\p{N}])"),
+}
+#: Country codes of phone numbers of one and two digits; all others have three.
+COUNTRY_CODE = r"^[+](?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: No entity starts inside a word; a place that fails this test is tried with no pattern.
 START = r"(?<![\p{L}\p{N}])"
-ANY = f"{START}(?:" + "|".join((EMAIL, IPV6, IP, PHONE, CARD, SSN, IBAN, ACCESS_KEY, TOKEN, HEX_SECRET, PASSWORD, STREET, NAME)) + ")"
+ANY = f"{START}(?:" + "|".join((*(a + b for a, b in PREFIXED.values()), EMAIL, MAC, IPV6, IP, PHONE, CARD, SSN, IBAN, ACCESS_KEY, TOKEN, HEX_SECRET, PASSWORD, STREET, NAME)) + ")"
 #: What every text with an entity has: a cheap test before the full pattern.
-GATE = rf"[0-9@]|::|AKIA|[a-f]{{40}}|(?i:passw|passphrase|pwd|secret|token|api[_-]?key)|{TOKEN_PREFIX}|(?:{TITLES})\.? "
+GATE = rf"[0-9@]|::|AKIA|[a-f]{{40}}|PRIVATE KEY|[Bb]earer |(?:[A-Fa-f]{{2}}[:-]){{5}}|(?:{INTRO}) |(?i:passw|passphrase|pwd|secret|token|api[_-]?key)|{TOKEN_PREFIX}|(?:{TITLES})\.? "
 NAMES = ("female", "male", "name")
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуы", "greek": "αεηιου"}
 CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxz", "cyrillic": "бвгджзклмнпрстфхчш", "greek": "βγδζθκλμνξπρστφχ"}
@@ -75,7 +91,7 @@ CROWDED = 6
 
 
 def _type(m: str) -> str:
-    of = {"email": EMAIL, "access_key": ACCESS_KEY, "token": TOKEN, "hex": HEX_SECRET, "ip": IP, "ipv6": IPV6, "card": CARD, "ssn": SSN, "phone": PHONE, "iban": IBAN, "street": STREET}
+    of = {**{t: a + b.removesuffix("(?=-----END)") for t, (a, b) in PREFIXED.items()}, "mac": MAC, "email": EMAIL, "access_key": ACCESS_KEY, "token": TOKEN, "hex": HEX_SECRET, "ip": IP, "ipv6": IPV6, "card": CARD, "ssn": SSN, "phone": PHONE, "iban": IBAN, "street": STREET}
     return f"CASE WHEN {m} rlike '^{_q(NAME)}$' THEN 'name' " + " ".join(f"WHEN {m} rlike '^(?:{_q(p)})$' THEN '{t}'" for t, p in of.items()) + " ELSE 'password' END"
 
 
@@ -96,7 +112,8 @@ def _luhn_sum(digits: str) -> str:
 
 def _canonical() -> str:
     """What the forms of one entity share; a name's words are entities of their own."""
-    return f"""CASE type WHEN 'email' THEN lower(mention) WHEN 'phone' THEN right({_digits("mention")}, 10)
+    return f"""CASE type WHEN 'email' THEN lower(mention) WHEN 'phone' THEN right({_digits(f"regexp_replace(mention, '{_q(COUNTRY_CODE)}', '')")}, 10) WHEN 'mac' THEN lower(replace(mention, '-', ':'))
+        {" ".join(f"WHEN '{t}' THEN regexp_replace(mention, '^(?:{_q(a)})', '')" for t, (a, _) in PREFIXED.items())}
         WHEN 'card' THEN {_digits("mention")} WHEN 'ssn' THEN {_digits("mention")} WHEN 'iban' THEN replace(mention, ' ', '')
         WHEN 'ipv6' THEN lower(mention) WHEN 'street' THEN lower(mention) ELSE mention END"""
 
@@ -149,7 +166,10 @@ def _surrogate() -> str:
     # A street's own words stay, what lies between them is drawn.
     kept = _q(rf"(?i)(?<!\p{{L}})(?:{STREET_WORDS})(?!\p{{L}})|(?:straße|strasse|gasse|allee|platz|weg)(?= )")
     street = f"array_join(transform(split(canonical, '{kept}', -1), (part, k) -> concat({_like('part')}, coalesce(get(regexp_extract_all(canonical, '{kept}', 0), k), ''))), '')"
-    return f"""CASE type WHEN 'email' THEN concat({local}, {more}, '@', {domain}, '.example')
+    part = f"IF(length(p) = 4, cast(1900 + {_random('k + 1')} % 100 AS string), lpad(cast(1 + {_random('k + 1')} % IF(length(p) = 1, 9, 12) AS string), length(p), '0'))"
+    date = f"array_join(transform(split(canonical, '[./-]'), (p, k) -> {part}), regexp_extract(canonical, '[./-]', 0))"
+    return f"""CASE type WHEN 'date' THEN concat({date}, {_tail()}) WHEN 'mac' THEN concat_ws(':', '02', {", ".join(f"substring(stream, {2 * i + 1}, 2)" for i in range(5))})
+        WHEN 'email' THEN concat({local}, {more}, '@', {domain}, '.example')
         WHEN 'ip' THEN concat_ws('.', 240 + {_random('1')} % 16, {_random('2')}, {_random('3')}, {_random('4')}) || {_tail()}
         WHEN 'ipv6' THEN concat_ws(':', '2001:db8', {", ".join(hextet(i) for i in range(6))})
         WHEN 'phone' THEN concat(cast({_random('1')} % 2 AS string), substring({some(11, "''")}, 1, length(canonical) - 1), {_tail()})
@@ -177,6 +197,8 @@ def _written() -> str:
     filled = f"array_join(transform(sequence(1, length(mention)), i -> IF({c} rlike '[0-9]' AND {k} > {n} - length({drawn}), substring({drawn}, {k} - {n} + length({drawn}), 1), {c})), '')"
     spaced = "trim(regexp_replace(surrogate, '(.{4})', '$1 '))"
     return f"""CASE WHEN type IN ('phone', 'card', 'ssn') THEN concat({filled}, regexp_extract(surrogate, '[a-z]*$', 0))
+        {" ".join(f"WHEN type = '{t}' THEN concat(regexp_extract(mention, '^(?:{_q(a)})', 0), surrogate)" for t, (a, _) in PREFIXED.items())}
+        WHEN type = 'mac' THEN IF(mention = upper(mention), upper(IF(contains(mention, '-'), replace(surrogate, ':', '-'), surrogate)), IF(contains(mention, '-'), replace(surrogate, ':', '-'), surrogate))
         WHEN type = 'iban' THEN IF(contains(mention, ' '), {spaced}, surrogate)
         WHEN type = 'street' THEN array_join(transform(split(surrogate, ' '), (w, i) -> IF(get(split(mention, ' '), i) rlike '^\\\\p{{Lu}}', initcap(w), w)), ' ')
         WHEN type IN ('email', 'ipv6') AND mention = upper(mention) AND mention <> lower(mention) THEN upper(surrogate)
@@ -220,8 +242,8 @@ def surrogates(entities: DataFrame, key: str | bytes) -> DataFrame:
 
 
 def names_of(mentions: DataFrame) -> DataFrame:
-    """(mention, title, pos, word, type) of the words of titled names: a given name takes the title's gender, a last name only in scripts where it shows."""
-    parts = mentions.select("mention", F.regexp_extract("mention", rf"^((?:{TITLES})\.? )", 1).alias("title"))
+    """(mention, title, pos, word, type) of the words of names behind titles or introductions: a given name takes the title's gender, a last name only in scripts where it shows."""
+    parts = mentions.select("mention", F.regexp_extract("mention", rf"^((?:{TITLES})\.? |(?:{INTRO}) )", 1).alias("title"))
     parts = parts.withColumn("words", F.split(F.expr("substring(mention, length(title) + 1)"), " "))
     gender = F.when(F.col("title").rlike(rf"^(?:{FEMALE})\b"), "female").when(F.col("title").rlike(rf"^(?:{MALE})\b"), "male").otherwise("name")
     each = parts.select("mention", "title", F.size("words").alias("n"), gender.alias("gender"), F.posexplode("words").alias("pos", "word"))
@@ -240,7 +262,11 @@ def replacements(mentions: DataFrame, key: str | bytes) -> DataFrame:
     forms = cut(forms, "forms")
     words = cut(names_of(forms.where("type = 'name'")), "names")
     no_hint = F.lit(None).cast("string").alias("hint")
-    named = cut(surrogates(words.select("type", "canonical", no_hint).distinct(), key), "name-surrogates")
+    # An address of two words is taken to be made of a name.
+    persons = forms.where("type = 'email'").where(F.col("canonical").rlike(r"^\p{L}{2,40}[._]\p{L}{2,40}@")).select("mention", F.posexplode(F.split(F.substring_index("canonical", "@", 1), "[._]")).alias("pos", "part"))
+    persons = cut(persons, "names-in-addresses")
+    asked = words.select("type", "canonical").union(persons.select(F.lit("name"), "part")).distinct()
+    named = cut(surrogates(asked.select("type", "canonical", no_hint), key), "name-surrogates")
     # An address made of words of names is made of their surrogates.
     mails = forms.where("type = 'email'").select("canonical").distinct().withColumn("part", F.explode(F.expr(known_parts("canonical"))))
     word = named.groupBy(F.col("canonical").alias("part")).agg(F.min(F.struct(F.col("type") == "name", "surrogate"))["surrogate"].alias("surrogate"))
@@ -252,12 +278,15 @@ def replacements(mentions: DataFrame, key: str | bytes) -> DataFrame:
     asked = other.select("type", "canonical").distinct().join(hints.withColumn("type", F.lit("email")), ["type", "canonical"], "left")
     given = surrogates(asked, key)
     plain = other.join(given, ["type", "canonical"]).select("mention", F.col("mention").alias("alias"), F.expr(_written()).alias("written"))
+    beside = persons.join(word, "part").groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("pos", F.initcap("part").alias("old"), F.initcap("surrogate").alias("new")))).alias("w"))
+    joined = lambda c: F.array_join(F.transform("w", lambda w: w[c]), " ")
+    plain = plain.union(beside.select("mention", joined("old").alias("alias"), joined("new").alias("written")))
     drawn = words.join(named, ["type", "canonical"]).withColumn("drawn", F.expr(_cased("word", "surrogate")))
-    persons = drawn.groupBy("mention", "title").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "drawn"))).alias("w"))
-    persons = persons.withColumns({"name": F.array_join(F.transform("w", lambda w: w["word"]), " "), "new": F.array_join(F.transform("w", lambda w: w["drawn"]), " ")})
+    people = drawn.groupBy("mention", "title").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "drawn"))).alias("w"))
+    people = people.withColumns({"name": F.array_join(F.transform("w", lambda w: w["word"]), " "), "new": F.array_join(F.transform("w", lambda w: w["drawn"]), " ")})
     alias = lambda a, b: F.array(F.struct(a.alias("alias"), b.alias("written")))
     aliases = F.concat(alias(F.col("mention"), F.concat("title", "new")), alias(F.col("name"), F.col("new")), F.transform("w", lambda w: F.struct(w["word"].alias("alias"), w["drawn"].alias("written"))))
-    return plain.union(persons.select("mention", F.explode(aliases).alias("a")).select("mention", "a.alias", "a.written"))
+    return plain.union(people.select("mention", F.explode(aliases).alias("a")).select("mention", "a.alias", "a.written"))
 
 
 def key_of(spark: SparkSession) -> str:
@@ -273,7 +302,8 @@ def pseudonymise(docs: DataFrame, key: str | bytes) -> DataFrame:
     whole; rows that repeat are replaced alike; other columns pass as they are, whatever
     their names (one named n_entities is replaced). An empty table gives none. Matches that
     fail their type's test (a card number's check digit, an octet over 255) stay. A name
-    without a title is replaced where its text has it with one.
+    that neither a title nor an introduction tells is replaced where its text has it with
+    one, or has an address made of it.
     """
     # The costly pattern runs over every text once; the rows are written with what it found.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
