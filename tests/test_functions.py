@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from alertlake.functions import geo, text, times
-from alertlake.functions.inflection import alias_forms, head_forms
+from alertlake.functions.inflection import alias_forms_of, head_forms_of
 
 
 def one(spark, column, **values):
@@ -88,12 +88,16 @@ def test_bearings_and_corridor(spark):
     assert abs(c["progress_km"] - c["length_km"] / 2) < 1e-9 and abs(c["cross_km"] - 0.5 * geo.KM_LAT) < 1e-9
 
 
-def test_inflection():
-    assert {"Клинцовский район", "Клинцовском районе", "Клинцовского района"} <= set(alias_forms("Клинцовский район"))
-    assert {"Самара", "Самаре", "Самары", "Самару", "Самарой"} == set(alias_forms("Самара"))
-    assert alias_forms("Сочи") == ["Сочи"] and alias_forms("Иваново") == ["Иваново"] and alias_forms(None) == []
-    assert "Лискинского" in head_forms("Лискинский район") and head_forms("Самара") == []
-    assert {"Стародубского муниципального", "Стародубском"} <= set(head_forms("Стародубский муниципальный округ"))
+def test_inflection(spark):
+    names = ["Клинцовский район", "Самара", "Сочи", "Иваново", "Лискинский район", "Стародубский муниципальный округ", "Тверь", "Уфа", "Псков", "Ox", "", None, " Нижняя  Салда ", "Ленинский"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", "n", alias_forms_of()(F.array("n")).alias("forms"), head_forms_of()(F.array("n")).alias("heads"), head_forms_of(("область",))(F.lit(["Самарская область"])).alias("region")).collect()
+    forms, heads = {r["n"]: r["forms"] for r in rows}, {r["n"]: r["heads"] for r in rows}
+    assert forms["Клинцовский район"][:1] == ["Клинцовский район"] and {"Клинцовском районе", "Клинцовского района", "Клинцовскому району", "Клинцовским районом"} <= set(forms["Клинцовский район"])
+    assert set(forms["Самара"]) == {"Самара", "Самаре", "Самары", "Самару", "Самарой"} and set(forms["Тверь"]) == {"Тверь", "Твери", "Тверью"} and set(forms["Псков"]) == {"Псков", "Пскове", "Пскова", "Пскову", "Псковом"}
+    assert forms["Сочи"] == ["Сочи"] and forms["Иваново"] == ["Иваново"] and forms["Ox"] == ["Ox"] and forms["Уфа"] == ["Уфа"] and forms[None] == [] == forms[""]
+    assert "Лискинского" in heads["Лискинский район"] and heads["Самара"] == [] == heads[None]
+    assert {"Стародубского муниципального", "Стародубском"} <= set(heads["Стародубский муниципальный округ"])
+    assert rows[0]["region"] == ["Самарская", "Самарской"]
 
 
 def test_strip_html(spark):
