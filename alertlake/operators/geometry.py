@@ -59,8 +59,8 @@ def edges_in_bands(shapes: DataFrame) -> DataFrame:
     return out.withColumn("band", F.explode(F.sequence(_band(F.least("y1", "y2"), F.col("level")), _band(F.greatest("y1", "y2"), F.col("level")))))
 
 
-def locate(points: DataFrame, shapes: DataFrame, cell_deg: float = 1.0) -> DataFrame:
-    """points (lon, lat, ...) joined to the first shape (rank, region, polygon) that holds each; none: null region.
+def holders(points: DataFrame, shapes: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+    """(lon, lat, shape, rank, region) for each different place of points (lon, lat, ...) and each shape (rank, region, polygon) that holds it.
 
     Points meet the bounds of shapes by an equi-join on grid cells, and a shape whose bounds
     hold a point meets it by those edges only that lie in the point's band of latitude: a ray
@@ -85,11 +85,93 @@ def locate(points: DataFrame, shapes: DataFrame, cell_deg: float = 1.0) -> DataF
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     right = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     crossed = asked.join(edges.select("shape", "level", "band", "x1", "y1", "x2", "y2"), ["shape", "level", "band"]).where(spans & right)
-    inside = crossed.groupBy("lon", "lat", "shape").agg(F.count("*").alias("n"), F.first("rank").alias("rank"), F.first("region").alias("region")).where("n % 2 = 1")
-    of = inside.groupBy("lon", "lat").agg(F.min_by("region", F.struct("rank", "shape")).alias("region"))
+    return crossed.groupBy("lon", "lat", "shape").agg(F.count("*").alias("n"), F.first("rank").alias("rank"), F.first("region").alias("region")).where("n % 2 = 1").drop("n")
+
+
+def locate(points: DataFrame, shapes: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+    """points (lon, lat, ...) joined to the first shape (rank, region, polygon) that holds each; none: null region."""
+    of = holders(points, shapes, cell_deg).groupBy("lon", "lat").agg(F.min_by("region", F.struct("rank", "shape")).alias("region"))
     return points.join(of, ["lon", "lat"], "left")
 
 
+def _cells(rows: DataFrame, p: str, level: Column) -> DataFrame:
+    """rows (<p>x1, <p>y1, <p>x2, <p>y2) in the cells of `level` that their bounds touch, and the first of these cells."""
+    rows = rows.withColumn("level", level)
+    ends = {f"{p}{side}{c}": _band(f(f"{p}{c}1", f"{p}{c}2"), F.col("level")) for c in "xy" for side, f in (("lo", F.least), ("hi", F.greatest))}
+    rows = rows.withColumns(ends)
+    for c in "xy":
+        rows = rows.withColumn(f"c{c}", F.explode(F.sequence(f"{p}lo{c}", f"{p}hi{c}"))).drop(f"{p}hi{c}")
+    return rows
+
+
+def _level(p: str) -> Column:
+    """The least level whose cells are as large as a segment, so it lies in four at most."""
+    size = F.greatest(F.lit(FINEST_DEG), F.abs(F.col(f"{p}x1") - F.col(f"{p}x2")), F.abs(F.col(f"{p}y1") - F.col(f"{p}y2")))
+    return F.least(F.lit(BAND_LEVELS - 1), F.ceil(F.log2(size / FINEST_DEG))).cast("int")
+
+
+def cut_at_edges(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The pieces of straight lines (line_id, lon1, lat1, lon2, lat2) inside and outside of each region (rank, region, polygon) that they meet.
+
+    One row per piece: line_id, region, piece (from 1), since and until (shares of the line, the
+    first from 0 and the last to 1) and inside. A line that no part of a region holds or
+    crosses has no row for it; where an edge is only touched nothing is cut. Cuts within a
+    billionth of the line are one. A line with a null is left out; line_id tells lines apart.
+    Lines don't go across the date line.
+
+    A line meets an edge in the cells of the larger one's size, at the first cell that they
+    share. So long lines don't spread over small cells, nor long edges; nothing is compared
+    with all. Which pieces are inside is asked of their middles.
+    """
+    ways = lines.select("line_id", *(F.col(a).cast("double").alias(b) for a, b in (("lon1", "l_x1"), ("lat1", "l_y1"), ("lon2", "l_x2"), ("lat2", "l_y2")))).dropna()
+    ways = staged(ways.withColumn("l_level", _level("l_")), "ways")
+    point = lambda i: F.get("ring", F.col("i") + i)
+    rings = shapes.select("region", F.explode("polygon").alias("ring")).where(F.size("ring") > 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("ring") - 2)))
+    edges = rings.select("region", *(point(i)[a].alias(f"e_{b}{i + 1}") for i in (0, 1) for a, b in (("lon", "x"), ("lat", "y"))))
+    edges = staged(edges.withColumn("e_level", _level("e_")), "edges")
+    levels = lambda df, c: F.array(*(F.lit(r[0]) for r in df.select(c).distinct().collect())).cast("array<int>")  # noqa: E731  # BAND_LEVELS numbers at most
+    lifted_edges = edges.withColumn("at", F.explode(F.filter(levels(ways, "l_level"), lambda v: v >= F.col("e_level"))))
+    lifted_ways = ways.withColumn("at", F.explode(F.filter(levels(edges, "e_level"), lambda v: v > F.col("l_level"))))
+    on = ["level", "cx", "cy"]
+    met = _cells(ways, "l_", F.col("l_level")).join(_cells(lifted_edges, "e_", F.col("at")).drop("at"), on)
+    met = met.unionByName(_cells(lifted_ways, "l_", F.col("at")).drop("at").join(_cells(edges, "e_", F.col("e_level")), on))
+    met = met.where((F.col("cx") == F.greatest("l_lox", "e_lox")) & (F.col("cy") == F.greatest("l_loy", "e_loy")))
+    dx, dy, ex, ey = (F.col(f"{p}{c}2") - F.col(f"{p}{c}1") for p in ("l_", "e_") for c in "xy")
+    side = lambda i: dx * (F.col(f"e_y{i}") - F.col("l_y1")) - dy * (F.col(f"e_x{i}") - F.col("l_x1"))
+    share = F.try_divide((F.col("e_x1") - F.col("l_x1")) * ey - (F.col("e_y1") - F.col("l_y1")) * ex, dx * ey - dy * ex)
+    cuts = met.where((side(1) > 0) != (side(2) > 0)).select("line_id", "region", F.round(share, 9).alias("until")).where("until > 0 and until < 1").distinct()
+    cuts = staged(cuts, "cuts")
+    pairs = cuts.select("line_id", "region").distinct()
+    ends = cuts.unionByName(pairs.withColumn("until", F.lit(1.0)))
+    pieces = ends.withColumn("since", F.coalesce(F.lag("until").over(Window.partitionBy("line_id", "region").orderBy("until")), F.lit(0.0)))
+    middle = (F.col("since") + F.col("until")) / 2
+    at = {"lon": F.col("l_x1") + dx * middle, "lat": F.col("l_y1") + dy * middle}
+    pieces = staged(pieces.join(ways, "line_id").withColumns(at).select("line_id", "region", "since", "until", "lon", "lat"), "pieces")
+    whole = staged(ways.withColumns({"since": F.lit(0.0), "until": F.lit(1.0)}).withColumns(at).select("line_id", "since", "until", "lon", "lat"), "whole-ways")
+    held = staged(holders(pieces.select("lon", "lat").union(whole.select("lon", "lat")), shapes).select("lon", "lat", "region", F.lit(True).alias("inside")).distinct(), "held-middles")
+    told = pieces.join(held, ["lon", "lat", "region"], "left").select("line_id", "region", "since", "until", F.coalesce("inside", F.lit(False)).alias("inside"))
+    uncut = whole.join(held, ["lon", "lat"]).join(pairs, ["line_id", "region"], "left_anti").select("line_id", "region", "since", "until", "inside")
+    # Neighbours on the same side are one piece: their edge was touched.
+    within = Window.partitionBy("line_id", "region").orderBy("until")
+    turned = told.withColumn("turn", (F.col("inside") != F.coalesce(F.lag("inside").over(within), ~F.col("inside"))).cast("int"))
+    numbered = turned.withColumn("piece", F.sum("turn").over(within).cast("int"))
+    merged = numbered.groupBy("line_id", "region", "piece").agg(F.min("since").alias("since"), F.max("until").alias("until"), F.first("inside").alias("inside"))
+    return merged.where("inside or piece > 1 or until < 1").unionByName(uncut.withColumn("piece", F.lit(1)).select(*merged.columns))
+
+
+def first_entries(lines: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(line_id, share, lon, lat): where each line first comes into the land that all regions of its pieces make, from outside of it.
+
+    lines and pieces as for and from cut_at_edges(). A line that begins in the land and never
+    comes back into it enters at its start; one that is never in it has no row.
+    """
+    within = Window.partitionBy("line_id").orderBy("since", "until")
+    inside = pieces.where("inside").withColumn("reach", F.max("until").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = inside.where("reach is null or since > reach").groupBy("line_id").agg(F.coalesce(F.min(F.when(F.col("since") > 0, F.col("since"))), F.lit(0.0)).alias("share"))
+    at = lambda a, b: (F.col(a) + (F.col(b) - F.col(a)) * F.col("share"))
+    return begins.join(lines, "line_id").select("line_id", "share", at("lon1", "lon2").alias("lon"), at("lat1", "lat2").alias("lat"))
+
+
 def outer_edges(edges: DataFrame, by: list[str], digits: int = 5) -> DataFrame:
     """Edges (by..., lon1, lat1, lon2, lat2) that occur an odd number of times, whichever way round: the outer boundary.
 

@@ -19,7 +19,7 @@ LINE_SQL = f"""p AS (SELECT l_orderkey AS route, l_linenumber AS seq, ({LON.form
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth order as a route of items: orders stand for routes, of which an archive has fewer than of anything else."""
+    """Every order as a route of items."""
     p = points(spark, sf_dir, "lineitem", "l_partkey")
     return p.select(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("seq"), (F.col("lon") / 8).alias("lon"), (F.col("lat") / 8).alias("lat"))
 
@@ -176,3 +176,45 @@ def busy_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = hours.select(F.col("user_id").alias("of"), "start", (F.col("start") + F.expr("INTERVAL 3599.999999 SECONDS")).alias("end"))
     met = intervals.stab(spans, events.withColumnRenamed("ts", "at")).where("of = user_id")
     return met.select("user_id", "event_id", F.col("at").alias("ts"), F.date_format("at", "yyyy-MM-dd'T'HH").alias("hour"))
+
+
+WAY_SQL = f"""l AS (SELECT o_orderkey, ({LON.format('o_custkey')})::DOUBLE + 0.05 AS x1, ({LAT.format('o_custkey')})::DOUBLE + 0.05 AS y1, (o_orderkey * 7 % 300 - 150)::DOUBLE / 10 + 0.013 AS dx, (o_orderkey * 11 % 200 - 100)::DOUBLE / 10 + 0.017 AS dy FROM orders),
+          e AS (SELECT n_nationkey AS region, n_nationkey * 14.0::DOUBLE + ax AS ax, ay, n_nationkey * 14.0::DOUBLE + bx AS bx, b_y FROM nation, (VALUES (-178, -50, -166, -50), (-166, -50, -166, 50), (-166, 50, -178, 50), (-178, 50, -178, -50),
+             (-174, -5, -170, -5), (-170, -5, -170, 5), (-170, 5, -174, 5), (-174, 5, -174, -5)) AS v(ax, ay, bx, b_y)),
+          c AS (SELECT DISTINCT o_orderkey, region, round(((ax - x1) * (b_y - ay) - (ay - y1) * (bx - ax)) / nullif(dx * (b_y - ay) - dy * (bx - ax), 0), 9) AS till FROM l, e
+                WHERE (dx * (ay - y1) - dy * (ax - x1) > 0) <> (dx * (b_y - y1) - dy * (bx - x1) > 0)),
+          t AS (SELECT o_orderkey, n_nationkey AS region, 1.0::DOUBLE AS till FROM l, nation UNION SELECT * FROM c WHERE till > 0 AND till < 1),
+          s AS (SELECT *, coalesce(lag(till) OVER (PARTITION BY o_orderkey, region ORDER BY till), 0) AS since FROM t),
+          m AS (SELECT *, x1 + dx * (since + till) / 2 - region * 14.0 AS x, y1 + dy * (since + till) / 2 AS y FROM s JOIN l USING (o_orderkey)),
+          i AS (SELECT *, x > -178 AND x < -166 AND y > -50 AND y < 50 AND NOT (x > -174 AND x < -170 AND y > -5 AND y < 5) AS inside FROM m),
+          w AS (SELECT *, (inside <> coalesce(lag(inside) OVER (PARTITION BY o_orderkey, region ORDER BY till), NOT inside))::INTEGER AS turn FROM i),
+          p AS (SELECT *, sum(turn) OVER (PARTITION BY o_orderkey, region ORDER BY till)::INTEGER AS piece FROM w),
+          g AS (SELECT o_orderkey, region, piece, min(since) AS since, max(till) AS till, bool_or(inside) AS inside FROM p GROUP BY ALL),
+          k AS (SELECT * FROM g WHERE inside OR piece > 1 OR till < 1)"""
+
+
+def ways(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A straight way for each order, and a rectangle with a hole for each nation."""
+    corner = lambda dx, y: f"named_struct('lon', n_nationkey * 14.0D - {dx}, 'lat', {y}D)"
+    ring = lambda w, e, y: f"array({corner(w, -y)}, {corner(e, -y)}, {corner(e, y)}, {corner(w, y)}, {corner(w, -y)})"
+    shapes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rank"), F.col("n_nationkey").alias("region"), F.expr(f"array({ring(178, 166, 50.0)}, {ring(174, 170, 5.0)})").alias("polygon"))
+    key = F.col("o_orderkey")
+    p = points(spark, sf_dir, "orders", "o_custkey").select(key.alias("line_id"), (F.col("lon") + 0.05).alias("lon1"), (F.col("lat") + 0.05).alias("lat1"), ((key * 7 % 300 - 150) / 10 + 0.013).alias("dx"), ((key * 11 % 200 - 100) / 10 + 0.017).alias("dy"))
+    return p.select("line_id", "lon1", "lat1", (F.col("lon1") + F.col("dx")).alias("lon2"), (F.col("lat1") + F.col("dy")).alias("lat2")), shapes
+
+
+@query(f"WITH {WAY_SQL} SELECT o_orderkey, region, piece, round(since, 6) AS since, round(till, 6) AS until, round(till - since, 6) AS share, inside FROM k")
+def boundary_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways cut where they go into a nation's shape and out of it: the shares of each way and nation sum to one."""
+    found = geometry.cut_at_edges(*ways(spark, sf_dir))
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return found.select(F.col("line_id").alias("o_orderkey"), "region", "piece", r("since", "since"), r("until", "until"), r(F.col("until") - F.col("since"), "share"), "inside")
+
+
+@query(f"""WITH {WAY_SQL}, f AS (SELECT o_orderkey, coalesce(min(since) FILTER (since > 0), 0) AS share FROM k WHERE inside GROUP BY o_orderkey)
+          SELECT o_orderkey, round(share, 6) AS share, round(x1 + dx * share, 6) AS lon, round(y1 + dy * share, 6) AS lat FROM f JOIN l USING (o_orderkey)""")
+def boundary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each way first comes into any nation's shape (shapes lie apart, so the SQL needs no union of them)."""
+    lines, shapes = ways(spark, sf_dir)
+    found = geometry.first_entries(lines, geometry.cut_at_edges(lines, shapes))
+    return found.select(F.col("line_id").alias("o_orderkey"), *(F.round(c, 6).alias(c) for c in ("share", "lon", "lat")))

@@ -321,3 +321,47 @@ def test_points_in_shapes_of_many_edges_with_holes_and_across_the_date_line(spar
     got = {r["i"]: r["region"] for r in geometry.locate(rows, df).collect()}
     assert got == {i: first(x, y) for i, (x, y) in enumerate(points)} | {999: None}
     assert set(got.values()) == {"across", "star", "square", None}
+
+
+def test_lines_are_cut_at_the_edges_of_shapes(spark):
+    rnd = random.Random(4)
+    star = [(30 + (8 + 3 * math.sin(9 * a)) * math.cos(a), 50 + (5 + 2 * math.sin(9 * a)) * math.sin(a)) for a in (2 * math.pi * i / 300 for i in range(300))]
+    star.append(star[0])
+    hole = [(29.0, 49.0), (31.0, 49.0), (31.0, 51.0), (29.0, 51.0), (29.0, 49.0)]
+    square = [(20.0, 45.0), (32.0, 45.0), (32.0, 55.0), (20.0, 55.0), (20.0, 45.0)]
+    shapes = {"star": [star, hole], "square": [square]}
+    df = spark.createDataFrame([(i, n, [ringed(x) for x in p]) for i, (n, p) in enumerate(shapes.items())], f"rank int, region string, polygon {geometry.POLYGON}")
+    ways = [tuple(rnd.uniform(*b) for b in ((15, 45), (40, 60)) * 2) for _ in range(60)] + [(x, y, x + rnd.uniform(-0.2, 0.2), y + 0.1) for x, y in star[:60]]
+    # Along an edge, through a corner, touching a corner, of no length, far away, right through both.
+    ways += [(19.0, 45.0, 33.0, 45.0), (19.0, 44.0, 22.0, 47.0), (19.0, 46.0, 21.0, 44.0), (25.0, 50.0, 25.0, 50.0), (-70.0, 0.0, -69.0, 1.0), (10.0, 50.5, 50.0, 50.6)]
+    schema = "line_id int, lon1 double, lat1 double, lon2 double, lat2 double"
+    lines = spark.createDataFrame([(i, *w) for i, w in enumerate(ways)] + [(999, None, 1.0, 2.0, 2.0)], schema)
+    found = geometry.cut_at_edges(lines, df).cache()
+    pieces = {}
+    for r in found.orderBy("line_id", "region", "piece").collect():
+        pieces.setdefault((r["line_id"], r["region"]), []).append(r)
+    for rows in pieces.values():
+        assert [r["piece"] for r in rows] == list(range(1, len(rows) + 1)) and rows[0]["since"] == 0 and rows[-1]["until"] == 1
+        assert all(a["until"] == b["since"] and a["inside"] != b["inside"] for a, b in zip(rows, rows[1:], strict=False))
+    along = lambda w, t: (w[0] + (w[2] - w[0]) * t, w[1] + (w[3] - w[1]) * t)
+    land = {}
+    for i, w in enumerate(ways):
+        if i == 120:
+            continue  # along an edge: on neither side
+        for k in range(200):
+            t = (k + rnd.random()) / 200
+            for name, rings in shapes.items():
+                rows = pieces.get((i, name), [])
+                if all(abs(t - r["until"]) > 1e-6 for r in rows):
+                    of = [r["inside"] for r in rows if r["since"] < t < r["until"]]
+                    assert (of == [True]) == inside(rings, *along(w, t)), (i, name, t)
+                    land.setdefault(i, []).append((t, of == [True]))
+    assert (122, "square") not in pieces and (124, "square") not in pieces and max(len(v) for v in pieces.values()) >= 5
+    entries = {r["line_id"]: r for r in geometry.first_entries(lines, found).collect()}
+    assert set(entries) - {120} == {i for i, _ in pieces if any(r["inside"] for n in shapes for r in pieces.get((i, n), []))} - {120}
+    for i, r in entries.items():
+        assert (r["lon"], r["lat"]) == pytest.approx(along(ways[i], r["share"]))
+        in_land = lambda t: any(inside(p, *along(ways[i], t)) for p in shapes.values())  # noqa: B023, E731
+        if i != 120 and r["share"] > 0:
+            assert in_land(r["share"] + 2e-9) and not in_land(r["share"] - 2e-9)
+    assert geometry.cut_at_edges(lines.limit(0), df).isEmpty() and geometry.cut_at_edges(lines, df.limit(0)).isEmpty()
