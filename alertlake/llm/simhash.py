@@ -6,11 +6,13 @@ third of the bits: two words within 4 bits of each other differ by 1 bit at most
 the first two thirds, or not at all in the last. Distance over a third of the bits obeys the
 triangle inequality as well, and there the ball of radius 1 touches few rings.
 
-In Spark, a shard too large for a task is split by Hamming distance from vantage points, some
-of its own fingerprints, each in two; what lies outside but no farther than the radius from
-the boundary is copied inside, so a pair near enough meets in one shard. In a task every
-shard becomes a vantage-point tree, whatever its size; all its fingerprints go down the
-tree together, each into the branches that its ball touches by the triangle inequality.
+In Spark, fingerprints too many for a task are dealt by pieces of a view's bits: words within
+radius r are equal over one of r + 1 pieces, so five rows a fingerprint do, at any size. A
+shard still too large is split by Hamming distance from vantage points, some of its own
+fingerprints, each in two; what lies outside but no farther than the radius from the boundary
+is copied inside, so a pair near enough meets in one shard. In a task every shard becomes a
+vantage-point tree, whatever its size; all its fingerprints go down the tree together, each
+into the branches that its ball touches by the triangle inequality.
 
 Trees return a spanning forest of their links, so a group of n near copies costs n edges.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -196,23 +199,37 @@ def of_view(values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("view") + 1)
 
 
-def shards(fps: DataFrame, within: int = 4, most: int = 1 << 15) -> DataFrame:
-    """(shard, view, fp): distinct fingerprints, split by rings around vantage points until a shard has `most` at most.
+def pieces(bits: int, radius: int) -> list[int]:
+    """The bits in `radius` + 1 pieces: words within the radius are equal over one piece at least."""
+    own = [1 << i for i in range(64) if bits >> i & 1]
+    return [sum(own[i * len(own) // (radius + 1) : (i + 1) * len(own) // (radius + 1)]) for i in range(radius + 1)]
+
 
-    A round splits each shard that is too large by as many vantage points as its size asks
-    for, all in one pass: a fingerprint goes to the shard of the sides on which it lies, and
-    over each boundary within the radius to the inside too. Rings are medians of distances; one
-    that leaves less than a tenth outside is not used, and shards without any stay as they
-    are. A pair within the radius of a view meets in a shard of it.
+def shards(fps: DataFrame, within: int = 4, most: int = 1 << 15) -> DataFrame:
+    """(shard, view, fp): distinct fingerprints, a shard a view, or dealt until a shard has `most` at most.
+
+    More than `most` are dealt by the hashed pieces of a view's bits to shards of half of
+    `most` on average: a row for each piece, whatever the number of fingerprints, and a pair
+    within the radius meets where a piece is equal. Shards that are too large still, with
+    very many words alike, are split by rings around vantage points. A round splits each by
+    as many as its size asks for, all in one pass: a fingerprint goes to the shard of the
+    sides on which it lies, and over each boundary within the radius to the inside too.
+    Rings are medians of distances; one that leaves less than a tenth outside is not used,
+    and shards without any stay as they are. A pair within the radius of a view meets in a
+    shard of it. Only rows of shards that are split pass through a round.
     """
-    spark, seen = fps.sparkSession, views(within)
-    state = fps.select("fp", F.explode(F.array(*[F.lit(v) for v in range(len(seen))])).alias("view")).withColumn("shard", F.col("view").cast("long"))
-    written: list[DataFrame] = []
+    seen, n = views(within), fps.count()
+    if n <= most:
+        return fps.select(F.explode(F.array(*[F.lit(v) for v in range(len(seen))])).alias("view"), "fp").select(F.col("view").cast("long").alias("shard"), "view", "fp")
+    dealt = lambda v, piece: F.pmod(F.xxhash64(F.lit(v), F.lit(signed(piece)), F.col("fp").bitwiseAND(F.lit(signed(piece)))), F.lit(math.ceil(2 * n / most)))
+    to = [F.struct(F.lit(v).alias("view"), F.xxhash64(F.lit(v), F.lit(signed(piece)), dealt(v, piece)).alias("shard")) for v, (bits, radius) in enumerate(seen) for piece in pieces(bits, radius)]
+    state = cut(fps.select("fp", F.explode(F.array(*to)).alias("to")).select("to.shard", "to.view", "fp"), "shards")
+    settled: list[DataFrame] = []
     while True:
         sizes = cut(state.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most), "large-shards")
         largest = sizes.agg(F.max("n")).first()[0]
         if largest is None:
-            return state
+            return reduce(DataFrame.union, settled, state)
         asked = lambda n: min(MOST_RINGS, math.ceil(math.log(n / most) / math.log(1 / SHRINKS)))
         rings = range(max(1, asked(largest)))
         known = state.join(sizes, "shard").groupBy("shard", "n").agg(*[F.min_by("fp", F.xxhash64("fp", "shard", F.lit(k))).alias(f"v{k}") for k in rings])
@@ -226,28 +243,30 @@ def shards(fps: DataFrame, within: int = 4, most: int = 1 << 15) -> DataFrame:
         split = spread.select("shard", F.filter(F.array(*[ring(k) for k in rings]), lambda r: r.isNotNull()).alias("rings"))
         split = cut(split.where(F.size("rings") > 0), "rings")
         if split.isEmpty():
-            return state
+            return reduce(DataFrame.union, settled, state)
         side = lambda s, r, outside: F.xxhash64(s, r["vantage"], F.lit(outside))
 
         def sides(paths: Column, r: Column) -> Column:
             d = away(r["vantage"], F.col("bits"))
             return F.flatten(F.transform(paths, lambda s: F.when(d <= r["ring"], F.array(side(s, r, 0))).when(d <= r["ring"] + F.col("ball"), F.array(side(s, r, 1), side(s, r, 0))).otherwise(F.array(side(s, r, 1)))))
 
-        met = state.join(split, "shard", "left").withColumns({"bits": bits, "ball": ball})
-        to = F.when(F.col("rings").isNull(), F.array("shard")).otherwise(F.aggregate("rings", F.array("shard"), sides))
-        state = cut(met.select("fp", "view", F.explode(to).alias("shard")), "shards")
-        remove(spark, sizes, known, split, *written)
-        written = [state]
+        met = state.join(split, "shard").withColumns({"bits": bits, "ball": ball})
+        settled.append(state.join(split, "shard", "left_anti").select("shard", "view", "fp"))
+        state = cut(met.select(F.explode(F.aggregate("rings", F.array("shard"), sides)).alias("shard"), "view", "fp"), "shards")
+        remove(fps.sparkSession, sizes, known)
 
 
 def links(fps: DataFrame, within: int = 4, most: int = 1 << 15) -> DataFrame:
     """(a, b) edges that join exactly the components of distinct fingerprints within `within` bits."""
     dealt = shards(fps, within, most)
-    # A shard that rings can't split is dealt by pairs of parts, a tree for each pair.
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
-    parted = dealt.join(sizes, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # A shard that rings can't split is dealt by pairs of parts, a tree for each pair; rows of others stay out of it.
+    sizes = cut(dealt.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1"), "unsplit-shards")
+    if sizes.isEmpty():
+        return shard_links(dealt, within)
+    parted = dealt.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     paired = parted.select("fp", "view", "shard", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return shard_links(paired.select("fp", "view", F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("shard")), within)
+    paired = paired.select(F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")).alias("shard"), "view", "fp")
+    return shard_links(dealt.join(sizes, "shard", "left_anti").select("shard", "view", "fp").union(paired), within)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4, most: int = 1 << 15) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from alertlake.llm.simhash import VantageTree, fingerprint, forest, links, near_duplicates, shards, views
+from alertlake.llm.simhash import VantageTree, fingerprint, forest, links, near_duplicates, pieces, shards, views
 
 from .conftest import ODD
 from .test_components import brute as union_find
@@ -103,6 +103,30 @@ def test_shards_join_what_all_pairs_join(spark, most):
     assert (copies == 0 and len(held) == 3) if most > len(points) else (copies > 0 and len(held) > 6)
 
 
+def test_rows_of_shards_grow_in_proportion(spark):
+    """Five times the fingerprints are five times the rows, and trees of the shards still join what all pairs join."""
+    rng = random.Random(5)
+    points = list({rng.getrandbits(64) for _ in range(7000)} | {*near_points(3000, rng)})
+    rng.shuffle(points)
+    held = {}
+    for n in (2000, 10_000):
+        fps = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in points[:n]], "fp long")
+        held[n] = shards(fps, most=500).count()
+    assert held[10_000] <= 5.5 * held[2000] * len(points[:10_000]) / 10_000
+    got = [(r.a % 2**64, r.b % 2**64) for r in links(fps, most=500).collect()]
+    assert union_find(got) == union_find(all_links(points[:10_000]))
+
+
+@pytest.mark.parametrize("within", range(9))
+def test_a_pair_within_the_radius_is_equal_over_a_piece(within):
+    rng = random.Random(within)
+    for bits, radius in views(within):
+        own = [i for i in range(64) if bits >> i & 1]
+        parts = pieces(bits, radius)
+        assert sum(parts) == bits and all(parts)
+        assert all(any(not apart & part for part in parts) for apart in (sum(1 << i for i in rng.sample(own, radius)) for _ in range(200)))
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     prints = {r.doc_id: plain(r.text or "") for r in docs.select("doc_id", "text").collect()}
