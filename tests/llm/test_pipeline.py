@@ -1,4 +1,7 @@
+import math
+import random
 import re
+import zlib
 from collections import defaultdict
 from hashlib import sha256
 
@@ -77,6 +80,25 @@ def test_languages_not_learned_go(spark, sf):
     assert not {i for i in kept if i >= 10**9} and len(kept) >= 0.995 * docs.count()
 
 
+def test_the_level_is_told_by_all_rows_kept_out(spark):
+    """More rows kept out than a sample of 5,000, each with a score of its own; some without a language, given or predicted."""
+    n, of = 40_000, lambda i: 0.7 + i * 7919 % 40_000 / 10**6
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") % 11 > 0, F.lit("en")).alias("lang"))
+    score = F.struct(F.when(F.col("doc_id") % 13 > 0, "en").otherwise("und").alias("lang_pred"), (0.7 + F.col("doc_id") * 7919 % n / 10**6).alias("score"))
+    held = sorted(of(i) for i in range(n) if zlib.crc32(str(i).encode()) % 3 == 1 and i % 11 and i % 13)
+    assert len(held) > 10_000
+    assert p.least_score(docs, score) == (0.5 + held[math.ceil(0.01 * len(held)) - 1]) / 2
+
+
+def test_percentile_of_every_kind_of_scores(spark):
+    rng = random.Random(4)
+    for scores in ([0.0], [1.0], [1.0] * 300 + [0.0] * 2, [0.7] * 1000, [rng.random() for _ in range(3000)], [0.6 + rng.random() * 2**-50 for _ in range(2000)], [(1 + k * 2**-30) / 2 for k in range(500)]):
+        rows = spark.createDataFrame([(x,) for x in scores], "score double")
+        for share in (0.01, 0.5, 1.0):
+            assert abs(p.lowest(rows, share) - sorted(scores)[math.ceil(share * len(scores)) - 1]) <= 2**-60
+    assert p.lowest(rows.where("score < 0"), 0.01) is None
+
+
 def test_callers_columns_and_null_ids(spark, docs_of, sf):
     """Columns named like those that operators make come out as they went in."""
     clash = ("language", "n_lines", "n_dropped", "n_entities", "row", "text_key", "found", "drops", "component_id")
