@@ -301,7 +301,7 @@ SOURCES = [
 ]
 FEED_COLUMNS = [("of", "string"), ("post_no", "int"), ("minute", "int"), ("said", "string"), ("forwarded", "string")]
 SOURCE_COLUMNS = [tuple(c.split(" ")) for c in SOURCE.split(", ")]
-LOW, HIGH = at(-60), at(60 * 24 * 5000)
+LOW = at(-60)
 
 
 def constant(value, kind: str) -> Column:
@@ -335,7 +335,10 @@ def sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job(spark: SparkSession, sf_dir: str) -> Run:
     sources = sources_of(spark, sf_dir)
     fetched = sources.select("source", F.lit("html").alias("transport"), F.lit(True).alias("transport_ok"), F.lit(True).alias("window_complete"))
-    return collect(feed_of(spark, sf_dir), sources, places(spark), fetched, F.lit(LOW), F.lit(HIGH))
+    feed = feed_of(spark, sf_dir)
+    # The window ends with the last post, however many suppliers there are.
+    high = feed.agg(F.unix_micros(F.max("published_at")).alias("high")).first()["high"]
+    return collect(feed, sources, places(spark), fetched, F.lit(LOW), F.timestamp_micros(F.lit(high).cast("long")))
 
 
 def ntz(*names: str) -> list[Column]:
