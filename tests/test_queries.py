@@ -29,6 +29,6 @@ def late_suppliers(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize(("name", "rows"), [("job_events", 12), ("job_reports", 42), ("job_archive_twice", 1)])
+@pytest.mark.parametrize(("name", "rows"), [("job_events", 12), ("job_reports", 42), ("job_archive_twice", 1), ("archive_purged", 1)])
 def test_the_job_takes_every_suppliers_days(spark, late_suppliers, name, rows):
     assert agree(spark, late_suppliers, name) == rows
