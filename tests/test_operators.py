@@ -365,3 +365,22 @@ def test_lines_are_cut_at_the_edges_of_shapes(spark):
         if i != 120 and r["share"] > 0:
             assert in_land(r["share"] + 2e-9) and not in_land(r["share"] - 2e-9)
     assert geometry.cut_at_edges(lines.limit(0), df).isEmpty() and geometry.cut_at_edges(lines, df.limit(0)).isEmpty()
+
+
+def test_weak_nodes_go_by_what_lies_near_and_strong_ones_are_not_broadcast(spark, tmp_path):
+    draw = random.Random(5)
+    begin = datetime(2026, 9, 21)
+    rows = []
+    for i in range(600):
+        lon, lat = draw.choice([(179.9, 10.0), (-179.9, 10.0), (30.0, 89.8), (-150.0, 89.8), (30.0, 0.0)])
+        rows.append((i, begin + timedelta(minutes=draw.randrange(3000)), lon + draw.uniform(-0.4, 0.4), min(90.0, lat + draw.uniform(-0.4, 0.4)), draw.choice(["uav", "missile"]), draw.random() < 0.6))
+    rows += [(600, begin, 30.0, 0.0, None, True), (601, None, 30.0, 0.0, "uav", True), (602, begin, None, 0.0, "uav", None)]
+    spark.createDataFrame(rows, "node_id long, at timestamp, lon double, lat double, threat_class string, proxy boolean").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))  # files, so that the planner knows a size
+    gone = {w[0] for w in rows if w[5] and None not in w for s in rows if s[5] is False and s[4] == w[4] and timedelta(0) <= s[1] - w[1] <= timedelta(minutes=90) and haversine(w[3], w[2], s[3], s[2]) < 45}
+    found = chains.suppressed(nodes)
+    assert 50 < len(gone) < 300
+    assert sorted(r["node_id"] for r in found.collect()) == [r[0] for r in rows if r[0] not in gone]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan and "NestedLoop" not in plan
