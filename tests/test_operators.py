@@ -384,3 +384,32 @@ def test_weak_nodes_go_by_what_lies_near_and_strong_ones_are_not_broadcast(spark
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan
     assert "Broadcast" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("first", [1, 100_000])
+def test_crossings_in_lots_of_cells(spark, monkeypatch, first):
+    monkeypatch.setattr(geometry, "FIRST_LOT", first)
+    monkeypatch.setattr(geometry, "LOTS", 64)
+    staged, kept = geometry.staged, []
+    monkeypatch.setattr(geometry, "staged", lambda df, name: kept.append((name, staged(df, name))) or kept[-1][1])
+    rnd = random.Random(7)
+    segs = [(line, s % 90, x, y, x + rnd.uniform(-2, 2), y + rnd.uniform(-2, 2)) for line in range(5) for s in range(120) for x, y in [(rnd.uniform(0, 14), rnd.uniform(-7, 7))]]  # numbers repeat
+    segs += [(5, s, s + 0.1, 20.0, s + 0.3, 20.5) for s in range(9)] + [(6, 0, 0.0, 20.4, 1.0, 20.2), (6, 1, 2.0, 20.4, 3.0, 20.2)]  # two crossings only
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    want = {}
+    for a in segs:
+        for b in segs:
+            p, q, r, s = a[2:4], a[4:6], b[2:4], b[4:6]
+            if a[0] < b[0] and turn(p, q, r) * turn(p, q, s) < 0 and turn(r, s, p) * turn(r, s, q) < 0:
+                want[a[0], b[0]] = want.get((a[0], b[0]), 0) + 1
+    assert max(want.values()) > 6 and want[5, 6] == 2
+    columns = "line_id int, seg_no int, x1 double, y1 double, x2 double, y2 double"
+    got = geometry.crossings(spark.createDataFrame(segs + segs[:50], columns), 6).collect()  # alike rows count once
+    assert {(r["line_id"], r["other_id"]): r["n"] for r in got} == {k: min(6, n) for k, n in want.items()}
+    rounds = sum(name == "crossings" for name, _ in kept)
+    assert rounds == (3 if first == 1 else 1)
+
+    kept.clear()  # what every pair of lines has often enough needs no further cells
+    dense = spark.createDataFrame([s for s in segs if s[0] < 5], columns)
+    assert {r["n"] for r in geometry.crossings(dense, 1).collect()} == {1}
+    assert sum(name == "crossings" for name, _ in kept) < 3
