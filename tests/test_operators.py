@@ -413,3 +413,28 @@ def test_crossings_in_lots_of_cells(spark, monkeypatch, first):
     dense = spark.createDataFrame([s for s in segs if s[0] < 5], columns)
     assert {r["n"] for r in geometry.crossings(dense, 1).collect()} == {1}
     assert sum(name == "crossings" for name, _ in kept) < 3
+
+
+def test_best_chains_without_a_row_for_each_step(spark, monkeypatch):
+    rnd, begin = random.Random(3), datetime(2026, 9, 21)
+    at_ = [(begin + timedelta(minutes=rnd.randrange(480)), 30 + rnd.uniform(0, 12), 50.5 + rnd.uniform(0, 2.5), rnd.choice([0.4, 1.0, 1.7]), rnd.random() < 0.3) for _ in range(220)]
+    rows = [(i * 10, t, x, y, w, 1, p, "uav") for i, (t, x, y, w, p) in enumerate(at_)]
+    rows += [(i * 10 + k, *r[1:]) for i, r in enumerate(rows[:60]) for k in (-3, 4)]  # alike but for their ids
+    nodes = spark.createDataFrame(rows, "node_id long, at timestamp, lon double, lat double, weight double, observations long, proxy boolean, threat_class string")
+    late = [(e, "uav", 28.0, 51.5, 40.0 + e % 4, 51.8, begin + timedelta(hours=7 + e % 4 / 4)) for e in range(8)]  # each twice
+    ends = spark.createDataFrame(late, "end_id long, threat_class string, anchor_lon double, anchor_lat double, lon double, lat double, at timestamp")
+    found = chains.candidates(nodes, ends).withColumn("score", chains.node_score()).localCheckpoint()
+    links = chains.steps(found).localCheckpoint()
+    points = found.select("end_id", "node_id", "score", intervals.millis(F.col("at")).alias("t"), "progress_km")
+    paths = chains.longest_paths(points, links.where("b is not null"), ["end_id"], ["t", "progress_km", "node_id"])
+    last = paths.join(links.where("b is null").select("end_id", F.col("a").alias("node_id")), ["end_id", "node_id"]).collect()
+    want = {}
+    for r in sorted(last, key=lambda r: (-r["best"] - chains.LAST_STEP, r["t"], r["progress_km"], r["node_id"])):
+        want.setdefault(r["end_id"], (r["path"], r["best"] + chains.LAST_STEP))
+    staged, kept = chains.staged, []
+    monkeypatch.setattr(chains, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    got = chains.chains(nodes, ends).collect()
+    assert {r["end_id"]: (r["path"], r["score"]) for r in got} == want
+    assert len(want) == 8 and max(len(p) for p, _ in want.values()) > 3
+    assert kept == ["chain-ends", "chains"]
+    assert chains.chains(nodes.where("false"), ends).count() == 0
